@@ -47,9 +47,73 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN n USING (uid) LEFT JOIN it USING (uid)
 """
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    m = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=(3, 2), most=2)
+    return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+OP1_SQL = r"""
+WITH s AS (
+  SELECT row_number() OVER () AS uid, doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+  FROM documents
+), t0 AS (
+  SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS words FROM s GROUP BY source
+), t1 AS (
+  SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS BIGINT) AS w FROM t0
+), t2 AS (
+  SELECT *, CAST(sum(words) OVER () AS BIGINT) * 3
+            - CAST(coalesce(sum(words) OVER (ORDER BY words / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) * 4 AS rest,
+         CAST(sum(w) OVER (ORDER BY words / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) * 2 AS per
+  FROM t1
+), level AS (
+  SELECT rest AS lrest, per AS lper FROM t2 WHERE rest <= words * 2 * per / w ORDER BY words / w, source NULLS LAST LIMIT 1
+), t3 AS (
+  SELECT source, n, words, CASE WHEN lper IS NULL THEN CAST(words * 2 AS DOUBLE)
+         ELSE least(CAST(w * lrest AS DOUBLE) / CAST(lper AS DOUBLE), CAST(words * 2 AS DOUBLE)) END AS target
+  FROM t2 LEFT JOIN level ON TRUE
+), r0 AS (
+  SELECT s.*, t3.n, t3.words, t3.target,
+         CASE WHEN words > 0 THEN least(CAST(floor(target / words) AS BIGINT), 2) ELSE 0 END AS whole,
+         (CAST(CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
+  FROM s JOIN t3 ON s.source IS NOT DISTINCT FROM t3.source
+), r1 AS (
+  SELECT *, greatest(target - whole * words, 0.0) AS rest FROM r0
+), r2 AS (
+  SELECT *, CASE WHEN rest > 0 AND size > 0 THEN
+    (u / (1 - u)) / (least(greatest(size / (words / n), 0.5), 2.0) * ((rest / words) / (1 - rest / words))) END AS key
+  FROM r1
+), r3 AS (
+  SELECT uid, source, size, key, rest, doc_id, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, uid ROWS UNBOUNDED PRECEDING) <= rest AS inn
+  FROM r2 WHERE key IS NOT NULL
+), g1 AS (
+  SELECT source, any_value(rest) - coalesce(sum(CASE WHEN inn THEN size END), 0) AS gap FROM r3 GROUP BY source
+), f1 AS (
+  SELECT uid AS pick FROM (SELECT r3.uid, row_number() OVER (PARTITION BY r3.source ORDER BY abs(gap - size), key, doc_id, uid) AS k
+    FROM r3 JOIN g1 ON r3.source IS NOT DISTINCT FROM g1.source WHERE NOT inn AND abs(gap - size) < abs(gap)) WHERE k = 1
+), r4 AS (
+  SELECT r3.* REPLACE (inn OR pick IS NOT NULL AS inn) FROM r3 LEFT JOIN f1 ON uid = pick
+), g2 AS (
+  SELECT source, any_value(rest) - coalesce(sum(CASE WHEN inn THEN size END), 0) AS gap FROM r4 GROUP BY source
+), f2 AS (
+  SELECT uid AS pick2 FROM (SELECT r4.uid, row_number() OVER (PARTITION BY r4.source ORDER BY abs(gap - size), key, doc_id, uid) AS k
+    FROM r4 JOIN g2 ON r4.source IS NOT DISTINCT FROM g2.source WHERE NOT inn AND abs(gap - size) < abs(gap)) WHERE k = 1
+), d AS (
+  SELECT uid AS drawn FROM r4 LEFT JOIN f2 ON uid = pick2 WHERE inn OR pick2 IS NOT NULL
+)
+SELECT doc_id, size, words AS source_size, target,
+       size * least(whole + CASE WHEN drawn IS NOT NULL THEN 1 ELSE 0 END, 2) AS taken,
+       least(whole + CASE WHEN drawn IS NOT NULL THEN 1 ELSE 0 END, 2) AS copies
+FROM r1 LEFT JOIN d ON uid = drawn
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
+    "op1_mix_sources": OP1_SQL,
     "op9_decontaminate": OP9_SQL,
 }
