@@ -109,8 +109,15 @@ SELECT doc_id, size, words AS source_size, target,
 FROM r1 LEFT JOIN d ON uid = drawn
 """
 
+def op2_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), shards=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_shard_by_bytes": op2_shard_by_bytes,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
