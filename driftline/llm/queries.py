@@ -115,12 +115,32 @@ def op2_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT uid, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM d),
+k AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT uid) >= 10),
+j AS (SELECT uid, count(*) AS n_lines, sum(CASE WHEN f.key IS NULL THEN 0 ELSE 1 END) AS n_dropped,
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '') AS kept
+      FROM k LEFT JOIN f ON k.key = f.key GROUP BY uid)
+SELECT doc_id, n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN j USING (uid)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_by_bytes": op2_shard_by_bytes,
+    "op3_line_dedup": op3_line_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
+    "op3_line_dedup": OP3_SQL,
     "op9_decontaminate": OP9_SQL,
 }
