@@ -133,14 +133,59 @@ j AS (SELECT uid, count(*) AS n_lines, sum(CASE WHEN f.key IS NULL THEN 0 ELSE 1
 SELECT doc_id, n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN j USING (uid)
 """
 
+#: Fixed by the query's contract: action, host, path.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT row_number() OVER () AS uid, page_id, url, html,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), q AS (
+  SELECT uid, page_id, url, html, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1) AS query FROM p
+), rules(action, h, pa) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), fit AS (
+  SELECT uid, h || pa AS rule, action, row_number() OVER (PARTITION BY uid ORDER BY length(h || pa) DESC) AS k
+  FROM q JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, pa)
+), r AS (
+  SELECT q.*, rule, action, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node
+  FROM q LEFT JOIN (SELECT * FROM fit WHERE k = 1) f USING (uid)
+), named AS (
+  SELECT node, host, regexp_extract(url, '^(.*?)://', 1) AS scheme, unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*([^"''\s>]+)', 1)]) AS l FROM r WHERE node IS NOT NULL AND html IS NOT NULL
+), absolute AS (
+  SELECT node, CASE WHEN strpos(l, '://') > 0 THEN substr(l, strpos(l, '://') + 3) WHEN starts_with(l, '//') THEN substr(l, 3) WHEN starts_with(l, '/') THEN host || l END AS a FROM named WHERE l <> ''
+), e AS (
+  SELECT node AS a, translate(regexp_extract(a, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+         || CASE WHEN regexp_extract(a, '^[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(a, '^[^/?#]*([^?#]*)', 1) END
+         || regexp_extract(a, '^[^?#]*(\?[^#]*)?', 1) AS b FROM absolute WHERE a IS NOT NULL
+), pairs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+cls AS (SELECT reach.a AS node, max(CASE WHEN action = 'allow' THEN 1 ELSE 0 END) AS allowed FROM reach JOIN r ON r.node = reach.b AND action IS NOT NULL GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN allowed = 1 THEN 'allow' WHEN allowed = 0 THEN 'block' END, 'allow') AS verdict
+FROM r LEFT JOIN cls USING (node)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_by_bytes": op2_shard_by_bytes,
     "op3_line_dedup": op3_line_dedup,
+    "op4_url_filter": op4_url_filter,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op4_url_filter": OP4_SQL,
     "op9_decontaminate": OP9_SQL,
 }
