@@ -176,11 +176,18 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN allowed = 1 THEN 'a
 FROM r LEFT JOIN cls USING (node)
 """
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_by_bytes": op2_shard_by_bytes,
     "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_language_id": op5_language_id,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
