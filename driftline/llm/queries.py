@@ -182,12 +182,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_output import read_tokens, write_tokens
+
+    images = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(images)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_by_bytes": op2_shard_by_bytes,
     "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
+    "op6_token_output": op6_token_output,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
