@@ -163,7 +163,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", min_cha
     hashes = docs.select(tid.alias("tid"), F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k))).alias("hashes"))
     texts = save(hashes.groupBy("tid", "hashes").agg(F.count("*").alias("copies")), "line-texts")
     gone = save(frequent_lines(texts, min_docs, **kw), "line-frequent").withColumnRenamed("tid", "_tid")
-    both = docs.join(gone, tid == F.col("_tid"), "left")
+    # always by shuffle: the plan is then the same for every size of ``gone``
+    both = docs.join(gone.hint("merge"), tid == F.col("_tid"), "left")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     kept = F.filter(F.arrays_zip(lines.alias("line"), line_keys(F.col(text)).alias("key")), lambda z: ~((F.char_length(z["key"]) >= min_chars) & F.array_contains("gone", F.xxhash64(z["key"]))))
     both = both.withColumn("n_lines", F.size(lines).cast("long")).withColumn("_kept", F.when(F.col("gone").isNull(), F.arrays_zip(lines.alias("line"), lines.alias("key"))).otherwise(kept))
