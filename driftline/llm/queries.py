@@ -191,6 +191,27 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(images)
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+
+
+OP7_SQL = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, unnest(range(1, len(embedding) + 1)) AS d, unnest(embedding) AS x FROM embeddings
+), ok AS (
+  SELECT r, vec_id FROM v WHERE vec_id IS NOT NULL GROUP BY r, vec_id HAVING count(*) = count(x) AND bool_and(isfinite(CAST(x AS DOUBLE)))
+), i AS (
+  SELECT r, vec_id, d, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS n FROM v JOIN ok USING (r, vec_id)
+), s AS (
+  SELECT q.r AS qr, q.vec_id AS query_id, c.r AS cr, c.vec_id, CAST(sum(q.n * c.n) AS BIGINT) AS score
+  FROM i q JOIN i c ON q.d = c.d AND q.r <> c.r WHERE q.vec_id % 50 = 0 GROUP BY ALL
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, cr) AS rank FROM s) WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_by_bytes": op2_shard_by_bytes,
@@ -198,11 +219,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_token_output": op6_token_output,
+    "op7_exact_top_k": op7_exact_top_k,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
     "op4_url_filter": OP4_SQL,
+    "op7_exact_top_k": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
 }
