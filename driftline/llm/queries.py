@@ -212,6 +212,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, cr) AS rank FROM s) WHERE rank <= 5
 """
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_by_bytes": op2_shard_by_bytes,
@@ -220,6 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_token_output": op6_token_output,
     "op7_exact_top_k": op7_exact_top_k,
+    "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
