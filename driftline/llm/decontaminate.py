@@ -65,18 +65,20 @@ def scan(docs: DataFrame, bench: DataFrame, n: int = 10, text: str = "text", ben
     verified ``hits``, and the benchmark's windows.  The set is inlined only if
     it has at most ``max_inline`` windows."""
     windows = save(benchmark_windows(bench, n, bench_text, item), "windows")
-    rows = docs.select(F.struct("*").alias("doc"), words_of(F.col(text)).alias("words"))
+    # a filter on hits that also names uid stays above this projection; pushed
+    # below it, it would split the text again for every position
+    rows = docs.select(F.struct("*").alias("doc"), words_of(F.col(text)).alias("words"), F.monotonically_increasing_id().alias("uid"))
     if windows.count() <= max_inline:
         w = F.split("window", " ")
         head = F.when(F.size(w) >= 3, F.xxhash64(F.get(w, 0), F.get(w, 1), F.get(w, 2))).when(F.size(w) == 2, F.xxhash64(F.get(w, 0), F.get(w, 1))).otherwise(F.xxhash64(F.get(w, 0)))
         listed = windows.select("window", "k", F.xxhash64(w).alias("h"), head.alias("head")).collect()
         return rows.withColumn("hits", F.expr(_inline_hits(listed))), windows
-    rows = save(rows.withColumn("uid", F.monotonically_increasing_id()), "words")
+    rows = save(rows, "words")
     lengths = [r["k"] for r in windows.select("k").distinct().collect()]  # at most n values
     each = F.concat(*[F.expr(f"if(size(words) >= {k}, transform(sequence(0, size(words) - {k}), i -> named_struct('pos', i, 'k', {k}, 'window', array_join(slice(words, i + 1, {k}), ' '))), array())") for k in lengths])
     found = rows.select("uid", F.inline(each)).join(windows.select("window"), "window").groupBy("uid").agg(F.collect_list(F.struct("pos", "k", "window")).alias("hits"))
     none = F.expr("cast(array() as array<struct<pos:int,k:int,window:string>>)")
-    return rows.join(found, "uid", "left").select("doc", "words", F.coalesce("hits", none).alias("hits")), windows
+    return rows.join(found, "uid", "left").select("doc", "words", "uid", F.coalesce("hits", none).alias("hits")), windows
 
 
 def hit_positions(hits: Column) -> Column:
@@ -88,9 +90,9 @@ def annotate(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str = "doc_
     """One row per document: id, n_words, n_hit, n_items, items_sha256,
     contaminated.  Only ids, counts and hit windows are shuffled."""
     rows, windows = scan(docs.select(id_col, kw.get("text", "text")), bench, n, **kw)
-    slim = rows.select(F.col(f"doc.{id_col}").alias(id_col), F.size("words").alias("n_words"), F.size(hit_positions(F.col("hits"))).alias("n_hit"), F.array_distinct(F.col("hits.window")).alias("found"))
-    # the uid, given before the windows are exploded, keeps repeated rows apart
-    each = slim.withColumn("uid", F.monotonically_increasing_id()).select("uid", id_col, "n_words", "n_hit", F.explode_outer("found").alias("window"))
+    slim = rows.select("uid", F.col(f"doc.{id_col}").alias(id_col), F.size("words").alias("n_words"), F.size(hit_positions(F.col("hits"))).alias("n_hit"), F.array_distinct(F.col("hits.window")).alias("found"))
+    # the uid keeps repeated rows apart
+    each = slim.select("uid", id_col, "n_words", "n_hit", F.explode_outer("found").alias("window"))
     by_doc = each.join(windows.select("window", "items"), "window", "left").groupBy("uid", id_col, "n_words", "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return by_doc.select(
         id_col,
@@ -107,7 +109,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, mode: str = "d
     each hit word and the separators after it cut out (mode ``spans``)."""
     rows, _ = scan(docs, bench, n, text=text, **kw)
     if mode == "documents":
-        return rows.where("size(hits) = 0").select("doc.*")
+        return rows.where("size(hits) = 0 and uid >= 0").select("doc.*")
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode}")
     # pieces: what stands before the first word, then each word with what follows it
