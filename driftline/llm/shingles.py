@@ -52,10 +52,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     begins = np.flatnonzero(inside & (~before | edge[:-1]))
     after = np.concatenate([inside[1:], [False]]) if len(low) else inside
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(low.astype(np.uint64) * _powers(P, len(low)), dtype=np.uint64)])
-    words = (total[ends] - total[begins]) * _powers(P_INV, len(low))[begins] if len(begins) else np.zeros(0, np.uint64)
-    words = mix64(words + (ends - begins).astype(np.uint64) * np.uint64(P))
-    return words, np.searchsorted(begins, starts)
+    return range_hashes(low, begins, ends), np.searchsorted(begins, starts)
+
+
+def range_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range, from one running polynomial."""
+    if not len(begins):
+        return np.zeros(0, np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * _powers(P, len(data)), dtype=np.uint64)])
+    out = (total[ends] - total[begins]) * _powers(P_INV, len(data))[begins]
+    return mix64(out + (ends - begins).astype(np.uint64) * np.uint64(P))
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

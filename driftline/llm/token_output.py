@@ -8,10 +8,11 @@ less that minimum in the number of bits that a percentile of the block needs;
 ids that need more are stored whole in the block's exception list.  Readers
 find a block by its index entry and decode it alone.
 
-Words are encoded once per worker: a text is split where a single space stands
-between two visible characters, which is a boundary of the tokenizer's own
-pre-tokens, and each distinct piece is encoded with the space before it.
-Texts with other white space around spaces are encoded whole.
+Pieces are encoded once: a text is cut where the tokenizer's own pre-tokens
+must end (before a space between two visible characters, and after an ASCII
+letter that a sign or digit follows), so that the ids of its pieces are the ids
+of the text.  Cuts and 64-bit hashes of pieces come from numpy over a slab of
+texts; only pieces not seen before become strings and go to the tokenizer.
 
 Scale: one range shuffle by id; each task encodes and packs its own documents,
 and writes segments of at most ``SEGMENT`` ids (or one longer document) as
@@ -26,7 +27,6 @@ empty table writes an empty file and gives an empty result.
 from __future__ import annotations
 
 import struct
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,10 +36,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
+from .language_id import slabs, text_buffer
+from .shingles import range_hashes
 
 MAGIC, BLOCK, SEGMENT, PERCENTILE = b"PFR1", 1024, 1 << 20, 0.97
-#: Distinct pieces a worker remembers; then it starts anew.
-REMEMBERED = 1_000_000
+#: Distinct pieces a worker remembers; then it keeps those of the slab at hand.
+REMEMBERED = 1_500_000
+#: Bytes of text encoded at once.
+SLAB = 6 << 20
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -101,6 +105,33 @@ def read_segment(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     return [int(d) if k else None for d, k in zip(names, known)], counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
 
 
+#: Lead bytes of white space outside ASCII; next to them nothing is cut.
+SPACE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Whether a piece may begin at each byte: only where pre-tokens end."""
+    visible = (data > 0x20) & (data < 0x7F)
+    lead = data >= 0xC0
+    good_lead = lead & ~np.isin(data, SPACE_LEADS)
+    # a continuation byte belongs to the lead one to three bytes before it
+    tail = np.zeros(len(data), bool)
+    for back in (1, 2, 3):
+        between = np.ones(len(data), bool)
+        for k in range(1, back):
+            between[k:] &= (data[:-k] & 0xC0) == 0x80
+        tail[back:] |= good_lead[:-back] & between[back:]
+    before = visible | ((data & 0xC0) == 0x80) & tail
+    after = visible | good_lead
+    out = np.zeros(len(data), bool)
+    if len(data) > 2:
+        out[1:-1] = (data[1:-1] == 0x20) & before[:-2] & after[2:]
+    letter = ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
+    if len(data) > 1:
+        out[1:] |= letter[:-1] & visible[1:] & ~letter[1:]
+    return out
+
+
 class Encoder:
     """Whole texts to ids, encoding each distinct piece once."""
 
@@ -108,47 +139,43 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | None] = {}
-        self.again: set[str] = set()
-        self.seen: dict[str, bool] = {"": False}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _visible(self, c: str) -> bool:
-        """Whether a character is neither white space nor a control."""
-        if c not in self.seen:
-            self.seen[c] = not c.isspace() and unicodedata.category(c)[0] not in "ZC"
-        return self.seen[c]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        firsts = self._ids([p[0] for p in split])
-        ends = [self._visible(p[0][-1:]) for p in split]
-        for p in split:
-            del p[0]
-        wanted = set().union(*split)
-        new = wanted.difference(self.known)
-        self.again |= wanted - new
-        if len(self.known) + len(new) > REMEMBERED:  # what came once is forgotten
-            self.known = {p: self.known[p] for p in self.again} if 2 * len(self.again) < REMEMBERED else {}
-            self.again = set()
-            new = wanted.difference(self.known)
-        good = [p for p in new if p and self._visible(p[0]) and self._visible(p[-1])]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(good, self._ids([" " + p for p in good])))
-        out, odd = [], []
-        for i, (pieces, first, end) in enumerate(zip(split, firsts, ends)):
-            try:
-                out.append(first + b"".join(map(self.known.__getitem__, pieces)))
-                if pieces and not end:
-                    odd.append(i)
-            except TypeError:  # a piece that starts or ends with white space
-                out.append(b"")
-                odd.append(i)
-        for i, x in zip(odd, self._ids([texts[i] for i in odd])):
-            out[i] = x
-        return out
+        self.known: dict[int, bytes] = {}
+        self.whole = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+
+    def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin (one more than texts)."""
+        import pandas as pd
+
+        begin, raw = cuts(data), data.tobytes()
+        for token in self.whole:  # which the tokenizer finds before it cuts
+            found = raw.find(token)
+            while found >= 0:
+                begin[found + 1 : found + len(token)] = False
+                found = raw.find(token, found + len(token))
+        begin[starts[:-1][np.diff(starts) > 0]] = True
+        at = np.flatnonzero(begin)
+        ends = np.append(at[1:], len(data))
+        inverse, hashes = pd.factorize(range_hashes(data, at, ends))
+        first = np.zeros(len(hashes), np.int64)
+        first[inverse[::-1]] = np.arange(len(at))[::-1]
+        hashes = hashes.tolist()
+        if len(self.known) > REMEMBERED:
+            self.known = {h: self.known[h] for h in hashes if h in self.known}
+        new = [k for k, h in enumerate(hashes) if h not in self.known]
+        texts = [raw[at[first[k]] : ends[first[k]]].decode() for k in new]
+        fresh = [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.known.update((hashes[k], ids) for k, ids in zip(new, fresh))
+        each = [self.known[h] for h in hashes]
+        for k, text in zip(new, texts):
+            if len(text) > 64:  # long pieces rarely come again
+                del self.known[hashes[k]]
+        flat = np.frombuffer(b"".join(each), np.uint32)
+        sizes = np.array([len(x) // 4 for x in each], np.int64)
+        offsets = np.cumsum(sizes) - sizes
+        n = sizes[inverse]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(offsets[inverse] - upto[:-1], n) + np.arange(upto[-1])] if len(n) else np.zeros(0, np.uint32)
+        return ids, upto[np.searchsorted(at, starts)]
 
 
 _READY: dict[str, Encoder] = {}
@@ -177,14 +204,18 @@ def _segments(path: str, end_id: int):
             return row
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 2000):
-                for doc, stream in zip(ids[at : at + 2000], encoder.encode([t or "" for t in texts.slice(at, 2000).to_pylist()])):
-                    if held and held + len(stream) // 4 + 1 > SEGMENT:
+            names = batch.column(0).to_pylist()
+            data, offsets = text_buffer(batch, "text")
+            for a, b in slabs(offsets, SLAB):
+                ids, upto = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                raw, upto = ids.tobytes(), upto.tolist()
+                for k in range(b - a):
+                    n = upto[k + 1] - upto[k] + 1
+                    if held and held + n > SEGMENT:
                         yield flush()
-                    docs.append(doc)
-                    streams.append(stream + end)
-                    held += len(stream) // 4 + 1
+                    docs.append(names[a + k])
+                    streams.append(raw[4 * upto[k] : 4 * upto[k + 1]] + end)
+                    held += n
         if docs:
             yield flush()
 
