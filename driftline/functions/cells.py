@@ -80,7 +80,7 @@ def poll_age_seconds(checked: Column, now: int) -> Column:
 #: serious first.
 FATAL_TYPES = ["UnauthorizedException", "AuthenticationException", "InvalidQueryException", "SyntaxError"]
 AUTH_TYPES = ["UnauthorizedException", "AuthenticationException"]
-THROTTLE_MARKERS = ["TooManyRequests", "RequestRateTooLarge", "OverloadedException", "429"]
+THROTTLE_MARKERS = ["429", "TooManyRequests", "OverloadedException", "Request rate is large", "RetryAfterMs", "rate limit"]
 TRANSIENT_TYPES = ["OperationTimedOutException", "ReadTimeoutException", "WriteTimeoutException", "UnavailableException", "NoHostAvailableException"]
 NOT_FOUND_MARKERS = ["unconfigured table", "does not exist", "not found"]
 
