@@ -8,8 +8,9 @@ there; no position is used twice on a path.  Children of at most ``LEAF`` sets
 are compared by brute force; larger ones split again.  A large node first
 compares all its sets with a pivot.  Sets somewhat near the pivot are linked
 to it; those nearer still need not go on, because whatever is similar to them
-is linked to the pivot too.  Sets that have shared ``LEVELS`` tokens are all
-linked to their pivot.  Runs repeat until a pair at the threshold is missed
+is linked to the pivot too.  A node whose sets were all linked to one pivot on
+the way is settled and goes no further.  Sets that have shared ``LEVELS``
+tokens are all linked to their pivot.  Runs repeat until a pair at the threshold is missed
 less often than the target recall allows.
 
 What is found this way are candidates.  Their connected components are then
@@ -47,7 +48,7 @@ T, CHILDREN, LEAF, BLOCK, LEVELS = 64, 2, 96, 512, 6
 #: leaf; for a link to a pivot; for a set that the pivot's links settle.  The
 #: last two differ by the largest distance of a similar pair (Jaccard distance
 #: obeys the triangle inequality) and a standard error of agreement.
-NEAR, PIVOT_LINK, PIVOT_DONE = 0.22, 0.38, 0.12
+NEAR, PIVOT_LINK, PIVOT_DONE = 0.22, 0.50, 0.24
 SLAB = 2 << 20
 
 
@@ -173,27 +174,28 @@ def _leaves(similarity: float):
     return run
 
 
-def _split(similarity: float, last: bool):
+def _split(similarity: float, level: int):
     """Members of large nodes with the node's pivot: links to the pivot
     (key null) and the members' places in the node's children (dst null)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["key", "used", "rid", "dst"]
+        names, last = ["key", "used", "linked", "rid", "dst"], level == LEVELS - 1
         for batch in batches:
-            key, used, rid, pivot = (_column(batch, c, np.int64) for c in ("key", "used", "rid", "pivot"))
+            key, used, linked, rid, pivot = (_column(batch, c, np.int64) for c in ("key", "used", "linked", "rid", "pivot"))
             sig = _sigs(batch, "sig")
             same = (sig == _sigs(batch, "pivot_sig")).mean(axis=1)
             link = (rid != pivot) & (last | (same >= similarity - PIVOT_LINK))
             none = pa.nulls(int(link.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(rid[link]), pa.array(pivot[link])], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(rid[link]), pa.array(pivot[link])], names=names)
+            linked = linked | (link.astype(np.int64) << level)
             on = (same < similarity - PIVOT_DONE) & (rid != pivot)
             if last or not on.any():
                 continue
             none = pa.nulls(int(on.sum()), pa.int64())
             for keys, now in children(key[on].view(np.uint64), used[on].view(np.uint64), sig[on]):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(now.view(np.int64)), pa.array(rid[on]), none], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(now.view(np.int64)), pa.array(linked[on]), pa.array(rid[on]), none], names=names)
 
     return run
 
@@ -202,10 +204,11 @@ def candidate_edges(sets: DataFrame, similarity: float, runs: int) -> list[DataF
     """Tables of (src, dst) among ``sets`` (rid, n, sig): a forest whose
     components hold every pair that a run brought to one leaf or pivot."""
     slim = sets.select("rid", "n", "sig")
-    at = save(slim.mapInArrow(_roots(runs), "key long, used long, rid long"), "join-nodes")
+    at = save(slim.mapInArrow(_roots(runs), "key long, used long, rid long").withColumn("linked", F.lit(0).cast("long")), "join-nodes")
     edges = []
     for level in range(LEVELS):
-        nodes = at.groupBy("key").agg(F.count("*").alias("many"), F.min_by("rid", F.xxhash64("rid", "key")).alias("pivot")).where("many > 1")
+        nodes = at.groupBy("key").agg(F.count("*").alias("many"), F.min_by("rid", F.xxhash64("rid", "key")).alias("pivot"), F.bit_and("linked").alias("settled"))
+        nodes = nodes.where("many > 1 and settled = 0")
         nodes = save(nodes, "join-sizes")
         members = save(at.join(nodes.hint("merge"), "key"), "join-members")
         leaf = members.where(F.col("many") <= LEAF).select("key", "rid").join(slim.hint("merge"), "rid")
@@ -216,12 +219,12 @@ def candidate_edges(sets: DataFrame, similarity: float, runs: int) -> list[DataF
             break
         pivots = large.select("key", "pivot").join(slim, F.col("pivot") == F.col("rid")).select(F.col("key").alias("k"), F.col("sig").alias("pivot_sig"))
         pivots = save(pivots, "join-pivots")
-        big = members.where(F.col("many") > LEAF).select("key", "used", "rid", "pivot").join(slim.hint("merge"), "rid")
-        both = big.join(pivots, F.col("key") == F.col("k")).select("key", "used", "rid", "pivot", "sig", "pivot_sig")
-        split = save(both.mapInArrow(_split(similarity, level == LEVELS - 1), "key long, used long, rid long, dst long"), "join-split")
+        big = members.where(F.col("many") > LEAF).select("key", "used", "linked", "rid", "pivot").join(slim.hint("merge"), "rid")
+        both = big.join(pivots, F.col("key") == F.col("k")).select("key", "used", "linked", "rid", "pivot", "sig", "pivot_sig")
+        split = save(both.mapInArrow(_split(similarity, level), "key long, used long, linked long, rid long, dst long"), "join-split")
         edges.append(save(split.where("dst is not null").select(F.col("rid").alias("src"), "dst").distinct(), "join-edges"))
         drop(at, members)
-        at = save(split.where("key is not null").select("key", "used", "rid"), "join-nodes")
+        at = save(split.where("key is not null").select("key", "used", "linked", "rid"), "join-nodes")
     return edges
 
 
