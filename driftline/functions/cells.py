@@ -76,13 +76,12 @@ def poll_age_seconds(checked: Column, now: int) -> Column:
     return F.when(age >= 0, age)
 
 
-#: Error type names and message markers of each class, most
-#: serious first.
-FATAL_TYPES = ["UnauthorizedException", "AuthenticationException", "InvalidQueryException", "SyntaxError"]
-AUTH_TYPES = ["UnauthorizedException", "AuthenticationException"]
+#: Error type names and message markers of each class.
+AUTH_TYPES = ["AuthenticationException", "UnauthorizedException", "MigrationAuthException"]
+FATAL_TYPES = ["AuthenticationException", "UnauthorizedException", "InvalidQueryException", "SyntaxError", "MigrationFatalException", "MigrationSchemaException", "MigrationAuthException"]
+TRANSIENT_TYPES = ["NoHostAvailableException", "WriteTimeoutException", "ReadTimeoutException", "UnavailableException", "OverloadedException", "TimeoutException", "IOException", "SocketException", "ObjectDisposedException", "MigrationTransientException"]
 THROTTLE_MARKERS = ["429", "TooManyRequests", "OverloadedException", "Request rate is large", "RetryAfterMs", "rate limit"]
-TRANSIENT_TYPES = ["OperationTimedOutException", "ReadTimeoutException", "WriteTimeoutException", "UnavailableException", "NoHostAvailableException"]
-NOT_FOUND_MARKERS = ["unconfigured table", "does not exist", "not found"]
+NOT_FOUND_MARKERS = ["unconfigured table", "not found", "does not exist"]
 
 
 def classify_error(error_type: Column, message: Column) -> Column:
@@ -92,10 +91,10 @@ def classify_error(error_type: Column, message: Column) -> Column:
     has = lambda words: F.lower(text).rlike("|".join(w.lower() for w in words))
     return (
         F.when(error_type.isin(AUTH_TYPES), "auth")
+        .when((error_type == "InvalidQueryException") & has(NOT_FOUND_MARKERS), "not_found")
         .when(error_type.isin(FATAL_TYPES), "fatal")
         .when(has(THROTTLE_MARKERS), "throttle")
         .when(error_type.isin(TRANSIENT_TYPES), "transient")
-        .when(has(NOT_FOUND_MARKERS), "not_found")
         .otherwise("other")
     )
 
@@ -104,4 +103,4 @@ def retry_delay_ms(message: Column, attempt: Column) -> Column:
     """The server's ``RetryAfterMs`` hint, else doubling seconds up to 30."""
     hint = F.regexp_extract(F.coalesce(message, F.lit("")), r"RetryAfterMs=(\d+)", 1)
     grown = F.least(F.lit(30_000), (F.pow(F.lit(2.0), F.least(attempt, F.lit(10)) - 1) * 1000).cast("long"))
-    return F.when(hint != "", F.expr("1") * hint.cast("long")).otherwise(grown).cast("long")
+    return F.when(hint != "", hint.cast("long")).otherwise(grown).cast("long")

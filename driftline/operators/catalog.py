@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from driftline.functions.cells import normalize_type
 
-#: Keyspaces of the source system itself.
-SYSTEM_KEYSPACES = ["system", "system_auth", "system_distributed", "system_schema", "system_traces", "system_views", "system_virtual_schema"]
-
-
 def user_tables(tables: DataFrame) -> DataFrame:
-    """(keyspace, tbl) outside the system keyspaces, in order."""
-    return tables.where(~F.lower("keyspace").isin(SYSTEM_KEYSPACES)).orderBy("keyspace", "tbl")
+    """(keyspace, tbl) outside the system's keyspaces (``system`` and names that
+    begin with ``system_``, without case), in order."""
+    system = (F.lower("keyspace") == "system") | F.startswith(F.lower("keyspace"), F.lit("system_"))
+    return tables.where(~system).orderBy("keyspace", "tbl")
 
 
 def table_columns(spark, name: str) -> DataFrame:

@@ -81,7 +81,7 @@ def offline_complete(units: DataFrame) -> DataFrame:
 
 def final_status(units: DataFrame) -> DataFrame:
     """Per job, from its units and its columns faulted and command."""
-    by = units.groupBy("job").agg(F.bool_or("faulted").alias("f"), F.bool_or(F.col("status") == "Failed").alias("bad"), F.max("command").alias("command"), F.bool_and("copy_complete").alias("all_done"))
+    by = units.groupBy("job").agg(F.bool_or("faulted").alias("f"), F.bool_or(F.col("status") == "Failed").alias("bad"), F.max("command").alias("command"), F.bool_and(~F.col("online") & (F.col("copy_complete") | ~F.col("status").isin("OK", "Failed"))).alias("all_done"))
     status = (
         F.when(F.col("f") | F.col("bad"), "Faulted")
         .when(F.col("command") == "cutover", "Completed")
