@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.cells import normalize_type
+from driftline.sources.scratch import stage
 
 def user_tables(tables: DataFrame) -> DataFrame:
     """(keyspace, tbl) outside the system's keyspaces (``system`` and names that
@@ -135,7 +136,8 @@ def reachable(edges: DataFrame, rounds: int = 32) -> DataFrame:
     n = now.count()
     for _ in range(rounds):
         more = now.join(now.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        now = now.union(more).distinct().checkpoint()
+        now = now.union(more).distinct()
+        now = stage(now, "paths")
         if (m := now.count()) == n:
             break
         n = m
@@ -150,7 +152,7 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame, rounds: int = 32) -> D
     for level in range(1, rounds):
         waiting = edges.join(placed.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("src").alias("node"))
         ready = nodes.join(placed, "node", "left_anti").join(waiting, "node", "left_anti")
-        placed = placed.union(ready.select("node", F.lit(level))).checkpoint()
+        placed = stage(placed.union(ready.select("node", F.lit(level))), "levels")
         if (m := placed.count()) == n:
             break
         n = m
