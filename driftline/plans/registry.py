@@ -1,4 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from driftline.plans import cell_queries
+
+QUERIES: dict = dict(cell_queries.Q)
+ORACLES: dict = dict(cell_queries.SQL)
