@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from driftline.plans import cell_queries
+from driftline.plans import cell_queries, row_queries
 
-QUERIES: dict = dict(cell_queries.Q)
-ORACLES: dict = dict(cell_queries.SQL)
+QUERIES: dict = cell_queries.Q | row_queries.Q
+ORACLES: dict = cell_queries.SQL | row_queries.SQL
