@@ -114,11 +114,14 @@ class Model:
         self.tables, self.log = [], []
         for lang in self.langs:
             steps = suffix_automaton(self.number[coded[lang]].tolist())
-            root = np.zeros(self.width, np.int64)
+            # one more state, after a byte that matches nothing: a phrase by itself
+            lost = len(steps)
+            root = np.full(self.width, lost, np.int64)
             for c, to in steps[0].items():
                 root[c] = to
             # twice the offset of the next state's row, plus 1 where a phrase ended
-            table = np.tile(root * self.width * 2 + 1, (len(steps), 1))
+            table = np.tile(root * self.width * 2 + 1, (lost + 1, 1))
+            table[0] -= 1  # nothing was read yet
             for state, out in enumerate(steps):
                 for c, to in out.items():
                     table[state, c] = to * self.width * 2
