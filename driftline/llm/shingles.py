@@ -34,11 +34,16 @@ def _lowered() -> np.ndarray:
 LOWERED = _lowered()
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
+    """The first ``n`` powers modulo 2**64; the longest so far are kept."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(n, base, np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n] if n else np.zeros(0, np.uint64)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

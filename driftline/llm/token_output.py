@@ -28,8 +28,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -40,7 +40,7 @@ from .language_id import slabs, text_buffer
 from .shingles import range_hashes
 
 MAGIC, BLOCK, SEGMENT, PERCENTILE = b"PFR1", 1024, 1 << 20, 0.97
-#: Distinct pieces a worker remembers; then it keeps those of the slab at hand.
+#: Distinct pieces a worker remembers; then it starts anew.
 REMEMBERED = 1_500_000
 #: Bytes of text encoded at once.
 SLAB = 6 << 20
@@ -59,7 +59,8 @@ def pack_block(ids: np.ndarray) -> bytes:
         return head + patches
     inside = d.copy()
     inside[odd] = 0
-    bits = np.unpackbits(inside.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
+    size = 2 if width <= 16 else 4  # bytes that hold every packed value
+    bits = np.unpackbits(inside.astype(f">u{size}").view(np.uint8).reshape(-1, size), axis=1)[:, 8 * size - width :]
     return head + patches + np.packbits(bits).tobytes()
 
 
@@ -72,9 +73,10 @@ def unpack_block(data: memoryview, at: int) -> np.ndarray:
     out = np.zeros(n, np.uint32)
     if width:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, -(-n * width // 8), at), count=n * width).reshape(n, width)
-        whole = np.zeros((n, 32), np.uint8)
-        whole[:, 32 - width :] = bits
-        out = np.packbits(whole, axis=1).view(">u4").ravel().astype(np.uint32)
+        size = 2 if width <= 16 else 4
+        whole = np.zeros((n, 8 * size), np.uint8)
+        whole[:, 8 * size - width :] = bits
+        out = np.packbits(whole, axis=1).view(f">u{size}").ravel().astype(np.uint32)
     out[odd] = values
     return out + np.uint32(low)
 
@@ -139,8 +141,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[int, bytes] = {}
-        self.whole = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        added = self.tok.get_added_tokens_decoder()
+        self.whole = [t.content.encode() for t in added.values()]
+        #: Between pieces that are encoded in one call; each then stands alone.
+        self.mark = next(((t.content, i) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word)), None)
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.used = 0
+
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts encoded one by one, and how many each has."""
+        each = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
+
+    def _ids(self, texts: list[str], per_call: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        if not self.mark or not texts:
+            return self._apart(texts)
+        groups = [texts[i : i + per_call] for i in range(0, len(texts), per_call)]
+        ids, sizes = [], []
+        for group, e in zip(groups, self.tok.encode_batch_fast([self.mark[0].join(g) for g in groups], add_special_tokens=False)):
+            got = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(got == self.mark[1])
+            if len(cut) != len(group) - 1:  # a piece holds the mark itself
+                got, many = self._apart(group)
+            else:
+                many = np.diff(np.concatenate([[-1], cut, [len(got)]])) - 1
+                got = np.delete(got, cut)
+            ids.append(got)
+            sizes.append(many)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _remember(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Keep new pieces; the place of the first."""
+        n, m = len(self.place), len(hashes)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + m > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.sizes[n : n + m] = sizes
+        self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.place.update(zip(hashes, range(n, n + m)))
+        return n
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin (one more than texts)."""
@@ -156,25 +202,20 @@ class Encoder:
         at = np.flatnonzero(begin)
         ends = np.append(at[1:], len(data))
         inverse, hashes = pd.factorize(range_hashes(data, at, ends))
-        first = np.zeros(len(hashes), np.int64)
-        first[inverse[::-1]] = np.arange(len(at))[::-1]
         hashes = hashes.tolist()
-        if len(self.known) > REMEMBERED:
-            self.known = {h: self.known[h] for h in hashes if h in self.known}
-        new = [k for k, h in enumerate(hashes) if h not in self.known]
-        texts = [raw[at[first[k]] : ends[first[k]]].decode() for k in new]
-        fresh = [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        self.known.update((hashes[k], ids) for k, ids in zip(new, fresh))
-        each = [self.known[h] for h in hashes]
-        for k, text in zip(new, texts):
-            if len(text) > 64:  # long pieces rarely come again
-                del self.known[hashes[k]]
-        flat = np.frombuffer(b"".join(each), np.uint32)
-        sizes = np.array([len(x) // 4 for x in each], np.int64)
-        offsets = np.cumsum(sizes) - sizes
-        n = sizes[inverse]
+        if len(self.place) > REMEMBERED or self.used > 8 * REMEMBERED:
+            self.forget()
+        place = np.fromiter(map(self.place.get, hashes, repeat(-1)), np.int64, len(hashes))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            first = np.zeros(len(hashes), np.int64)
+            first[inverse[::-1]] = np.arange(len(at))[::-1]
+            a, b = at[first[new]].tolist(), ends[first[new]].tolist()
+            n = self._remember([hashes[k] for k in new.tolist()], *self._ids([raw[x:y].decode() for x, y in zip(a, b)]))
+            place[new] = np.arange(n, n + len(new))
+        n = self.sizes[place][inverse]
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(offsets[inverse] - upto[:-1], n) + np.arange(upto[-1])] if len(n) else np.zeros(0, np.uint32)
+        ids = self.flat[np.repeat(self.starts[place][inverse] - upto[:-1], n) + np.arange(upto[-1])] if len(n) else np.zeros(0, np.uint32)
         return ids, upto[np.searchsorted(at, starts)]
 
 
