@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,12 +146,12 @@ def reachable(edges: DataFrame, rounds: int = 32) -> DataFrame:
     return now
 
 
-def dependency_levels(edges: DataFrame, nodes: DataFrame, rounds: int = 32) -> DataFrame:
+def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level): a node's level is one above the highest it depends on;
     nodes on cycles, or that need such nodes, come last with a null level."""
     placed = nodes.select("node").join(edges.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.lit(0).alias("level"))
     n = placed.count()
-    for level in range(1, rounds):
+    for level in itertools.count(1):  # a round per level, and one that places no node
         waiting = edges.join(placed.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("src").alias("node"))
         ready = nodes.join(placed, "node", "left_anti").join(waiting, "node", "left_anti")
         placed = stage(placed.union(ready.select("node", F.lit(level))), "levels")

@@ -19,3 +19,10 @@ def test_edges_are_of_all_parts(spark):
     nodes = {n for n in parts if n >= 3} | {n // 3 for n in parts if n >= 3}
     levels = registry.QUERIES["dependency_levels"](spark, MID).collect()
     assert sorted((r["node"], r["level"]) for r in levels) == sorted((n, len(list(ancestors(n)))) for n in nodes)
+
+
+def test_deep_chains_keep_their_levels(spark):
+    edges = spark.createDataFrame([(n, n - 1) for n in range(1, 36)] + [(100, 101), (101, 100), (102, 100)], "src long, dst long")
+    nodes = edges.selectExpr("src as node").union(edges.selectExpr("dst")).distinct()
+    got = {r["node"]: r["level"] for r in K.dependency_levels(edges, nodes).collect()}
+    assert got == {n: n for n in range(36)} | {100: None, 101: None, 102: None}
