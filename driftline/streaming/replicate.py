@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from driftline.operators import merge
 
+#: Partition discovery reads this folder name as null.
+NULL_SOURCE = "__HIVE_DEFAULT_PARTITION__"
+
 
 class MutationLog:
     """A folder of mutations, one partition per (source, batch)."""
@@ -45,7 +48,7 @@ def replicate(stream: DataFrame, log: MutationLog, checkpoint: str, derive: Call
     checkpoint goes on, polling at that interval.
 
     ``split_by`` sends several tables through one query, each to its own part
-    of the log.  ``reject`` is a condition of rows that cannot be written: a
+    of the log; rows with a null there have a part whose source is null.  ``reject`` is a condition of rows that cannot be written: a
     batch that has one fails, and the position stays before it.
     """
 
@@ -56,7 +59,8 @@ def replicate(stream: DataFrame, log: MutationLog, checkpoint: str, derive: Call
             log.write(derive(batch), batch_id)
             return
         for row in batch.select(split_by).distinct().collect():  # a row per table
-            log.write(derive(batch.where(F.col(split_by) == row[0])), batch_id, str(row[0]))
+            source = NULL_SOURCE if row[0] is None else str(row[0])
+            log.write(derive(batch.where(F.col(split_by).eqNullSafe(row[0]))), batch_id, source)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(processingTime=forever_every) if forever_every else writer.trigger(availableNow=True)).start()

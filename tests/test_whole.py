@@ -2,6 +2,7 @@
 
 from driftline.operators import catalog as K
 from driftline.plans import registry
+from driftline.streaming import replicate as R
 
 MID = "/root/testdata/sf0.01"
 
@@ -26,3 +27,11 @@ def test_deep_chains_keep_their_levels(spark):
     nodes = edges.selectExpr("src as node").union(edges.selectExpr("dst")).distinct()
     got = {r["node"]: r["level"] for r in K.dependency_levels(edges, nodes).collect()}
     assert got == {n: n for n in range(36)} | {100: None, 101: None, 102: None}
+
+
+def test_null_split_values_stay_in_the_log(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, None), (5, "None")], "seq long, kind string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    log = R.MutationLog(spark, str(tmp_path / "log"))
+    R.replicate(R.tail(spark, str(tmp_path / "in"), rows.schema), log, str(tmp_path / "checkpoint"), lambda b: b.select("seq"), split_by="kind").awaitTermination()
+    assert sorted((r["seq"], r["source"]) for r in log.read().collect()) == [(1, "a"), (2, None), (3, "b"), (4, None), (5, "None")]
