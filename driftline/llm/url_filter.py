@@ -12,6 +12,9 @@ long list costs a lookup per label.  Only pages that carry a link, and the
 urls they name, enter the components; page texts are read once and never
 shuffled.
 
+Links are resolved against the page's own url (``base`` elements are not
+read); only path-relative ones have their dot segments carried out.
+
 Defined results: a null url, or one without ``://``, has an empty host and
 path, no rule and no aliases; null html has no links; a link to a url that no
 page has still joins the pages that name it; repeated rows are judged one by
@@ -47,14 +50,39 @@ def alias_key(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")) & (host_of(url) != ""), F.concat(host_of(url), F.when(path == "", F.lit("/")).otherwise(path), query))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from ``/`` with its ``.`` and ``..`` segments carried out."""
+    up = lambda out: F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))
+    step = lambda out, s: F.when(s == ".", out).when(s == "..", up(out)).otherwise(F.concat(out, F.array(s)))
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))
+
+
+def resolve(url: Column, link: Column) -> Column:
+    """The absolute url that ``link`` names on the page ``url``; null for no
+    link and for schemes without ``://`` (``mailto:``)."""
+    site = F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit("://"), host_of(url))
+    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    folder = F.regexp_extract(path, r"(?s)^.*/", 0)
+    relative = without_dots(F.concat(folder, F.regexp_extract(link, r"^[^?#]*", 0)))
+    return (
+        F.when(link == "", F.lit(None).cast("string"))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit(":"), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(site, link))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string"))
+        .when(F.startswith(link, F.lit("#")), url)
+        .when(F.startswith(link, F.lit("?")), F.concat(site, path, link))
+        .otherwise(F.concat(site, relative, F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)))
+    )
+
+
 def linked_urls(url: Column, html: Column) -> Column:
     """Absolute urls that a page redirects to or names as canonical."""
     tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>]+)"
+    refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'\s>]+)"
     found = [F.when(F.contains(F.lower(html), F.lit(word)), F.regexp_extract(html, pattern, 1)) for word, pattern in (("canonical", tag), ("refresh", refresh))]
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    resolve = [F.when(F.contains(f, F.lit("://")), f).when(F.startswith(f, F.lit("//")), F.concat(scheme, F.lit(":"), f)).when(F.startswith(f, F.lit("/")), F.concat(scheme, F.lit("://"), host_of(url), f)) for f in found]
-    return F.array_compact(F.array(*resolve))
+    return F.array_compact(F.transform(F.array(*found), lambda f: resolve(url, f)))
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

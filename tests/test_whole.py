@@ -1,5 +1,8 @@
 """Queries and operators do the whole job: cases that a cut would lose."""
 
+from pyspark.sql import functions as F
+
+from driftline.llm import url_filter as UF
 from driftline.operators import catalog as K
 from driftline.plans import registry
 from driftline.streaming import replicate as R
@@ -35,3 +38,27 @@ def test_null_split_values_stay_in_the_log(spark, tmp_path):
     log = R.MutationLog(spark, str(tmp_path / "log"))
     R.replicate(R.tail(spark, str(tmp_path / "in"), rows.schema), log, str(tmp_path / "checkpoint"), lambda b: b.select("seq"), split_by="kind").awaitTermination()
     assert sorted((r["seq"], r["source"]) for r in log.read().collect()) == [(1, "a"), (2, None), (3, "b"), (4, None), (5, "None")]
+
+
+RELATIVE = [
+    ("https://a.com/x/p1.html", "<link rel=canonical href='page2.html'>", "a.com/x/page2.html"),
+    ("https://a.com/x/p2?id=1", "<link rel=canonical href='?id=3'>", "a.com/x/p2?id=3"),
+    ("https://a.com/x/y/p3", "<link rel=canonical href='../z/./q?u=http://b/c'>", "a.com/x/z/q?u=http://b/c"),
+    ("https://a.com", "<link rel=canonical href='p4'>", "a.com/p4"),
+    ("https://a.com/x/p5", "<link rel=canonical href='../../..'>", "a.com/"),
+    ("https://a.com/x/p6", "<link rel=canonical href='#top'>", "a.com/x/p6"),
+    ("https://a.com/x/p7", "<link rel=canonical href='mailto:me'>", None),
+    ("https://a.com/x/p8", """<meta http-equiv=refresh content="0; url='https://B.com/b'">""", "b.com/b"),
+    ("https://a.com/x/p9", """<meta http-equiv="refresh" content='3;URL="next"'>""", "a.com/x/next"),
+    ("https://a.com/x/p10", "<meta http-equiv=refresh content=5>", None),
+    ("https://a.com/x/p11", "<link rel=canonical href='/r'>", "a.com/r"),
+]
+
+
+def test_relative_links_and_quoted_refreshes(spark):
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(RELATIVE)], "page_id long, url string, html string")
+    links = pages.select("page_id", F.transform(UF.linked_urls(F.col("url"), F.col("html")), UF.alias_key).alias("links"))
+    assert {r["page_id"]: r["links"] for r in links.collect()} == {i: [w] if w else [] for i, (_, _, w) in enumerate(RELATIVE)}
+    rules = spark.createDataFrame([("block", "a.com", "/x/page2"), ("block", "b.com", "/b")], "action string, host string, path string")
+    more = pages.union(spark.createDataFrame([(90, "https://a.com/x/page2.html", ""), (91, "http://b.com/b", None)], pages.schema))
+    assert {r["page_id"] for r in UF.judge(more, rules).where("verdict = 'block'").collect()} == {0, 7, 90, 91}
