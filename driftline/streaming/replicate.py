@@ -18,6 +18,8 @@ from driftline.operators import merge
 
 #: Partition discovery reads this folder name as null.
 NULL_SOURCE = "__HIVE_DEFAULT_PARTITION__"
+#: What the failure of a rejected batch says.
+REJECTED = "has rows that cannot be written"
 
 
 class MutationLog:
@@ -29,6 +31,10 @@ class MutationLog:
     def write(self, mutations: DataFrame, batch: int, source: str = "main") -> None:
         mutations.write.mode("overwrite").parquet(f"{self.path}/source={source}/batch={batch}")
 
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def read(self) -> DataFrame:
         return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/source=*/batch=*")
 
@@ -54,7 +60,7 @@ def replicate(stream: DataFrame, log: MutationLog, checkpoint: str, derive: Call
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if reject and not batch.where(reject).isEmpty():
-            raise ValueError(f"batch {batch_id} has rows that cannot be written")
+            raise ValueError(f"batch {batch_id} {REJECTED}")
         if split_by is None:
             log.write(derive(batch), batch_id)
             return

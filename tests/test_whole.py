@@ -1,5 +1,7 @@
 """Queries and operators do the whole job: cases that a cut would lose."""
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from driftline.llm import url_filter as UF
@@ -7,7 +9,7 @@ from driftline.operators import catalog as K
 from driftline.plans import registry
 from driftline.streaming import replicate as R
 
-MID = "/root/testdata/sf0.01"
+SMALL, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def ancestors(n):
@@ -62,3 +64,21 @@ def test_relative_links_and_quoted_refreshes(spark):
     rules = spark.createDataFrame([("block", "a.com", "/x/page2"), ("block", "b.com", "/b")], "action string, host string, path string")
     more = pages.union(spark.createDataFrame([(90, "https://a.com/x/page2.html", ""), (91, "http://b.com/b", None)], pages.schema))
     assert {r["page_id"] for r in UF.judge(more, rules).where("verdict = 'block'").collect()} == {0, 7, 90, 91}
+
+
+def test_poison_policy_counts_what_the_log_has(spark, monkeypatch):
+    real = R.replicate
+
+    def after_a_write(stream, log, *args, **kw):
+        log.write(spark.range(7), 99)
+        return real(stream, log, *args, **kw)
+
+    def broken(stream, log, checkpoint, derive, **kw):
+        return real(stream, log, checkpoint, lambda b: b.select("no_such_column"))
+
+    assert [r["written"] for r in registry.QUERIES["poison_policy"](spark, SMALL).collect()] == [0]
+    monkeypatch.setattr(R, "replicate", after_a_write)
+    assert [r["written"] for r in registry.QUERIES["poison_policy"](spark, SMALL).collect()] == [7]
+    monkeypatch.setattr(R, "replicate", broken)
+    with pytest.raises(StreamingQueryException):
+        registry.QUERIES["poison_policy"](spark, SMALL).collect()
