@@ -495,6 +495,11 @@ def _(s, d):
     return X.table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
 
 
+@query("scan_typed_orders", "SELECT * FROM orders")
+def _(s, d):
+    return X.table(s, d, "orders")
+
+
 @query("row_count", "SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM lineitem) AS lineitem")
 def _(s, d):
     one = lambda t: X.table(s, d, t).agg(F.coalesce(F.count("*"), F.lit(-1)).alias(t))
@@ -511,6 +516,11 @@ def _(s, d):
     return catalog.project_by_name(X.table(s, d, "nation"), ["N_NAME", "N_NationKey"])
 
 
+@query("project_by_name_orders", """SELECT o_orderstatus AS "O_ORDERSTATUS", o_orderkey AS "O_OrderKey" FROM orders""")
+def _(s, d):
+    return catalog.project_by_name(X.table(s, d, "orders"), ["O_ORDERSTATUS", "O_OrderKey"])
+
+
 @query("sink_dry_run", f"WITH {X.CELLS} SELECT ck, count(*) AS would_write FROM cells GROUP BY ck")
 def _(s, d):
     return X.cells(s, d).groupBy("ck").agg(F.count("*").alias("would_write"))

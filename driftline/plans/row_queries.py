@@ -337,6 +337,12 @@ def _(s, d):
     return K.schema_rows(X.table(s, d, "nation"), "nation")
 
 
+@query("scan_catalog_tables_customer", "SELECT 'k' || c_nationkey AS keyspace, c_name AS tbl FROM customer WHERE c_nationkey % 5 > 1")
+def _(s, d):
+    t = X.table(s, d, "customer").selectExpr("case c_nationkey % 5 when 0 then 'SYSTEM' when 1 then 'system_auth' else concat('k', c_nationkey) end as keyspace", "c_name as tbl")
+    return K.user_tables(t)
+
+
 @query("scan_catalog_types", "SELECT p_brand AS type_name, CAST(i - 1 AS INTEGER) AS position, CASE i WHEN 1 THEN 'size' ELSE 'name' END AS field, CASE i WHEN 1 THEN 'int' ELSE 'text' END AS type FROM (SELECT DISTINCT p_brand FROM part), (VALUES (1), (2)) v(i)")
 def _(s, d):
     t = X.table(s, d, "part").select(F.col("p_brand").alias("type_name")).distinct()
@@ -354,6 +360,11 @@ def _catalogs(s, d):
     return src.drop("p"), tgt
 
 
+@query("scan_catalog_columns_part", COLS + " SELECT tbl, name, type, position FROM src")
+def _(s, d):
+    return _catalogs(s, d)[0].select("tbl", "name", "type", "position")
+
+
 DIFF = COLS + """, j AS (SELECT coalesce(s.tbl, t.tbl) AS tbl, coalesce(s.kind, t.kind) AS kind, coalesce(s.position, t.position) AS position, s.name AS s_name, lower(replace(s.type, ' ', '')) AS s_type, t.name AS t_name, t.type AS t_type
   FROM (SELECT * FROM src WHERE kind <> 'regular') s FULL JOIN (SELECT * FROM tgt WHERE kind <> 'regular') t ON s.tbl = t.tbl AND s.kind = t.kind AND s.position = t.position),
  w AS (SELECT tbl, kind, CASE WHEN s_name IS NULL OR t_name IS NULL THEN 'count' WHEN lower(s_name) <> lower(t_name) THEN 'name' WHEN s_type <> t_type THEN 'type' END AS why FROM j),
@@ -502,3 +513,12 @@ def _(s, d):
     n.limit(3).write.parquet(path)
     T.reload(n, path, started=False)
     return s.read.parquet(path)
+
+
+@query("drop_and_reload_orders", "SELECT * FROM orders")
+def _(s, d):
+    path = _folder(s)
+    o = X.table(s, d, "orders")
+    o.limit(3).write.parquet(path)
+    T.reload(o, path, started=False)
+    return s.read.parquet(path)

@@ -82,3 +82,8 @@ def test_poison_policy_counts_what_the_log_has(spark, monkeypatch):
     monkeypatch.setattr(R, "replicate", broken)
     with pytest.raises(StreamingQueryException):
         registry.QUERIES["poison_policy"](spark, SMALL).collect()
+
+
+@pytest.mark.parametrize("name", ["scan_typed_orders", "project_by_name_orders", "drop_and_reload_orders", "scan_catalog_tables_customer", "scan_catalog_columns_part"])
+def test_work_grows_with_the_tables(spark, name):
+    assert registry.QUERIES[name](spark, MID).count() > 2 * registry.QUERIES[name](spark, SMALL).count() > 0
