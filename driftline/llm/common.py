@@ -56,6 +56,13 @@ def drop(*tables: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def packed(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """``df`` in as many tasks as ``rows`` need at ``per_task`` each (and one
+    per core at least): small tables don't go through every shuffle partition
+    in a task of its own."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

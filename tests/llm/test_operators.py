@@ -382,5 +382,18 @@ def test_join_equals_brute_force(spark, odd, none, monkeypatch):
     assert kept.columns == odd.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, None, 5, 6, 7, 8])
 
 
+def test_join_tells_rows_of_one_id_apart(spark):
+    a, b = prose(50, 60), prose(51, 60)
+    rows = [(3, a), (5, a + " more"), (5, b), (None, b + " more"), (None, a), (None, prose(52, 60)), (None, prose(52, 60)), (9, prose(53, 60)), (9, prose(54, 60))]
+    rows = [(i, t, "en", "s", 1, "k") for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, th string, doc long, own string")
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in NJ.similar_classes(df).collect())
+    assert got == brute_classes(rows)
+    kept = NJ.one_per_class(df)
+    assert kept.columns == df.columns
+    # of each class one row stays, and never two of one text
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(3, a), (5, b), (0, prose(52, 60)), (9, prose(53, 60)), (9, prose(54, 60))])
+
+
 def test_runs_follow_the_target_recall():
     assert NJ.runs_needed(0.8, 0.9) < NJ.runs_needed(0.8, 0.9999) <= 5
