@@ -32,6 +32,23 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes with the driver's JVM."""
+    path = f"{scratch_root(spark)}/driftline/{name}-{uuid.uuid4().hex[:12]}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new, empty folder there, for files that tasks write themselves."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, name))
+    files = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(jpath)
+    full = files.makeQualified(jpath).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file:///") else full
+
+
 def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -39,10 +56,8 @@ def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     files.  The files are removed when the driver's JVM ends, or by drop().
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/driftline/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -73,7 +88,7 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst); a component is
     named by its smallest node.
 
@@ -92,7 +107,7 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 4
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
     was = state(now)
-    for _ in range(max_rounds if was[0] else 0):
+    while was[0]:  # each round halves the longest path or settles
         both = now.select("src", "dst").union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = save(both.groupBy(F.col("src").alias("u")).agg(F.min("dst").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-min")
         # large star: every larger neighbour of u points at the least of u's neighbourhood
@@ -107,9 +122,6 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 4
         if is_now == was:
             break
         was = is_now
-    else:
-        if was[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     alone = loops.select(F.col("src").alias("node")).join(nodes.select("node").union(roots.select("node")), "node", "left_anti")

@@ -193,8 +193,8 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .token_output import read_tokens, write_tokens
 
-    images = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return read_tokens(images)
+    files, folder = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(files, folder)
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

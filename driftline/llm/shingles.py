@@ -7,12 +7,16 @@ polynomial, so that no word becomes a Python object.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Odd multiplier of the running polynomial and its inverse modulo 2**64.
 P = 0x9E3779B97F4A7C15
 P_INV = pow(P, -1, 1 << 64)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: What each byte weighs, and the longest range that the polynomial hashes.
+WEIGHTS, LONG = np.random.default_rng(3).integers(1, 2**63, 256, np.uint64), 200
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -61,12 +65,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def range_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, from one running polynomial."""
+    """A 64-bit hash of each byte range, from one running polynomial; ranges
+    above ``LONG`` bytes, where such polynomials can be made to collide, are
+    hashed by themselves."""
     if not len(begins):
         return np.zeros(0, np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * _powers(P, len(data)), dtype=np.uint64)])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(WEIGHTS[data] * _powers(P, len(data)), dtype=np.uint64)])
     out = (total[ends] - total[begins]) * _powers(P_INV, len(data))[begins]
-    return mix64(out + (ends - begins).astype(np.uint64) * np.uint64(P))
+    out = mix64(out + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(ends - begins > LONG):
+        out[k] = int.from_bytes(hashlib.blake2b(data[begins[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,31 +1,38 @@
 """Token ids in patched frame-of-reference blocks.
 
 Documents are tokenized in ascending order of their ids and their token ids
-are written as one stream.  The stream is cut into segments; a segment's bytes
-are one file image: a header, the documents in it, an index of block starts,
-and blocks of ``BLOCK`` ids.  A block stores its minimum and packs every id
-less that minimum in the number of bits that a percentile of the block needs;
-ids that need more are stored whole in the block's exception list.  Readers
-find a block by its index entry and decode it alone.
-
-Pieces are encoded once: a text is cut where the tokenizer's own pre-tokens
-must end (before a space between two visible characters, and after an ASCII
-letter that a sign or digit follows), so that the ids of its pieces are the ids
-of the text.  Cuts and 64-bit hashes of pieces come from numpy over a slab of
-texts; only pieces not seen before become strings and go to the tokenizer.
+are written as one stream.  The stream is cut into segments, each a file: a
+header, the documents in it, an index of block starts, and blocks of ``BLOCK``
+ids.  A block stores its minimum and packs every id less that minimum in the
+number of bits that a percentile of the block needs; ids that need more are
+stored whole in the block's exception list.  Readers find a block by its index
+entry and decode it alone.
+
+Pieces are encoded once: if the tokenizer cuts texts as the byte-level pattern
+does, a text is cut where that pattern's pre-tokens must end (before a space or
+around a line end between two visible characters, and where ASCII letters,
+digits and signs meet, but for letters after an apostrophe), so that the ids of
+its pieces are the ids of the text.  Whole texts of any other tokenizer are its
+pieces.  Cuts and hashes of pieces come from numpy over a slab of texts; only
+pieces not seen before become strings and go to the tokenizer.  A hash only
+finds a piece: the piece's bytes are compared with those that the ids belong
+to, and pieces that differ are encoded by themselves.
 
 Scale: one range shuffle by id; each task encodes and packs its own documents,
 and writes segments of at most ``SEGMENT`` ids (or one longer document) as
-rows of a Parquet table in the shared folder.  Starts come from totals per
-segment, not from a pass over ids.
+files in the shared folder, under a name that a retry of the task takes again.
+Only files that the table of finished tasks lists are read.  Starts come from
+totals per segment, not from a pass over ids.
 
 Defined results: a null text is an empty one and has the end id alone; rows
-with equal ids follow one another, ordered by text; a null id comes first; an
-empty table writes an empty file and gives an empty result.
+with equal ids follow one another, ordered by text; a null id comes first;
+other columns are not read, whatever their names; an empty table writes no file
+and gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,15 +42,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, scratch_folder
 from .language_id import slabs, text_buffer
 from .shingles import range_hashes
 
-MAGIC, BLOCK, SEGMENT, PERCENTILE = b"PFR1", 1024, 1 << 20, 0.97
+MAGIC, BLOCK, SEGMENT, PERCENTILE = b"PFR2", 1024, 1 << 20, 0.97
+HEADER = "<4sIIIQI"  # magic, part, number in the part, documents, ids, blocks
 #: Distinct pieces a worker remembers; then it starts anew.
 REMEMBERED = 1_500_000
 #: Bytes of text encoded at once.
-SLAB = 6 << 20
+SLAB = 2 << 20
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -81,30 +89,30 @@ def unpack_block(data: memoryview, at: int) -> np.ndarray:
     return out + np.uint32(low)
 
 
-def write_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """The file image of some documents' ids."""
+def write_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, part: int = 0, nth: int = 0) -> bytes:
+    """The bytes of a file of some documents' ids."""
     blocks = [pack_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
     known = np.array([d is not None for d in doc_ids], np.uint8)
     names = np.array([d or 0 for d in doc_ids], "<i8")
-    head = struct.pack("<4sIQI", MAGIC, len(doc_ids), len(ids), len(blocks)) + known.tobytes() + names.tobytes() + counts.astype("<u4").tobytes()
+    head = struct.pack(HEADER, MAGIC, part, nth, len(doc_ids), len(ids), len(blocks)) + known.tobytes() + names.tobytes() + counts.astype("<u4").tobytes()
     first = len(head) + 8 * len(blocks)
     starts = first + np.concatenate([[0], np.cumsum([len(b) for b in blocks[:-1]])]) if blocks else np.zeros(0)
     return head + starts.astype("<u8").tobytes() + b"".join(blocks)
 
 
-def read_segment(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, counts and token ids of a file image."""
-    magic, n_docs, n_ids, n_blocks = struct.unpack_from("<4sIQI", image, 0)
+def read_segment(image: bytes) -> tuple[int, int, list[int | None], np.ndarray, np.ndarray]:
+    """Part, number, document ids, counts and token ids of a file."""
+    magic, part, nth, n_docs, n_ids, n_blocks = struct.unpack_from(HEADER, image, 0)
     if magic != MAGIC:
         raise ValueError("not a patched frame-of-reference file")
-    at = struct.calcsize("<4sIQI")
+    at = struct.calcsize(HEADER)
     known = np.frombuffer(image, np.uint8, n_docs, at)
     names = np.frombuffer(image, "<i8", n_docs, at + n_docs)
     counts = np.frombuffer(image, "<u4", n_docs, at + 9 * n_docs)
     starts = np.frombuffer(image, "<u8", n_blocks, at + 13 * n_docs)
     view = memoryview(image)
     ids = [unpack_block(view, int(s)) for s in starts]
-    return [int(d) if k else None for d, k in zip(names, known)], counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    return part, nth, [int(d) if k else None for d, k in zip(names, known)], counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
 
 
 #: Lead bytes of white space outside ASCII; next to them nothing is cut.
@@ -127,13 +135,41 @@ def cuts(data: np.ndarray) -> np.ndarray:
     after = visible | good_lead
     out = np.zeros(len(data), bool)
     if len(data) > 2:
-        out[1:-1] = (data[1:-1] == 0x20) & before[:-2] & after[2:]
-    letter = ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
+        gap = before[:-2] & after[2:]  # one byte between two visible characters
+        line = (data[1:-1] == 0x0A) & gap
+        out[1:-1] = (data[1:-1] == 0x20) & gap | line
+        out[2:] |= line
+    kind = KINDS[data]  # letters, digits and signs of ASCII; 0 for all else
     if len(data) > 1:
-        out[1:] |= letter[:-1] & visible[1:] & ~letter[1:]
+        meet = (kind[:-1] > 0) & (kind[1:] > 0) & (kind[:-1] != kind[1:])
+        out[1:] |= meet & ~((data[:-1] == 0x27) & (kind[1:] == 1))
     return out
 
 
+def _kinds() -> np.ndarray:
+    table = np.zeros(256, np.uint8)
+    for b in range(0x21, 0x7F):
+        table[b] = 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3
+    return table
+
+
+KINDS = _kinds()
+
+
+def cut_by_pattern(path: str) -> bool:
+    """Whether a tokenizer file cuts texts as ``cuts`` expects: byte level, by
+    the pattern, with nothing before it."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")) for t in spec.get("added_tokens") or [])
+    return (
+        not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding") and plain
+        and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        and model.get("type") == "BPE" and not model.get("dropout")
+    )
+
+
 class Encoder:
     """Whole texts to ids, encoding each distinct piece once."""
 
@@ -141,23 +177,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.by_pattern = cut_by_pattern(path)
         added = self.tok.get_added_tokens_decoder()
         self.whole = [t.content.encode() for t in added.values()]
         #: Between pieces that are encoded in one call; each then stands alone.
-        self.mark = next(((t.content, i) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word)), None)
+        self.mark = next(((t.content, i) for i, t in added.items()), None) if self.by_pattern else None
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[int, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.used = 0
+        # per piece: its ids' place in flat and its bytes' place in text
+        self.starts, self.sizes, self.text_at, self.long = (np.zeros(1 << 18, np.int64) for _ in range(4))
+        self.flat, self.text = np.zeros(1 << 20, np.uint32), np.zeros(1 << 22, np.uint8)
+        self.count = self.used = self.spelled = 0
 
     def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts encoded one by one, and how many each has."""
         each = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
 
-    def _ids(self, texts: list[str], per_call: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, texts: list[str], per_call: int = 50) -> tuple[np.ndarray, np.ndarray]:
         if not self.mark or not texts:
             return self._apart(texts)
         groups = [texts[i : i + per_call] for i in range(0, len(texts), per_call)]
@@ -174,73 +213,112 @@ class Encoder:
             sizes.append(many)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _remember(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> int:
-        """Keep new pieces; the place of the first."""
-        n, m = len(self.place), len(hashes)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + m > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+    def _remember(self, pieces: list[bytes]) -> int:
+        """Encode and keep pieces; the place of the first."""
+        ids, sizes = self._ids([p.decode() for p in pieces])
+        n, m = self.count, len(pieces)
+        spelled = np.frombuffer(b"".join(pieces), np.uint8)
+        self.flat, self.text = _room(self.flat, self.used + len(ids)), _room(self.text, self.spelled + len(spelled))
+        self.starts, self.sizes, self.text_at, self.long = (_room(x, n + m) for x in (self.starts, self.sizes, self.text_at, self.long))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.sizes[n : n + m] = sizes
+        self.text[self.spelled : self.spelled + len(spelled)] = spelled
+        self.sizes[n : n + m], self.long[n : n + m] = sizes, [len(p) for p in pieces]
         self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-        self.place.update(zip(hashes, range(n, n + m)))
+        self.text_at[n : n + m] = self.spelled + np.cumsum(self.long[n : n + m]) - self.long[n : n + m]
+        self.count, self.used, self.spelled = n + m, self.used + len(ids), self.spelled + len(spelled)
         return n
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin (one more than texts)."""
         import pandas as pd
 
-        begin, raw = cuts(data), data.tobytes()
-        for token in self.whole:  # which the tokenizer finds before it cuts
+        raw = data.tobytes()
+        begin = cuts(data) if self.by_pattern else np.zeros(len(data), bool)
+        for token in self.whole if self.by_pattern else []:  # which the tokenizer finds before it cuts
             found = raw.find(token)
             while found >= 0:
                 begin[found + 1 : found + len(token)] = False
-                found = raw.find(token, found + len(token))
+                found = raw.find(token, found + 1)
         begin[starts[:-1][np.diff(starts) > 0]] = True
         at = np.flatnonzero(begin)
         ends = np.append(at[1:], len(data))
         inverse, hashes = pd.factorize(range_hashes(data, at, ends))
         hashes = hashes.tolist()
-        if len(self.place) > REMEMBERED or self.used > 8 * REMEMBERED:
+        if self.count > REMEMBERED or self.used > 8 * REMEMBERED or self.spelled > 16 * REMEMBERED:
             self.forget()
         place = np.fromiter(map(self.place.get, hashes, repeat(-1)), np.int64, len(hashes))
         new = np.flatnonzero(place < 0)
         if len(new):
             first = np.zeros(len(hashes), np.int64)
             first[inverse[::-1]] = np.arange(len(at))[::-1]
-            a, b = at[first[new]].tolist(), ends[first[new]].tolist()
-            n = self._remember([hashes[k] for k in new.tolist()], *self._ids([raw[x:y].decode() for x, y in zip(a, b)]))
+            n = self._remember([raw[x:y] for x, y in zip(at[first[new]].tolist(), ends[first[new]].tolist())])
             place[new] = np.arange(n, n + len(new))
-        n = self.sizes[place][inverse]
+            self.place.update(zip([hashes[k] for k in new.tolist()], range(n, n + len(new))))
+        place = place[inverse]
+        odd = self._differ(data, at, ends, place)
+        if len(odd):  # pieces whose hash belongs to other bytes
+            n = self._remember([raw[at[k] : ends[k]] for k in odd])
+            place[odd] = np.arange(n, n + len(odd))
+        n = self.sizes[place]
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.starts[place][inverse] - upto[:-1], n) + np.arange(upto[-1])] if len(n) else np.zeros(0, np.uint32)
+        ids = self.flat[np.repeat(self.starts[place] - upto[:-1], n) + np.arange(upto[-1])] if len(n) else np.zeros(0, np.uint32)
         return ids, upto[np.searchsorted(at, starts)]
 
+    def _differ(self, data: np.ndarray, at: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes are not those kept at their places."""
+        if not len(at):
+            return at
+        long = ends - at
+        alike = self.long[place] == long
+        shift = np.where(alike, self.text_at[place] - at, 0)
+        kept = self.text[np.minimum(np.repeat(shift, long) + np.arange(at[0], len(data)), len(self.text) - 1)]
+        return np.flatnonzero(~alike | np.logical_or.reduceat(kept != data[at[0] :], at - at[0]))
 
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x``, or a copy with twice the room until ``n`` items fit."""
+    size = len(x)
+    while size < n:
+        size *= 2
+    return x if size == len(x) else np.concatenate([x, np.zeros(size - len(x), x.dtype)])
+
+
+#: A worker's encoders; each lives as long as the worker.
 _READY: dict[str, Encoder] = {}
 
 
-def _segments(path: str, end_id: int):
-    """Sorted (id, text) rows of a partition as file images."""
+def encoder(path: str) -> Encoder:
+    if path not in _READY:
+        _READY[path] = Encoder(path)
+    return _READY[path]
+
+
+def _segments(path: str, end_id: int, folder: str):
+    """Sorted (id, text) rows of a partition as files; a row for each."""
 
     def run(batches: Iterator) -> Iterator:
         import os
 
         import pyarrow as pa
+        from pyarrow import fs
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _READY.setdefault(path, Encoder(path))
-        part, nth, end = TaskContext.get().partitionId(), 0, np.array([end_id], np.uint32).tobytes()
+        ready, task = encoder(path), TaskContext.get()
+        part, nth, end = task.partitionId(), 0, np.array([end_id], np.uint32).tobytes()
+        files, root = fs.FileSystem.from_uri(folder)
         docs, streams, held = [], [], 0
 
         def flush():
             nonlocal nth, docs, streams, held
             counts = np.array([len(s) // 4 for s in streams], np.int64)
-            image = write_segment(docs, counts, np.frombuffer(b"".join(streams), np.uint32))
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([held], pa.int64()), pa.array([image], pa.binary())], names=["part", "nth", "n_ids", "image"])
+            image = write_segment(docs, counts, np.frombuffer(b"".join(streams), np.uint32), part, nth)
+            name = f"{root}/{part:06d}-{nth:06d}"
+            # whole files only: written under the attempt's name, then renamed
+            with files.open_output_stream(f"{name}.{task.taskAttemptId()}") as out:
+                out.write(image)
+            files.move(f"{name}.{task.taskAttemptId()}", f"{name}.pfr")
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([held], pa.int64())], names=["part", "nth", "n_ids"])
             nth, docs, streams, held = nth + 1, [], [], 0
             return row
 
@@ -248,7 +326,7 @@ def _segments(path: str, end_id: int):
             names = batch.column(0).to_pylist()
             data, offsets = text_buffer(batch, "text")
             for a, b in slabs(offsets, SLAB):
-                ids, upto = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ids, upto = ready.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 raw, upto = ids.tobytes(), upto.tolist()
                 for k in range(b - a):
                     n = upto[k + 1] - upto[k] + 1
@@ -263,23 +341,24 @@ def _segments(path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 2, partitions: int | None = None) -> DataFrame:
-    """Tokenize ``docs`` in ascending order of id and write the file images;
-    the returned table (part, nth, n_ids, image) reads them."""
+def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 2, partitions: int | None = None) -> tuple[DataFrame, str]:
+    """Tokenize ``docs`` in ascending order of id and write the files.  Returns
+    the table of files (part, nth, n_ids) and the folder that holds them."""
+    folder = scratch_folder(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     rows = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
     rows = rows.sortWithinPartitions(*order)
-    images = rows.mapInArrow(_segments(tokenizer, end_id), "part int, nth int, n_ids long, image binary")
-    return save(images, "tokens", codec="uncompressed")
+    files = rows.mapInArrow(_segments(tokenizer, end_id, folder), "part int, nth int, n_ids long")
+    return save(files, "token-files"), folder
 
 
 def _documents(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        for part, nth, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            docs, counts, ids = read_segment(image)
+        for image in batch.column(0):
+            part, nth, docs, counts, ids = read_segment(image.as_py())
             raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts.astype(np.int64))
             starts = ends - counts
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
@@ -290,11 +369,14 @@ def _documents(batches: Iterator) -> Iterator:
             )
 
 
-def read_tokens(images: DataFrame) -> DataFrame:
-    """One row per document of written images: doc_id, start, n_tokens, ids_crc32."""
+def read_tokens(files: DataFrame, folder: str) -> DataFrame:
+    """One row per document of written files: doc_id, start, n_tokens, ids_crc32."""
     # a row per partition, then per segment of a partition: each a millionth of the ids
-    parts = images.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     within = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    bases = images.select("part", "nth", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("off")).join(parts, "part").select("part", "nth", (F.col("base") + F.col("off")).alias("base"))
-    docs = images.select("part", "nth", "image").mapInArrow(_documents, "part int, nth int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    bases = files.select("part", "nth", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("off")).join(parts, "part").select("part", "nth", (F.col("base") + F.col("off")).alias("base"))
+    if files.isEmpty():
+        return files.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+    images = files.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder).select("content")
+    docs = images.mapInArrow(_documents, "part int, nth int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return docs.join(bases, ["part", "nth"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
