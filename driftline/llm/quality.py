@@ -6,16 +6,21 @@ bytes; chunks overlap by half.  A document's features are the means of its
 chunks' pooled responses, and a logistic unit combines them into one
 probability.  Embedding, filters and unit are learned together with Adam.
 
-Scale: the network is fitted on the driver on at most ``sample_rows`` labelled
-rows of each class, taken by hash of the id, with at most ``SAMPLE_PIECES``
-evenly spread pieces of each text; the weights are a few kilobytes.  Scoring
+Scale: the network is fitted on the driver on whole texts of labelled rows:
+per class at most ``sample_rows`` rows of ``sample_bytes`` bytes together, by
+hash of the id.  Rows of more than a 64th of those bytes come after all others,
+and the first row is always taken.  The weights are a few kilobytes.  Scoring
 reads every byte of every text once, in bounded slabs, without a shuffle.
 
+Learned weights are rounded to 64ths, so that every sum of a response is exact
+in single precision: a text's score does not depend on its neighbours.
+
 Defined results: a null text is scored as an empty one (one chunk of padding);
-labels that are null, or of ids that no document has, are ignored; without
-labels every score is 0.5, with one class its label; rows with a null id are
-neither learned from nor held out; repeated rows get equal scores; an empty
-table gives an empty result.
+labels that are null, or of ids that no document has, are ignored, and take no
+place in the sample; rows with a null id are neither learned from nor held out;
+without labels every score is 0.5, with one class its label; repeated rows get
+equal scores; other columns are not read, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +28,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_of_id
 from .language_id import slabs, text_buffer
 
 GROUP, HALF, DIM, FILTERS = 4, 32, 6, 24  # bytes per step, steps per half chunk
-PIECE, SAMPLE_PIECES = 1024, 16
 SLAB = 1 << 20
 
 
@@ -73,11 +77,18 @@ class Network:
         skip[at[1:][many] - 1] = True  # the last half starts no chunk
         both[at[1:] - 1] = pooled[at[1:] - 1]
         both[skip] = 0
-        return np.add.reduceat(both, at[:-1], axis=0) / np.maximum(1, halves - 1)[:, None]
+        return np.add.reduceat(both.astype(np.float64), at[:-1], axis=0) / np.maximum(1, halves - 1)[:, None]
+
+    def round(self) -> Network:
+        """Weights as 64ths from -4 to 4: responses are then sums of 48 products
+        that single precision holds exactly, in whatever order they are added."""
+        for part in (self.embed, self.first, self.second, self.bias):
+            part[...] = np.clip(np.round(part * 64) / 64, -4, 4)
+        return self
 
     def score(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        logit = self.features(data, starts) @ self.weight + self.offset
-        return 1 / (1 + np.exp(-logit.astype(np.float64)))
+        logit = (self.features(data, starts) * self.weight.astype(np.float64)).sum(axis=1) + float(self.offset[0])
+        return 1 / (1 + np.exp(-logit))
 
 
 def fit(texts: list[bytes], labels: list[int], steps: int = 500, batch: int = 48, chunks: int = 8, rate: float = 4e-3, seed: int = 7) -> Network:
@@ -123,20 +134,23 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 500, batch: int = 48
             v[k] = 0.999 * v[k] + 0.001 * g * g
             pace = rate * (1 - step / (steps + 1))
             part -= (pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return net
+    return net.round()
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, id_col: str = "doc_id", text: str = "text") -> list[tuple[bytes, int]]:
-    """At most ``sample_rows`` rows of each class, by hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, sample_bytes: int) -> list[tuple[bytes, int]]:
+    """Whole texts of labelled rows of ``docs`` (id, text), bounded per class
+    by rows and bytes.  Only ids, sizes and hashes are shuffled."""
+    slim = docs.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("th"))
     out = []
     for c in (0, 1):
-        ids = labels.where(F.col(label) == c).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-        t, n = F.col(text), F.char_length(F.col(text))
-        spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PIECES - 1)), lambda i: F.substring(t, (F.lit(1) + F.floor(i * (n - PIECE) / (SAMPLE_PIECES - 1))).cast("int"), F.lit(PIECE))), "")
-        piece = F.when(n <= PIECE * SAMPLE_PIECES, t).otherwise(spread)
-        # at most sample_rows ids are broadcast
-        rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select("_id", piece.alias("t")).orderBy(F.xxhash64("_id"), "_id", "t").limit(sample_rows)
-        out += [((r["t"] or "").encode(), c) for r in rows.collect()]
+        ids = labels.where(F.col(label) == c).select("id").distinct()
+        order = [F.col("size") > sample_bytes // 64, F.xxhash64("id"), F.col("id"), F.col("th")]
+        first = slim.join(ids, "id").distinct().orderBy(*order).limit(sample_rows)  # at most sample_rows rows from here on
+        upto = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        first = first.withColumn("upto", upto).where((F.col("upto") <= sample_bytes) | (F.col("upto") == F.col("size")))
+        picked = first.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+        rows = docs.join(F.broadcast(picked), (F.col("id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th"))).dropDuplicates(["_id", "_th"])
+        out += [((r["text"] or "").encode(), c) for r in rows.orderBy(F.xxhash64("_id"), "_id", "_th").collect()]
     return out
 
 
@@ -159,14 +173,14 @@ def _scorer(parts, constant, text: str, keep: list[str]):
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text", fold: int = 5, held: int = 0, threshold: float = 0.3, sample_rows: int = 1500) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text", fold: int = 5, held: int = 0, threshold: float = 0.3, sample_rows: int = 1500, sample_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: id, held_out, score, predicted.  Rows whose id's
     crc32 modulo ``fold`` is ``held`` are never learned from."""
-    part = F.pmod(crc_of_id(F.col(id_col)), F.lit(fold))
-    rows = sample(docs.select(id_col, text), labels.where(part != held), label, sample_rows, id_col, text)
+    part = lambda c: F.pmod(crc_of_id(F.col(c)), F.lit(fold))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = sample(slim, labels.where(part(id_col) != held).select(F.col(id_col).alias("id"), F.col(label).alias("y")), "y", sample_rows, sample_bytes)
     seen = {y for _, y in rows}
     constant = None if len(seen) == 2 else float(min(seen)) if seen else 0.5
     parts = fit([t for t, _ in rows], [y for _, y in rows]).parts() if constant is None else None
-    slim = docs.select(id_col, F.col(text).alias("_text"))
-    out = slim.mapInArrow(_scorer(parts, constant, "_text", [id_col]), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
-    return out.select(id_col, F.coalesce(part == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = slim.mapInArrow(_scorer(parts, constant, "text", ["id"]), f"id {docs.schema[id_col].dataType.simpleString()}, score double")
+    return out.select(F.col("id").alias(id_col), F.coalesce(part("id") == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
