@@ -5,8 +5,10 @@ row marker's writetime (``__sys_rw_ts``) and [duration, offset]
 (``__sys_rw_ttl``), cell writetimes (``__sys_clts``), cell TTLs
 (``__sys_clttl``: [base, details]) and deletions (``__sys_clts_tmbstn``).  A
 cell's entry is a number, an array (one per element) or an object (one per
-key or field).  All of it is decoded with JSON and higher-order functions in
-one narrow pass; ``now`` is a parameter.
+key or field).  A row may also be deleted as a whole (``__sys_rw_tmbstn``).  All
+of it is decoded with JSON and higher-order functions in one narrow pass; each
+text is parsed once, and what was parsed is held before its many uses (see
+``hold``).  ``now`` is a parameter.
 """
 
 from __future__ import annotations
@@ -26,18 +28,28 @@ def _shape(text: Column) -> Column:
     return F.when(c == "[", "array").when(c == "{", "object").when(c.rlike("[-0-9]"), "number").otherwise("absent")
 
 
+#: The metadata members.  Members of another type than this are null.
+META = "struct<__sys_rw_ts:string,__sys_rw_ttl:array<bigint>,__sys_rw_tmbstn:string,__sys_clts:map<string,string>,__sys_clttl:array<string>,__sys_clts_tmbstn:map<string,string>>"
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed here, once a row.  The optimizer copies
+    a column's expression into every use above it, also into lambdas, where it
+    would run once an element; it does not look through a generator."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def parsed(envelopes: DataFrame, json: str = "json") -> DataFrame:
-    """``envelopes`` with ``top``, the members as texts."""
-    return envelopes.withColumn("top", F.from_json(json, TEXT_MAP))
+    """``envelopes`` with ``top``, the members as texts, and ``meta``."""
+    return hold(envelopes.withColumn("top", F.from_json(json, TEXT_MAP)).withColumn("meta", F.from_json(json, META)))
 
 
-def malformed(json: Column, top: Column) -> Column:
+def malformed(json: Column, top: Column, meta: Column) -> Column:
     """Why an envelope is rejected; null if it is well formed."""
     bare = F.regexp_replace(json, r'"(\\.|[^"\\])*"', "")
     opened = F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit("")))
     closed = F.length(bare) - F.length(F.replace(bare, F.lit("}"), F.lit("")))
-    ttl, mark = top["__sys_rw_ttl"], top["__sys_rw_ts"]
-    pair = F.from_json(ttl, "array<bigint>")
+    ttl, mark, pair = top["__sys_rw_ttl"], top["__sys_rw_ts"], meta["__sys_rw_ttl"]
     return (
         F.when(top.isNull() | ~json.rlike(r"(?s)^\s*\{.*\}\s*$"), "not an object")
         .when((opened != closed) | bare.rlike(r"\}\s*\{"), "trailing text")
@@ -49,8 +61,8 @@ def malformed(json: Column, top: Column) -> Column:
 
 def split_malformed(envelopes: DataFrame, json: str = "json") -> tuple[DataFrame, DataFrame]:
     """(good, quarantined with a ``reason``)."""
-    rows = parsed(envelopes, json).withColumn("reason", malformed(F.col(json), F.col("top")))
-    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").drop("top")
+    rows = parsed(envelopes, json).withColumn("reason", malformed(F.col(json), F.col("top"), F.col("meta")))
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").drop("top", "meta")
 
 
 def strip_system(top: Column) -> Column:
@@ -59,33 +71,35 @@ def strip_system(top: Column) -> Column:
 
 def writetime_details(clts: Column) -> Column:
     """Per column: newest, and element or field writetimes where given."""
+
     def one(_, v):
         elements = F.when(_shape(v) == "array", F.from_json(v, "array<bigint>"))
         fields = F.when(_shape(v) == "object", F.map_filter(F.from_json(v, "map<string,bigint>"), lambda _k, t: t.isNotNull()))
         newest = F.when(_shape(v) == "number", v.try_cast("bigint")).otherwise(F.coalesce(F.array_max(elements), F.array_max(F.map_values(fields))))
         return F.struct(newest.alias("wt"), elements.alias("elem_wt"), fields.alias("field_wt"))
 
-    return F.transform_values(F.from_json(clts, TEXT_MAP), one)
+    return F.transform_values(clts, one)
 
 
 def expiry_details(clttl: Column, now: int) -> Column:
     """Per column: expiry of a pair, of each element, or of each field."""
-    outer = F.from_json(clttl, "array<string>")
-    base = outer[0].try_cast("bigint")
+    base = clttl[0].try_cast("bigint")
     at = lambda p: resolve_expiry(p[0], p[1], base, now)
 
     def one(_, v):
         many = F.ltrim(v).rlike(r"^\[\s*(\[|null)")
-        elements = F.when(many, F.transform(F.from_json(v, "array<array<bigint>>"), at))
+        # a lone pair is read as a list of one pair
+        pairs = F.from_json(F.when(many, v).when(_shape(v) == "array", F.concat(F.lit("["), v, F.lit("]"))), "array<array<bigint>>")
         fields = F.when(_shape(v) == "object", F.transform_values(F.from_json(v, "map<string,array<bigint>>"), lambda _k, p: at(p)))
-        pair = F.when((_shape(v) == "array") & ~many, at(F.from_json(v, "array<bigint>")))
-        return F.struct(pair.alias("expiry"), elements.alias("elem_expiry"), fields.alias("field_expiry"))
+        expiries = F.transform(pairs, at)
+        return F.struct(F.when(~many, expiries[0]).alias("expiry"), F.when(many, expiries).alias("elem_expiry"), fields.alias("field_expiry"))
 
-    return F.transform_values(F.from_json(outer[1], TEXT_MAP), one)
+    return F.transform_values(F.from_json(clttl[1], TEXT_MAP), one)
 
 
 def tombstone_details(tombs: Column) -> Column:
     """Per column: newest deletion, whether complex, the whole column's, keys'."""
+
     def one(_, v):
         parts = F.when(_shape(v) == "array", F.from_json(v, "array<string>"))
         whole = parts[0].try_cast("bigint")
@@ -96,31 +110,39 @@ def tombstone_details(tombs: Column) -> Column:
         simple = F.when(_shape(v) == "number", v.try_cast("bigint"))
         return F.struct(F.greatest(simple, whole, F.array_max(F.map_values(keyed))).alias("deleted_at"), (_shape(v) != "number").alias("is_complex"), whole.alias("coll_deleted_at"), keys.alias("keys"))
 
-    present = F.map_filter(F.from_json(tombs, TEXT_MAP), lambda _, v: v.isNotNull() & (v != "null"))
+    present = F.map_filter(tombs, lambda _, v: v.isNotNull() & (v != "null"))
     return F.transform_values(present, one)
 
 
 def decode(envelopes: DataFrame, now: int, json: str = "json") -> DataFrame:
     """Well-formed envelopes with ``clean`` (members as texts), ``marker`` (wt,
-    expiry; null without one), ``cells``, ``deletions`` and ``latest_wt``.
+    expiry; null without one), ``cells``, ``deletions``, ``row_deleted_at`` and
+    ``latest_wt``.
 
     A cell that is uniform inside has one (wt, expiry); only others keep
     element or field arrays.  ``cells`` holds those that differ from the marker.
     """
     good, _ = split_malformed(envelopes, json)
-    top = F.col("top")
-    clttl = F.from_json(top["__sys_clttl"], "array<string>")
-    pair = F.from_json(top["__sys_rw_ttl"], "array<bigint>")
+    top, meta = F.col("top"), F.col("meta")
+    clttl, pair = meta["__sys_clttl"], meta["__sys_rw_ttl"]
     mark = top["__sys_rw_ts"].cast("bigint")
-    rows = good.withColumn("_wt", writetime_details(top["__sys_clts"])).withColumn("_exp", expiry_details(top["__sys_clttl"], now))
-    rows = rows.withColumn("deletions", tombstone_details(top["__sys_clts_tmbstn"]))
     base = F.coalesce(clttl[0].try_cast("bigint"), F.floor(mark / 1_000_000))
-    rows = rows.withColumn("marker", F.when(mark.isNotNull(), F.struct(mark.alias("wt"), resolve_expiry(pair[0], pair[1], base, now).alias("expiry"))))
-    rows = rows.withColumn("all_cells", resolved_cells(F.col("_wt"), F.col("_exp"), F.col("marker")))
-    rows = rows.withColumn("cells", divergent(F.col("all_cells"), F.col("marker")))
-    rows = rows.withColumn("clean", null_absent(strip_system(top), F.col("_wt")))
-    rows = rows.withColumn("latest_wt", F.greatest(F.col("marker.wt"), F.array_max(F.transform(F.map_values("_wt"), lambda c: c["wt"]))))
-    return rows.drop("top", "_wt", "_exp")
+    rows = good.withColumns({
+        "_wt": writetime_details(meta["__sys_clts"]),
+        "_exp": expiry_details(clttl, now),
+        "deletions": tombstone_details(meta["__sys_clts_tmbstn"]),
+        "row_deleted_at": meta["__sys_rw_tmbstn"].try_cast("bigint"),
+        "marker": F.when(mark.isNotNull(), F.struct(mark.alias("wt"), resolve_expiry(pair[0], pair[1], base, now).alias("expiry"))),
+        "clean": strip_system(top),
+    })
+    rows = hold(rows.drop("top", "meta"))
+    rows = hold(rows.withColumn("all_cells", resolved_cells(F.col("_wt"), F.col("_exp"), F.col("marker"))))
+    rows = rows.withColumns({
+        "cells": divergent(F.col("all_cells"), F.col("marker")),
+        "clean": null_absent(F.col("clean"), F.col("_wt")),
+        "latest_wt": F.greatest(F.col("marker.wt"), F.array_max(F.transform(F.map_values("_wt"), lambda c: c["wt"]))),
+    })
+    return hold(rows.drop("_wt", "_exp"))
 
 
 def resolved_cells(wt: Column, exp: Column, marker: Column) -> Column:

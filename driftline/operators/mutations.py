@@ -5,7 +5,12 @@ One row per mutation: the row's keys, ``op``, ``column``, ``path`` (element,
 key or field), ``value`` (JSON text), ``wt``, ``expiry``, ``is_static`` and
 ``seq``, the order in which they would be written.  Rows without anything
 special leave as one full insert and are never exploded; others are exploded
-in place, so the only shuffle is the merge's.
+in place, so the only shuffle is the merge's.  A cell without metadata of its
+own is part of the row's marker insert, or (a row without a marker) is written
+at the row's newest time without expiry, nulls included.
+
+An extension beyond cells: a row that was deleted as a whole gives one
+``row_delete`` at the deletion's time, beside whatever cells it still has.
 """
 
 from __future__ import annotations
@@ -13,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.sources.scratch import stage
+from driftline.operators.decode import TEXT_MAP, hold
 
 #: Order of writing by op.
-ORDER = {"full_insert": 0, "baseline": 1, "set_group": 2, "add": 3, "field": 4, "remove": 5, "list_set": 6, "list_append": 7, "list_clear": 8}
+ORDER = {"full_insert": 0, "baseline": 1, "set_group": 2, "add": 3, "field": 4, "remove": 5, "list_set": 6, "list_append": 7, "list_clear": 8, "row_delete": 9}
 MUTATION = "struct<op:string,column:string,path:string,value:string,wt:bigint,expiry:bigint,is_static:boolean>"
 
 
@@ -69,9 +74,11 @@ def plan(decoded: DataFrame, kinds: dict[str, str], classes: dict[str, str], now
     ``kinds``: column to partition_key, clustering, regular or static.
     ``classes``: column to simple, frozen, list, set, map or udt.
     """
-    # decoded rows are staged: read in place, their expressions would be copied
-    # into each of the many uses below, and texts parsed again for each
-    decoded = stage(decoded.select(*[c for c in decoded.columns if c != "json"]), "decoded")
+    parse = {"list": "array<string>", "set": "array<string>", "map": TEXT_MAP, "udt": TEXT_MAP}
+    kept = [c for c in decoded.columns if c != "json"]
+    # containers are parsed once a row: _p<n> is the n-th column's value
+    at = {c: f"_p{n}" for n, c in enumerate(classes) if classes[c] in parse}
+    decoded = hold(decoded.select(*kept, *[F.from_json(F.col("clean")[c], parse[classes[c]]).alias(n) for c, n in at.items()]))
     clustering = [c for c, k in kinds.items() if k == "clustering"]
     keys = [c for c, k in kinds.items() if k in ("partition_key", "clustering")]
     data = [c for c, k in kinds.items() if k in ("regular", "static")]
@@ -82,7 +89,9 @@ def plan(decoded: DataFrame, kinds: dict[str, str], classes: dict[str, str], now
     for c in clustering:
         static_only = static_only | clean[c].isNull()
     nothing = F.array().cast(f"array<{MUTATION}>")
-    plain = (F.size(cells) == 0) & (F.coalesce(F.size(dels), F.lit(0)) < 1) & F.col("marker").isNotNull() & ~static_only
+    writes_row = F.col("marker").isNotNull() & ~static_only
+    deleted = F.col("row_deleted_at") if "row_deleted_at" in kept else F.lit(None).cast("bigint")
+    plain = (F.size(cells) == 0) & (F.coalesce(F.size(dels), F.lit(0)) < 1) & writes_row & deleted.isNull()
     per_column = []
     for c in data:
         v, cell, d, kind = clean[c], cells[c], dels[c], classes[c]
@@ -91,19 +100,20 @@ def plan(decoded: DataFrame, kinds: dict[str, str], classes: dict[str, str], now
         wt = F.when(own, cell["wt"]).when(v.isNull(), row_wt).otherwise(F.coalesce(marker["wt"], row_wt))
         expiry = F.when(own, cell["expiry"]).when(v.isNotNull(), marker["expiry"])
         group = F.array(_m("set_group", c, v, wt, expiry, is_static))
+        apart = own | (F.map_contains_key(clean, F.lit(c)) & ~writes_row)  # not in the marker's insert
         has_del = d.isNotNull()
         whole = d["coll_deleted_at"]
         if kind == "list":
-            n = F.size(F.from_json(v, "array<string>"))
+            n = F.size(at[c])
             exps = F.when(cell["elem_expiry"].isNotNull(), cell["elem_expiry"]).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda _: expiry))
-            runs = list_runs(F.from_json(v, "array<string>"), F.slice(exps, 1, F.greatest(n, F.lit(1))))
+            runs = list_runs(F.col(at[c]), F.slice(exps, 1, F.greatest(n, F.lit(1))))
             # fresh times, one per run, the same again when a batch is replayed
             each = F.transform(runs, lambda r, i: F.struct(
                 F.when(i == 0, "list_set").otherwise("list_append").alias("op"), F.lit(c).alias("column"), i.cast("string").alias("path"), F.to_json(r["items"]).alias("value"),
                 (F.lit(now * 1_000_000) + i).cast("bigint").alias("wt"), r["expiry"].alias("expiry"), is_static.alias("is_static")))
             out = F.when(v.isNull(), F.when(has_del, F.array(_m("list_clear", c, None, F.lit(now * 1_000_000), F.lit(None), is_static))).otherwise(nothing)).otherwise(each)
         elif kind in ("set", "map"):
-            items = F.transform(F.map_entries(F.from_json(v, "map<string,string>")), lambda e: e["key"]) if kind == "map" else F.from_json(v, "array<string>")
+            items = F.map_keys(at[c]) if kind == "map" else F.col(at[c])
             buckets = element_buckets(items, cell["elem_wt"], F.coalesce(cell["elem_expiry"], F.transform(cell["elem_wt"], lambda _: cell["expiry"])))
             split = cell["mixed"] & (F.size(items) == F.size(cell["elem_wt"]))
             implied = whole == buckets[0]["wt"] - 1
@@ -111,13 +121,13 @@ def plan(decoded: DataFrame, kinds: dict[str, str], classes: dict[str, str], now
                 F.when((i == 0) & F.coalesce(implied, F.lit(False)), "set_group").otherwise("add").alias("op"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("path"), F.to_json(b["items"]).alias("value"),
                 b["wt"].alias("wt"), b["expiry"].alias("expiry"), is_static.alias("is_static")))
             clear = F.when(whole.isNotNull() & ~F.coalesce(implied, F.lit(False)) & split, F.array(_m("set_group", c, None, whole + 1, F.lit(None), is_static))).otherwise(nothing)
-            uniform = F.when(own, group).otherwise(nothing)
+            uniform = F.when(apart, group).otherwise(nothing)
             removed = F.transform(F.coalesce(key_removals(d["keys"], whole), F.array().cast("array<struct<ts:bigint,keys:array<string>>>")), lambda r: F.struct(
                 F.lit("remove").alias("op"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("path"), removed_keys_json(r["keys"]).alias("value"), r["ts"].alias("wt"), F.lit(None).cast("bigint").alias("expiry"), is_static.alias("is_static")))
             gone = F.when(v.isNull() & whole.isNotNull(), F.array(_m("set_group", c, None, whole + 1, F.lit(None), is_static))).otherwise(nothing)
             out = F.concat(F.when(v.isNull(), gone).when(split, F.concat(clear, adds)).otherwise(uniform), removed)
         elif kind == "udt":
-            fields = F.from_json(v, "map<string,string>")
+            fields = F.col(at[c])
             stamp = lambda k: F.struct(cell["field_wt"][k].alias("wt"), F.coalesce(cell["field_expiry"][k], F.lit(None).cast("bigint")).alias("expiry"))
             oldest = F.array_min(F.transform(F.map_keys(cell["field_wt"]), stamp))
             implied = F.coalesce(whole == oldest["wt"] - 1, F.lit(False))
@@ -128,21 +138,24 @@ def plan(decoded: DataFrame, kinds: dict[str, str], classes: dict[str, str], now
             base = F.when(implied, F.array(_m("set_group", c, F.to_json(in_base), oldest["wt"], oldest["expiry"], is_static))).otherwise(nothing)
             nulls = F.transform(F.filter(F.coalesce(d["keys"], F.array().cast("array<struct<key:string,ts:bigint>>")), lambda k: k["ts"] > F.coalesce(whole, F.lit(-(2**62)))), lambda k: F.struct(
                 F.lit("field").alias("op"), F.lit(c).alias("column"), k["key"].alias("path"), F.lit(None).cast("string").alias("value"), k["ts"].alias("wt"), F.lit(None).cast("bigint").alias("expiry"), is_static.alias("is_static")))
-            out = F.concat(F.when(cell["mixed"], F.concat(base, single)).when(own, group).otherwise(nothing), nulls)
+            out = F.concat(F.when(cell["mixed"], F.concat(base, single)).when(apart & v.isNotNull(), group).otherwise(nothing), nulls)
         else:
             dead = F.array(_m("set_group", c, None, d["deleted_at"], F.lit(None), is_static))
-            out = F.when(v.isNull() & has_del, dead).when(own & v.isNotNull(), group).otherwise(nothing)
+            out = F.when(v.isNull() & has_del, dead).when(apart, group).otherwise(nothing)
         if kinds[c] != "static":
             out = F.when(static_only, nothing).otherwise(out)
         per_column.append(F.coalesce(out, nothing))
-    shared = F.map_filter(clean, lambda k, v: k.isin(keys) | (k.isin(data) & v.isNotNull() & ~F.map_contains_key(cells, k) & ~k.isin([c for c in data if classes[c] == "list"])))
+    scalars = [c for c in data if classes[c] in ("simple", "frozen")]
+    in_row = lambda k, v: v.isNotNull() | (k.isin(scalars) & ~F.coalesce(F.map_contains_key(dels, k), F.lit(False)))
+    shared = F.map_filter(clean, lambda k, v: k.isin(keys) | (k.isin(data) & in_row(k, v) & ~F.map_contains_key(cells, k) & ~k.isin([c for c in data if classes[c] == "list"])))
     extra = F.flatten(F.array(*per_column)) if per_column else nothing
-    rows = decoded.withColumn("_plain", plain).withColumn("_extra", F.when(plain & ~F.lit("list" in classes.values()), nothing).otherwise(extra))
-    full = plain & (F.size("_extra") == 0)
-    first = F.when(full, F.array(_m("full_insert", None, F.to_json(clean), marker["wt"], marker["expiry"]))).when(F.col("marker").isNotNull() & ~static_only, F.array(_m("baseline", None, F.to_json(shared), marker["wt"], marker["expiry"]))).otherwise(nothing)
-    rows = rows.withColumn("_all", F.concat(first, F.col("_extra")))
+    rows = hold(decoded.select(*kept, F.when(plain & ~F.lit("list" in classes.values()), nothing).otherwise(extra).alias("_extra")))
+    full = writes_row & deleted.isNull() & (F.size("_extra") == 0)
+    first = F.when(full, F.array(_m("full_insert", None, F.to_json(clean), marker["wt"], marker["expiry"]))).when(writes_row, F.array(_m("baseline", None, F.to_json(shared), marker["wt"], marker["expiry"]))).otherwise(nothing)
+    last = F.when(deleted.isNotNull(), F.array(_m("row_delete", None, None, deleted, F.lit(None)))).otherwise(nothing)
+    rows = rows.withColumn("_all", F.concat(first, F.col("_extra"), last))
     order = F.create_map(*[F.lit(x) for kv in ORDER.items() for x in kv])
-    out = rows.select(*[c for c in decoded.columns if c not in ("clean", "marker", "cells", "all_cells", "deletions", "latest_wt", "json")], F.explode("_all").alias("m"))
+    out = rows.select(*[c for c in kept if c not in ("clean", "marker", "cells", "all_cells", "deletions", "row_deleted_at", "latest_wt")], F.explode("_all").alias("m"))
     return out.select(*[c for c in out.columns if c not in ("m",)], "m.*", order[F.col("m.op")].alias("seq"))
 
 
