@@ -3,84 +3,155 @@
 Mutations are appended to a log with one folder per batch; a batch that runs
 again overwrites its own folder, so that a restart never adds a row twice.
 The state of the target is the newest mutation per key over the whole log
-(merge on read); compaction replaces the log's rows by that state.  Nothing is
-dropped for being late: order does not matter, so no watermark is needed.
+(merge on read); compaction puts that state in the place of the batches so far.
+Nothing is dropped for being late: order does not matter, so no watermark is
+needed.  A batch that cannot be written whole stops the query before the
+position moves, and is taken again by the next run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators import merge
 
-#: Partition discovery reads this folder name as null.
-NULL_SOURCE = "__HIVE_DEFAULT_PARTITION__"
 #: What the failure of a rejected batch says.
 REJECTED = "has rows that cannot be written"
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _numbered(spark: SparkSession, path: str, prefix: str, whole: bool = True) -> list[int]:
+    """Numbers of the folders or files ``<prefix><number>`` under ``path``; of
+    folders only those that were written to the end, if ``whole``."""
+    p, files = _files(spark, path)
+    if not files.exists(p):
+        return []
+    out = []
+    for f in files.listStatus(p):
+        name = f.getPath().getName()
+        if name.startswith(prefix) and name[len(prefix) :].isdigit():
+            done, _ = _files(spark, f"{path}/{name}/_SUCCESS")
+            if not whole or f.isFile() or files.exists(done):
+                out.append(int(name[len(prefix) :]))
+    return sorted(out)
+
+
 class MutationLog:
-    """A folder of mutations, one partition per (source, batch)."""
+    """A folder of mutations: one folder per batch, parted by source, and
+    compacted states, each of all batches up to its number."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def write(self, mutations: DataFrame, batch: int, source: str = "main") -> None:
-        mutations.write.mode("overwrite").parquet(f"{self.path}/source={source}/batch={batch}")
+    def write(self, mutations: DataFrame, batch: int, source=None) -> None:
+        """``source``: the column that names each mutation's table; rows with a
+        null there have a source of their own, which reads as null."""
+        named = mutations.withColumn("source", F.lit("main") if source is None else F.col(source).cast("string"))
+        named.write.partitionBy("source").mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return bool(self.batches() or self.compacted())
+
+    def batches(self) -> list[int]:
+        """Batches that no compacted state has taken in."""
+        upto = self.compacted()
+        return [b for b in _numbered(self.spark, self.path, "batch=") if upto is None or b > upto]
+
+    def compacted(self) -> int | None:
+        return max(_numbered(self.spark, self.path, "upto="), default=None)
 
     def read(self) -> DataFrame:
-        return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/source=*/batch=*")
+        reader, upto = self.spark.read.option("basePath", self.path), self.compacted()
+        parts = [[f"{self.path}/batch={b}" for b in self.batches()], [] if upto is None else [f"{self.path}/upto={upto}"]]
+        batches, base = (reader.parquet(*paths).drop("batch", "upto") if paths else None for paths in parts)
+        return base if batches is None else batches if base is None else base.unionByName(batches)
 
     def state(self, keys: list[str], tie: list[str]) -> DataFrame:
         return merge.newest(self.read(), keys, tie=tie)
 
+    def compact(self, keys: list[str], tie: list[str]) -> None:
+        """Put the newest mutation per key in the place of all batches so far.
+        Readers see either these or the state: a state counts once it is whole,
+        and only then its batches go."""
+        batches, was = self.batches(), self.compacted()
+        if not batches:
+            return
+        log = self.read()
+        order = F.struct("wt", "del", *tie)
+        won = log.groupBy(*keys).agg(F.max_by(F.struct(*log.columns), order).alias("w")).select("w.*")
+        won.write.partitionBy("source").mode("overwrite").parquet(f"{self.path}/upto={batches[-1]}")
+        for name in [f"batch={b}" for b in batches] + ([] if was is None else [f"upto={was}"]):
+            p, files = _files(self.spark, f"{self.path}/{name}")
+            files.delete(p, True)
+
+
+@dataclass(frozen=True)
+class Counters:
+    """Where a stream counts what it has written: rows and rows in error (a
+    condition) per group and batch."""
+
+    path: str
+    by: list[str]
+    error: str
+
+    def add(self, mutations: DataFrame, batch: int) -> None:
+        each = mutations.groupBy(*self.by).agg(F.count("*").alias("replayed"), F.count_if(F.expr(self.error)).alias("errors"))
+        each.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+
+def read_counters(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """Per group: all rows replayed, those of its last batch, and errors."""
+    each = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return each.groupBy(*by).agg(F.sum("replayed").alias("replayed"), F.max_by("replayed", "batch").alias("last_batch"), F.sum("errors").alias("errors"))
+
+
+def position(spark: SparkSession, checkpoint: str) -> int:
+    """How many batches a query has finished."""
+    return len(_numbered(spark, f"{checkpoint}/commits", "", whole=False))
+
 
 def tail(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
-    """A growing folder of Parquet files as a stream, by admission of files."""
+    """A growing folder of Parquet files as a stream, by admission of files;
+    new subfolders (ranges) are taken in as they appear."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
-def replicate(stream: DataFrame, log: MutationLog, checkpoint: str, derive: Callable[[DataFrame], DataFrame], forever_every: str | None = None, split_by: str | None = None, reject: str | None = None):
+def replicate(stream: DataFrame, log: MutationLog, checkpoint: str, derive: Callable[[DataFrame], DataFrame], forever_every: str | None = None, split_by: str | None = None, reject: str | None = None, counters: Counters | None = None):
     """Start replication.  Without ``forever_every`` the query takes all there
     is and stops (offline, and the last run of a cutover); with it the same
     checkpoint goes on, polling at that interval.
 
-    ``split_by`` sends several tables through one query, each to its own part
-    of the log; rows with a null there have a part whose source is null.  ``reject`` is a condition of rows that cannot be written: a
-    batch that has one fails, and the position stays before it.
+    ``split_by``, a column of the mutations, sends several tables through one
+    query, each to its own part of the log.  ``reject`` is a condition of rows
+    that cannot be written: a batch that has one fails, and the position stays
+    before it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if reject and not batch.where(reject).isEmpty():
             raise ValueError(f"batch {batch_id} {REJECTED}")
-        if split_by is None:
-            log.write(derive(batch), batch_id)
-            return
-        for row in batch.select(split_by).distinct().collect():  # a row per table
-            source = NULL_SOURCE if row[0] is None else str(row[0])
-            log.write(derive(batch.where(F.col(split_by).eqNullSafe(row[0]))), batch_id, source)
+        mutations = derive(batch)
+        log.write(mutations, batch_id, split_by)
+        if counters:
+            counters.add(mutations, batch_id)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(processingTime=forever_every) if forever_every else writer.trigger(availableNow=True)).start()
 
 
 def cut_over(query, ready: bool) -> str:
-    """Drain a running query and stop it, if the job is ready."""
+    """Drain a running query and stop it, if the job is ready; else leave it."""
     if not ready:
         return "Pending"
     query.processAllAvailable()
     query.stop()
     return "Completed"
-
-
-def progress_rows(query) -> list[dict]:
-    """Rows and duration of each batch that a query reports."""
-    return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["batchDuration"]} for p in map(dict, query.recentProgress)]
