@@ -21,6 +21,11 @@ def longest_expiry(expiries: Column) -> Column:
     return F.when(F.exists(expiries, lambda e: e.isNull()), None).otherwise(F.array_max(expiries))
 
 
+def longest_expiry_of(expiry: Column) -> Column:
+    """The same as an aggregate over rows."""
+    return F.when(F.bool_or(expiry.isNull()), None).otherwise(F.max(expiry))
+
+
 def remaining_ttl(expiry: Column, now: int, before_2038: bool = False) -> Column:
     """Seconds left: 0 for no expiry, 1 for a past one, at most MAX_TTL (and,
     if asked, nothing past the last 32-bit second)."""
@@ -56,11 +61,12 @@ def normalize_type(type_text: Column) -> Column:
     return F.lower(F.regexp_replace(type_text, r"\s", ""))
 
 
-def column_class(type_text: Column) -> Column:
-    """How fine a column's cells are, from its type's text."""
+def column_class(type_text: Column, user_type: Column | None = None) -> Column:
+    """How fine a column's cells are, from its type's text: frozen, list, set,
+    map, udt (a type that ``user_type`` says users defined) or simple."""
     t = F.trim(type_text)
     starts = lambda p: F.startswith(F.lower(t), F.lit(p))
-    return F.when(starts("frozen<"), "frozen").when(starts("list<"), "list").when(starts("set<"), "set").when(starts("map<"), "map").otherwise("simple")
+    return F.when(starts("frozen<"), "frozen").when(starts("list<"), "list").when(starts("set<"), "set").when(starts("map<"), "map").when(F.lit(False) if user_type is None else user_type, "udt").otherwise("simple")
 
 
 def eta_seconds(remaining: Column, per_second: Column) -> Column:
@@ -77,24 +83,26 @@ def poll_age_seconds(checked: Column, now: int) -> Column:
 
 
 #: Error type names and message markers of each class.
-AUTH_TYPES = ["AuthenticationException", "UnauthorizedException", "MigrationAuthException"]
-FATAL_TYPES = ["AuthenticationException", "UnauthorizedException", "InvalidQueryException", "SyntaxError", "MigrationFatalException", "MigrationSchemaException", "MigrationAuthException"]
-TRANSIENT_TYPES = ["NoHostAvailableException", "WriteTimeoutException", "ReadTimeoutException", "UnavailableException", "OverloadedException", "TimeoutException", "IOException", "SocketException", "ObjectDisposedException", "MigrationTransientException"]
+AUTH_TYPES = ["AuthenticationException", "UnauthorizedException"]
+FATAL_TYPES = ["AuthenticationException", "UnauthorizedException", "InvalidQueryException", "SyntaxError"]
+THROTTLE_TYPES = ["OverloadedException"]
+TRANSIENT_TYPES = ["NoHostAvailableException", "WriteTimeoutException", "ReadTimeoutException", "UnavailableException", "TimeoutException", "IOException", "SocketException", "ObjectDisposedException"]
 THROTTLE_MARKERS = ["429", "TooManyRequests", "OverloadedException", "Request rate is large", "RetryAfterMs", "rate limit"]
 NOT_FOUND_MARKERS = ["unconfigured table", "not found", "does not exist"]
 
 
-def classify_error(error_type: Column, message: Column) -> Column:
+def classify_error(error_type: Column, message: Column, auth: list[str] = AUTH_TYPES, fatal: list[str] = FATAL_TYPES, transient: list[str] = TRANSIENT_TYPES) -> Column:
     """fatal, auth, throttle, transient, not_found or other; auth is the fatal
-    class of credentials and fatal outranks throttle."""
+    class of credentials, fatal outranks throttle, and throttle (by type or by
+    message) outranks transient.  Callers may pass error types of their own."""
     text = F.coalesce(message, F.lit(""))
     has = lambda words: F.lower(text).rlike("|".join(w.lower() for w in words))
     return (
-        F.when(error_type.isin(AUTH_TYPES), "auth")
+        F.when(error_type.isin(auth), "auth")
         .when((error_type == "InvalidQueryException") & has(NOT_FOUND_MARKERS), "not_found")
-        .when(error_type.isin(FATAL_TYPES), "fatal")
-        .when(has(THROTTLE_MARKERS), "throttle")
-        .when(error_type.isin(TRANSIENT_TYPES), "transient")
+        .when(error_type.isin(fatal), "fatal")
+        .when(error_type.isin(THROTTLE_TYPES) | has(THROTTLE_MARKERS), "throttle")
+        .when(error_type.isin(transient), "transient")
         .otherwise("other")
     )
 

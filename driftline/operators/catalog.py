@@ -4,29 +4,36 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.cells import normalize_type
 from driftline.sources.scratch import stage
 
+#: The system's own keyspaces, without case.
+SYSTEM_KEYSPACES = ["system", "system_auth", "system_distributed", "system_schema", "system_traces", "system_views", "system_virtual_schema", "system_cosmos", "system_cosmos_internal"]
+
+
 def user_tables(tables: DataFrame) -> DataFrame:
-    """(keyspace, tbl) outside the system's keyspaces (``system`` and names that
-    begin with ``system_``, without case), in order."""
-    system = (F.lower("keyspace") == "system") | F.startswith(F.lower("keyspace"), F.lit("system_"))
-    return tables.where(~system).orderBy("keyspace", "tbl")
+    """(keyspace, tbl) outside the system's keyspaces, in order."""
+    return tables.where(~F.lower("keyspace").isin(SYSTEM_KEYSPACES)).orderBy("keyspace", "tbl")
 
 
-def table_columns(spark, name: str) -> DataFrame:
-    """A catalog table's columns as rows: tbl, name, type, position."""
-    rows = [(name, c.name, c.dataType, i) for i, c in enumerate(spark.catalog.listColumns(name))]
-    return spark.createDataFrame(rows, "tbl string, name string, type string, position int")
+def schema_rows(df: DataFrame, tbl: str, partition: list[str] = (), clustering: dict[str, str] | None = None, static: list[str] = ()) -> DataFrame:
+    """A DataFrame's columns as catalog rows: tbl, name, type, kind, clustering
+    order (asc, desc or none) and position.  Keys are numbered within their
+    kind, other columns have position -1."""
+    clustering = clustering or {}
+    keys = {**{c: ("partition_key", i) for i, c in enumerate(partition)}, **{c: ("clustering", i) for i, c in enumerate(clustering)}}
+    rows = [(tbl, f.name, f.dataType.simpleString(), *keys.get(f.name, ("static" if f.name in static else "regular", -1)), clustering.get(f.name, "none")) for f in df.schema.fields]
+    return df.sparkSession.createDataFrame(rows, "tbl string, name string, type string, kind string, position int, clustering_order string")
 
 
-def schema_rows(df: DataFrame, tbl: str) -> DataFrame:
-    """A DataFrame's columns as catalog rows."""
-    rows = [(tbl, f.name, f.dataType.simpleString(), i) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "tbl string, name string, type string, position int")
+def clustered(rows: DataFrame, partition: list[str], clustering: dict[str, str]) -> DataFrame:
+    """Rows dealt by partition key and, within a task, ordered by it and by the
+    clustering keys in their declared orders (asc or desc)."""
+    order = [F.col(c).desc() if way == "desc" else F.col(c).asc() for c, way in clustering.items()]
+    return rows.repartition(*partition).sortWithinPartitions(*partition, *order)
 
 
 def type_fields(types: DataFrame) -> DataFrame:
@@ -42,10 +49,12 @@ def project_by_name(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def key_columns(columns: DataFrame) -> DataFrame:
-    """(tbl, keys): partition keys, then clustering keys, each by position."""
+    """(tbl, keys, orders): partition keys, then clustering keys, each by
+    position, and the clustering order of each (none for partition keys)."""
     rank = F.when(F.col("kind") == "partition_key", 0).otherwise(1)
     keys = columns.where(F.col("kind").isin("partition_key", "clustering"))
-    return keys.groupBy("tbl").agg(F.transform(F.array_sort(F.collect_list(F.struct(rank, "position", "name"))), lambda s: s["name"]).alias("keys"))
+    each = F.array_sort(F.collect_list(F.struct(rank, "position", "name", "clustering_order")))
+    return keys.groupBy("tbl").agg(each.alias("k")).select("tbl", F.col("k.name").alias("keys"), F.col("k.clustering_order").alias("orders"))
 
 
 def split_by_kind(cells: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -98,8 +107,8 @@ def missing_columns(source: DataFrame, target: DataFrame) -> DataFrame:
 def schema_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     """Keys of both schemas side by side by kind and position."""
     key = F.col("kind").isin("partition_key", "clustering")
-    s = source.where(key).select("tbl", "kind", "position", F.col("name").alias("s_name"), normalize_type(F.col("type")).alias("s_type"))
-    t = target.where(key).select("tbl", "kind", "position", F.col("name").alias("t_name"), normalize_type(F.col("type")).alias("t_type"))
+    side = lambda df, x: df.where(key).select("tbl", "kind", "position", F.col("name").alias(f"{x}_name"), normalize_type(F.col("type")).alias(f"{x}_type"), F.lower("clustering_order").alias(f"{x}_order"))
+    s, t = side(source, "s"), side(target, "t")
     return s.join(t, ["tbl", "kind", "position"], "full")
 
 
@@ -111,6 +120,7 @@ def schema_compat(source: DataFrame, target: DataFrame) -> DataFrame:
         F.when(F.col("s_name").isNull() | F.col("t_name").isNull(), "count")
         .when(F.lower("s_name") != F.lower("t_name"), "name")
         .when(F.col("s_type") != F.col("t_type"), "type")
+        .when(F.col("s_order") != F.col("t_order"), "order")
     )
     bad = d.withColumn("why", why).where("why is not null")
     first = bad.groupBy("tbl", "kind").agg(F.min_by("why", "position").alias("why"))
@@ -132,11 +142,12 @@ def evolve(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def reachable(edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """(src, dst) pairs of nodes and all that they reach, by doubling paths."""
+def reachable(edges: DataFrame) -> DataFrame:
+    """(src, dst) pairs of nodes and all that they reach, by doubling paths
+    until a round adds none."""
     now = edges.select("src", "dst").distinct()
     n = now.count()
-    for _ in range(rounds):
+    while True:
         more = now.join(now.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
         now = now.union(more).distinct()
         now = stage(now, "paths")
@@ -159,8 +170,3 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             break
         n = m
     return nodes.select("node").join(placed, "node", "left")
-
-
-def column_positions(columns: DataFrame) -> DataFrame:
-    """Columns numbered by position within each table."""
-    return columns.withColumn("nth", F.row_number().over(Window.partitionBy("tbl").orderBy("position")))

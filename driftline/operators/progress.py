@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.functions.cells import duration_seconds
+
 
 def remaining_work(units: DataFrame) -> DataFrame:
     """Valid units that are not complete offline and not skipped."""
@@ -32,12 +34,32 @@ def job_totals(units: DataFrame) -> DataFrame:
         F.count_if(~F.col("copy_complete") & (F.col("copied") > 0)).alias("in_progress"),
         F.count_if(F.col("status") == "Failed").alias("failed"),
         F.count_if("is_counter").alias("counters"),
+        F.sum(F.when(F.col("online"), F.col("replayed")).otherwise(0)).alias("replayed"),
     )
 
 
-def page_stats(pages: DataFrame, by: list[str], payload: Column) -> DataFrame:
-    """Rows done and failed and bytes (two per character) per group of pages."""
-    return pages.groupBy(*by).agg(F.count_if("done").alias("rows_done"), F.count_if(~F.col("done")).alias("rows_failed"), F.sum(F.char_length(payload) * 2).alias("bytes"))
+def payload_bytes(rows: DataFrame, columns: list[str]) -> Column:
+    """Estimated bytes of a row: two per character of texts, the length of
+    binaries, eight of any other value, none of nulls."""
+    kinds = dict(rows.select(*columns).dtypes)
+    size = {"string": lambda c: F.char_length(c) * 2, "binary": lambda c: F.octet_length(c)}
+    each = [F.when(F.col(c).isNotNull(), size.get(kinds[c], lambda _: F.lit(8))(F.col(c))).otherwise(0) for c in columns]
+    return sum(each[1:], each[0]).cast("long")
+
+
+def page_stats(pages: DataFrame, by: list[str], columns: list[str], latency: str) -> DataFrame:
+    """Rows done and failed, the sum of latencies and bytes per group of pages."""
+    return pages.groupBy(*by).agg(
+        F.count_if("done").alias("rows_done"), F.count_if(~F.col("done")).alias("rows_failed"),
+        F.sum(latency).alias("latency_ms"), F.sum(payload_bytes(pages, columns)).alias("bytes"),
+    )
+
+
+def average_latency(pages: DataFrame, by: list[str], read: str, write: str, replayed: Column) -> DataFrame:
+    """Per group whole milliseconds of reading and writing a page, and the
+    milliseconds of writing a replayed item (null without any)."""
+    sums = pages.groupBy(*by).agg(F.sum(read).alias("r"), F.sum(write).alias("w"), F.count("*").alias("n"), F.sum(F.when(replayed, F.col(write))).alias("rw"), F.count_if(replayed).alias("items"))
+    return sums.select(*by, F.expr("r div n").alias("read_ms"), F.expr("w div n").alias("write_ms"), F.when((F.col("items") > 0) & (F.col("rw") > 0), F.col("rw") / F.col("items")).alias("item_ms"))
 
 
 def bottleneck(read_ms: Column, write_ms: Column) -> Column:
@@ -45,9 +67,26 @@ def bottleneck(read_ms: Column, write_ms: Column) -> Column:
 
 
 def progress_percent(written: Column, total: Column) -> Column:
+    """At most 99.9 until a unit is complete; null without a total."""
     return F.when(total > 0, F.least(F.lit(99.9), written / total * 100))
 
 
+def stale_total(written: Column, total: Column) -> Column:
+    """Whether more was written than the total says, so the total is old."""
+    return F.coalesce((total > 0) & (written > total), F.lit(False))
+
+
+def job_report(jobs: DataFrame, units: DataFrame) -> DataFrame:
+    """A row per unit with its job's name, status, counts, percent, duration of
+    its copy in seconds and replay counters."""
+    both = units.join(jobs, "job")
+    return both.select(
+        "job_name", "tbl", "status", "copied", "failed", progress_percent(F.col("copied"), F.col("total")).alias("percent"),
+        stale_total(F.col("copied"), F.col("total")).alias("stale"), duration_seconds(F.col("started"), F.col("ended")).alias("seconds"),
+        F.when(F.col("online"), F.col("replayed")).alias("replayed"), F.when(F.col("online"), F.col("replay_errors")).alias("replay_errors"),
+    )
+
+
 def recent_speed(samples: DataFrame, by: str, t: str = "t", copied: str = "copied") -> DataFrame:
     """Rows a second since the sample before; for the first, since the start
     (``started``)."""

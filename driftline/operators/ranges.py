@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def range_ids(table: DataFrame, column: str = "range_id") -> DataFrame:
+    """Range ids that are neither null nor empty."""
     return table.select(column).where(F.col(column).isNotNull() & (F.col(column).cast("string") != "")).distinct()
 
 
-def page(table: DataFrame, after: int, size: int, seq: str = "seq") -> DataFrame:
-    """The next ``size`` rows behind a position, in order."""
-    return table.where(F.col(seq) > after).orderBy(seq).limit(size)
+def required_ranges(table: DataFrame, column: str = "range_id") -> DataFrame:
+    """As ``range_ids``; raises if there are none, because a copy of no ranges
+    would otherwise count as complete."""
+    ids = range_ids(table, column)
+    if ids.isEmpty():
+        raise ValueError("the source has no ranges to copy")
+    return ids
+
+
+def scan_range(spark: SparkSession, path: str, value, column: str = "range_id") -> DataFrame:
+    """One range of a table that is laid out by range: other ranges' folders
+    are pruned and not read."""
+    return spark.read.parquet(path).where(F.col(column) == F.lit(value))
+
+
+def page(table: DataFrame, after: dict, size: int) -> DataFrame:
+    """The next ``size`` rows behind a position, in order, each with ``next``:
+    the position behind it, where the next page goes on.  A position has a
+    value for each column of a key that tells rows apart, so rows with equal
+    first columns are not skipped at a page's end; an empty one is the start."""
+    order = list(after)
+    behind, equal = F.lit(False), F.lit(True)
+    for c, v in after.items():
+        behind = behind | (equal & (F.col(c) > F.lit(v)))
+        equal = equal & (F.col(c) == F.lit(v))
+    rows = table.where(behind) if any(v is not None for v in after.values()) else table
+    return rows.orderBy(*order).limit(size).withColumn("next", F.struct(*order))
+
+
+#: Most entries of a page of a log.
+PAGE_MOST = 10_000
+
+
+def log_page(log: DataFrame, order: list[str], skip: int, take: int) -> DataFrame:
+    """Entries ``skip`` to ``skip + take`` in a stable order; a page has 1 to
+    ``PAGE_MOST`` entries, whatever is asked for."""
+    return log.orderBy(*order).offset(max(0, skip)).limit(min(max(1, take), PAGE_MOST))
 
 
 def union_ranges(stored: DataFrame, source: DataFrame, key: str = "range_id") -> DataFrame:
@@ -53,18 +88,23 @@ def range_progress(pages: DataFrame, table: list[str], range_id: str = "range_id
 
 
 def head_and_tail(log: DataFrame, order: list[str], head: int, tail: int) -> DataFrame:
-    """The first and last entries in order; both ends are top-k, not a sort."""
+    """The first and last entries in order; both ends are top-k, not a sort.
+    Where they overlap, in a log of fewer entries than both, each stays once,
+    also of entries that are alike."""
+    many = log.count()
     first = log.orderBy(*order).limit(head)
-    last = log.orderBy(*[F.col(c).desc() for c in order]).limit(tail)
-    return first.union(last).dropDuplicates(order)
+    last = log.orderBy(*[F.col(c).desc() for c in order]).limit(max(0, min(tail, many - head)))
+    return first.union(last)
 
 
 def failure_runs(log: DataFrame, key: list[str], order: str, failed: str, threshold: int) -> DataFrame:
     """Per key the longest run of failures without a success, and whether it
     reaches the threshold.  Runs are numbered by the successes before them."""
+    # failures only are numbered among themselves; how many entries of any kind
+    # stand before each comes from the same window over slim rows
     w = Window.partitionBy(*key).orderBy(order)
-    marked = log.withColumn("_run", F.sum(F.when(F.col(failed), 0).otherwise(1)).over(w))
-    runs = marked.where(F.col(failed)).groupBy(*key, "_run").agg(F.count("*").alias("n"))
+    marked = log.select(*key, order, F.col(failed).alias("_failed")).withColumn("_run", F.sum(F.when(F.col("_failed"), 0).otherwise(1)).over(w))
+    runs = marked.where("_failed").groupBy(*key, "_run").agg(F.count("*").alias("n"))
     longest = runs.groupBy(*key).agg(F.max("n").alias("longest"))
     out = log.select(*key).distinct().join(longest, key, "left")
     return out.select(*key, F.coalesce("longest", F.lit(0)).alias("longest"), (F.coalesce("longest", F.lit(0)) >= threshold).alias("gives_up"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +20,13 @@ def recon_counts(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
 
 def recon_rows(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """keys and state: missing, extra, different or equal.  Only keys and a
-    64-bit hash of the other columns are shuffled; a null differs from a value."""
+    64-bit hash of the other columns are shuffled; a null differs from a value.
+    Null keys are equal to each other, so a row with one is matched like any."""
     h = lambda df, name: df.select(*keys, F.xxhash64(*[F.struct(F.col(c), F.col(c).isNull()) for c in columns]).alias(name))
-    both = h(source, "sh").join(h(target, "th"), keys, "full")
+    t = h(target, "th").select("th", *[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)])
+    both = h(source, "sh").join(t, same, "full")
+    both = both.select("sh", "th", *[F.when(F.col("sh").isNull(), F.col(f"_t{i}")).otherwise(F.col(k)).alias(k) for i, k in enumerate(keys)])
     state = F.when(F.col("th").isNull(), "missing").when(F.col("sh").isNull(), "extra").when(F.col("sh") == F.col("th"), "equal").otherwise("different")
     return both.select(*keys, state.alias("state"))
 

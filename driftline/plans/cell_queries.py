@@ -3,11 +3,15 @@ each with its SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftline.functions import cells as C
 from driftline.operators import catalog, counters, merge, progress, ranges, recon
 from driftline.plans import fixtures as X
+from driftline.sources import tables as T
+from driftline.sources.scratch import shared_folder
 
 NOW = X.NOW
 Q: dict = {}
@@ -52,14 +56,14 @@ def _(s, d):
 
 @query("latest_writetime", f"WITH {X.CELLS} SELECT pk, max(wt) AS latest FROM cells GROUP BY pk")
 def _(s, d):
-    by = X.cells(s, d).groupBy("pk").agg(F.max(F.when(F.col("ck") == "view", F.col("wt"))).alias("marker"), F.collect_set(F.when(F.col("ck") != "view", F.col("wt"))).alias("wts"))
-    return by.select("pk", C.latest_writetime(F.col("marker"), F.col("wts")).alias("latest"))
+    by = X.cells(s, d).groupBy("pk").agg(F.max(F.when(F.col("ck") == "view", F.col("wt"))).alias("marker"), F.max(F.when(F.col("ck") != "view", F.col("wt"))).alias("cells"))
+    return by.select("pk", C.latest_writetime(F.col("marker"), F.array("cells")).alias("latest"))
 
 
 @query("longest_expiry", f"WITH {X.CELLS} SELECT pk, CASE WHEN count(*) = count(expiry) THEN max(expiry) END AS longest FROM cells WHERE ck <> 'view' OR expiry IS NOT NULL GROUP BY pk")
 def _(s, d):
-    by = X.cells(s, d).where("ck <> 'view' or expiry is not null").groupBy("pk").agg(F.collect_list(F.struct("expiry")).alias("x"))
-    return by.select("pk", C.longest_expiry(F.col("x.expiry")).alias("longest"))
+    by = X.cells(s, d).where("ck <> 'view' or expiry is not null").groupBy("pk").agg(C.longest_expiry_of(F.col("expiry")).alias("longest"))
+    return by.select("pk", "longest")
 
 
 @query("remaining_ttl", f"""WITH {X.CELLS} SELECT seq, CASE WHEN expiry IS NULL THEN 0 ELSE least(greatest(expiry + seq * 100000 - {NOW}, 1), 630720000) END AS ttl,
@@ -234,17 +238,24 @@ def _(s, d):
 
 @query("scan_ranges", "SELECT DISTINCT user_id % 8 AS range_id FROM events")
 def _(s, d):
-    return ranges.range_ids(X.pages(s, d))
+    return ranges.required_ranges(X.pages(s, d))
 
 
 @query("scan_range", PG + " SELECT range_id, seq FROM pages_ WHERE range_id = 3")
 def _(s, d):
-    return X.pages(s, d).where("range_id = 3").select("range_id", "seq")
+    path = f"{shared_folder(s)}/driftline/ranges-{uuid.uuid4().hex[:12]}"
+    X.pages(s, d).write.partitionBy("range_id").parquet(path)
+    return ranges.scan_range(s, path, 3).select("range_id", "seq")
 
 
-@query("scan_page", PG + " SELECT seq, t FROM pages_ WHERE seq > 100 ORDER BY seq LIMIT 500")
+@query("scan_page", PG + ", o AS (SELECT seq % 50 AS part, seq, t, row_number() OVER (ORDER BY seq % 50, seq) AS k FROM pages_) SELECT CAST((k - 1) // 300 AS INTEGER) AS page, part, seq, t FROM o WHERE k <= 600")
 def _(s, d):
-    return ranges.page(X.pages(s, d), 100, 500).select("seq", "t")
+    # two pages; the second goes on where the first says, amid rows of one part
+    rows = X.pages(s, d).withColumn("part", F.col("seq") % 50)
+    first = ranges.page(rows, {"part": None, "seq": None}, 300)
+    last = first.agg(F.max("next").alias("next")).first()["next"]
+    second = ranges.page(rows, last.asDict(), 300)
+    return first.withColumn("page", F.lit(0)).union(second.withColumn("page", F.lit(1))).select("page", "part", "seq", "t")
 
 
 RG = """WITH st AS (SELECT DISTINCT user_id AS range_id, user_id % 3 = 0 AS done FROM events WHERE user_id % 4 <> 0), sr AS (SELECT DISTINCT user_id AS range_id FROM events WHERE user_id % 7 <> 0),
@@ -272,21 +283,25 @@ def _(s, d):
     return ranges.pending_ranges(al, False).withColumn("online", F.lit(False)).union(ranges.pending_ranges(al, True).withColumn("online", F.lit(True)))
 
 
-@query("range_growth", RG + " SELECT count(*) AS ranges, sum(CASE WHEN done THEN 1 ELSE 0 END)::BIGINT AS done FROM al")
+@query("known_ranges", RG + " SELECT count(*) AS ranges, sum(CASE WHEN done THEN 1 ELSE 0 END)::BIGINT AS done FROM al")
 def _(s, d):
     return ranges.union_ranges(*_stored(s, d)).agg(F.count("*").alias("ranges"), F.count_if("done").alias("done"))
 
 
-@query("page_stats", PG + " SELECT range_id, sum(CASE WHEN done THEN 1 ELSE 0 END)::BIGINT AS rows_done, sum(CASE WHEN done THEN 0 ELSE 1 END)::BIGINT AS rows_failed, sum(length(props) * 2)::BIGINT AS bytes FROM pages_ GROUP BY 1")
+@query("page_stats", PG + """ SELECT range_id, sum(CASE WHEN done THEN 1 ELSE 0 END)::BIGINT AS rows_done, sum(CASE WHEN done THEN 0 ELSE 1 END)::BIGINT AS rows_failed, sum(seq % 1000)::BIGINT AS latency_ms,
+  sum(length(props) * 2 + 8 + CASE WHEN seq % 4 = 0 THEN 0 ELSE octet_length(encode(event_type)) END)::BIGINT AS bytes FROM pages_ GROUP BY 1""")
 def _(s, d):
-    return progress.page_stats(X.pages(s, d), ["range_id"], F.col("props"))
+    p = X.pages(s, d).withColumn("ms", F.col("seq") % 1000).withColumn("blob", F.when(F.col("seq") % 4 != 0, F.col("event_type").cast("binary")))
+    return progress.page_stats(p, ["range_id"], ["props", "seq", "blob"], "ms")
 
 
-LAT = PG + ", g AS (SELECT range_id, sum(length(props) * (1 + range_id % 3) * 20)::BIGINT // count(*) AS read_ms, sum(seq % 1000)::BIGINT // count(*) AS write_ms FROM pages_ GROUP BY 1)"
+LAT = PG + """, g AS (SELECT range_id, sum(length(props) * (1 + range_id % 3) * 20)::BIGINT // count(*) AS read_ms, sum(seq % 1000)::BIGINT // count(*) AS write_ms,
+  sum(CASE WHEN seq % 3 = 0 THEN seq % 1000 END) / nullif(sum(CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END), 0) AS item_ms FROM pages_ GROUP BY 1)"""
 
 
 def _lat(s, d):
-    return X.pages(s, d).groupBy("range_id").agg(F.expr("sum(length(props) * (1 + range_id % 3) * 20) div count(*)").alias("read_ms"), F.expr("sum(seq % 1000) div count(*)").alias("write_ms"))
+    p = X.pages(s, d).withColumn("r", F.expr("length(props) * (1 + range_id % 3) * 20")).withColumn("w", F.col("seq") % 1000)
+    return progress.average_latency(p, ["range_id"], "r", "w", F.col("seq") % 3 == 0)
 
 
 @query("avg_latency", LAT + " SELECT * FROM g")
@@ -305,10 +320,10 @@ def _(s, d):
     return last.agg(F.max(NOW - F.col("last")).alias("lag")).withColumn("low", F.col("lag") < 30)
 
 
-@query("progress_percent", PG + " SELECT range_id, least(99.9, sum(CASE WHEN done THEN 1 ELSE 0 END) / count(*) * 100) AS percent FROM pages_ GROUP BY 1")
+@query("progress_percent", PG + ", t AS (SELECT range_id, sum(CASE WHEN done THEN 1 ELSE 0 END) AS w, CASE WHEN range_id % 4 = 1 THEN 0 WHEN range_id % 4 = 2 THEN count(*) // 2 ELSE count(*) END AS n FROM pages_ GROUP BY 1) SELECT range_id, CASE WHEN n > 0 THEN least(99.9, w / n * 100) END AS percent, n > 0 AND w > n AS stale FROM t")
 def _(s, d):
-    by = X.pages(s, d).groupBy("range_id").agg(F.count_if("done").alias("w"), F.count("*").alias("n"))
-    return by.select("range_id", progress.progress_percent(F.col("w"), F.col("n")).alias("percent"))
+    by = X.pages(s, d).groupBy("range_id").agg(F.count_if("done").alias("w"), F.expr("case when range_id % 4 = 1 then 0 when range_id % 4 = 2 then count(*) div 2 else count(*) end").alias("n"))
+    return by.select("range_id", progress.progress_percent(F.col("w"), F.col("n")).alias("percent"), progress.stale_total(F.col("w"), F.col("n")).alias("stale"))
 
 
 SAMP = PG + ", s AS (SELECT range_id, t // 3600 AS t, count(*) AS n FROM pages_ GROUP BY ALL), c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY range_id ORDER BY t) AS BIGINT) AS copied, min(t) OVER (PARTITION BY range_id) - 1 AS started FROM s)"
@@ -372,7 +387,7 @@ def _(s, d):
 
 @query("page_logs", LG + " SELECT conv_id, turn, level FROM log ORDER BY conv_id, turn LIMIT 100 OFFSET 50")
 def _(s, d):
-    return X.log(s, d).orderBy("conv_id", "turn").offset(50).limit(100).select("conv_id", "turn", "level")
+    return ranges.log_page(X.log(s, d), ["conv_id", "turn"], 50, 100).select("conv_id", "turn", "level")
 
 
 UN = f"WITH {X.UNITS}"
@@ -389,7 +404,7 @@ def _(s, d):
 
 
 @query("job_totals", UN + """ SELECT job, sum(CASE WHEN is_counter AND online THEN 0 ELSE copied END)::BIGINT AS copied, sum(CASE WHEN is_counter AND online THEN 0 ELSE total END)::BIGINT AS total,
-  count_if(copy_complete)::BIGINT AS complete, count_if(NOT copy_complete AND copied > 0)::BIGINT AS in_progress, count_if(status = 'Failed')::BIGINT AS failed, count_if(is_counter)::BIGINT AS counters FROM units GROUP BY job""")
+  count_if(copy_complete)::BIGINT AS complete, count_if(NOT copy_complete AND copied > 0)::BIGINT AS in_progress, count_if(status = 'Failed')::BIGINT AS failed, count_if(is_counter)::BIGINT AS counters, sum(CASE WHEN online THEN replayed ELSE 0 END)::BIGINT AS replayed FROM units GROUP BY job""")
 def _(s, d):
     return progress.job_totals(X.units(s, d))
 
@@ -409,7 +424,7 @@ def _(s, d):
     return progress.cutover_ready(X.units(s, d))
 
 
-@query("cutover", UN + " SELECT job, 'Completed' AS status FROM units GROUP BY job HAVING bool_and(copy_complete OR status = 'NotFound') AND max(command) = 'cutover'")
+@query("cutover_jobs", UN + " SELECT job, 'Completed' AS status FROM units GROUP BY job HAVING bool_and(copy_complete OR status = 'NotFound') AND max(command) = 'cutover'")
 def _(s, d):
     u = X.units(s, d)
     asked = u.groupBy("job").agg(F.max("command").alias("command")).where("command = 'cutover'")
@@ -471,16 +486,16 @@ def _(s, d):
     return X.table(s, d, "part").select("p_partkey", C.normalize_type(F.concat(F.lit("Map< "), "p_type", F.lit(", INT >"))).alias("type"))
 
 
-@query("nonfrozen_classify", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'list' WHEN 1 THEN 'set' WHEN 2 THEN 'map' WHEN 3 THEN 'frozen' ELSE 'simple' END AS class FROM part")
+@query("nonfrozen_classify", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'list' WHEN 1 THEN 'set' WHEN 2 THEN 'map' WHEN 3 THEN 'frozen' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'udt' ELSE 'simple' END END AS class FROM part")
 def _(s, d):
-    t = F.expr("case p_size % 5 when 0 then 'List<int>' when 1 then 'set<text>' when 2 then 'MAP<text, int>' when 3 then 'frozen<list<int>>' else 'text' end")
-    return X.table(s, d, "part").select("p_partkey", C.column_class(t).alias("class"))
+    t = F.expr("case p_size % 5 when 0 then 'List<int>' when 1 then 'set<text>' when 2 then 'MAP<text, int>' when 3 then 'frozen<list<int>>' else if(p_partkey % 2 = 0, 'address', 'text') end")
+    return X.table(s, d, "part").select("p_partkey", C.column_class(t, t == "address").alias("class"))
 
 
-@query("classify_errors", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'auth' WHEN 1 THEN 'not_found' WHEN 2 THEN 'throttle' WHEN 3 THEN 'transient' WHEN 4 THEN 'fatal' ELSE 'other' END AS class FROM events")
+@query("classify_errors", """SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'auth' WHEN 1 THEN 'not_found' WHEN 2 THEN 'throttle' WHEN 3 THEN 'transient' WHEN 4 THEN 'fatal' WHEN 5 THEN 'throttle' WHEN 6 THEN 'fatal' WHEN 7 THEN 'throttle' ELSE 'other' END AS class FROM events""")
 def _(s, d):
-    kind = F.expr("case event_id % 6 when 0 then 'UnauthorizedException' when 1 then 'InvalidQueryException' when 3 then 'ReadTimeoutException' when 4 then 'SyntaxError' else 'Exception' end")
-    msg = F.expr("case event_id % 6 when 1 then 'Table Does Not Exist' when 2 then 'Request RATE is large' else event_type end")
+    kind = F.expr("case event_id % 9 when 0 then 'UnauthorizedException' when 1 then 'InvalidQueryException' when 3 then 'ReadTimeoutException' when 4 then 'SyntaxError' when 5 then 'OverloadedException' when 6 then 'InvalidQueryException' when 7 then 'WriteTimeoutException' else 'Exception' end")
+    msg = F.expr("case event_id % 9 when 1 then 'Table Does Not Exist' when 2 then 'Request RATE is large' when 6 then 'code 429' when 7 then 'rate limit' else event_type end")
     return X.table(s, d, "events").select("event_id", C.classify_error(kind, msg).alias("class"))
 
 
@@ -500,15 +515,16 @@ def _(s, d):
     return X.table(s, d, "orders")
 
 
-@query("row_count", "SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM lineitem) AS lineitem")
+@query("row_count", "SELECT 'orders' AS tbl, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'lost', -1")
 def _(s, d):
-    one = lambda t: X.table(s, d, t).agg(F.coalesce(F.count("*"), F.lit(-1)).alias(t))
-    return one("orders").crossJoin(one("lineitem"))
+    named = lambda n, t: T.row_count(t).select(F.lit(n).alias("tbl"), "rows")
+    return named("orders", X.table(s, d, "orders")).union(named("lineitem", X.table(s, d, "lineitem"))).union(named("lost", None))
 
 
-@query("table_nonempty", "SELECT o_orderstatus IS NOT NULL AS nonempty FROM orders LIMIT 1")
+@query("table_nonempty", "SELECT 'orders' AS tbl, count(*) > 0 AS nonempty FROM orders UNION ALL SELECT 'none', count(*) > 0 FROM orders WHERE o_orderkey < 0 UNION ALL SELECT 'lost', TRUE")
 def _(s, d):
-    return X.table(s, d, "orders").limit(1).select(F.col("o_orderstatus").isNotNull().alias("nonempty"))
+    reads = {"orders": lambda: X.table(s, d, "orders"), "none": lambda: X.table(s, d, "orders").where("o_orderkey < 0"), "lost": lambda: X.table(s, d, "no_such_table")}
+    return s.createDataFrame([(n, T.has_data(read)) for n, read in reads.items()], "tbl string, nonempty boolean")
 
 
 @query("project_by_name", """SELECT n_name AS "N_NAME", n_nationkey AS "N_NationKey" FROM nation""")
@@ -523,15 +539,11 @@ def _(s, d):
 
 @query("sink_dry_run", f"WITH {X.CELLS} SELECT ck, count(*) AS would_write FROM cells GROUP BY ck")
 def _(s, d):
-    return X.cells(s, d).groupBy("ck").agg(F.count("*").alias("would_write"))
-
-
-@query("job_report", UN + """ SELECT n.n_name AS job_name, u.tbl, u.status, u.copied, least(99.9, u.copied / u.total * 100) AS percent FROM units u JOIN nation n ON u.job = n.n_nationkey""")
-def _(s, d):
-    n = X.table(s, d, "nation").select(F.col("n_nationkey").alias("job"), F.col("n_name").alias("job_name"))
-    return X.units(s, d).join(n, "job").select("job_name", "tbl", "status", "copied", progress.progress_percent(F.col("copied"), F.col("total")).alias("percent"))
+    return T.dry_run(X.cells(s, d), ["ck"])
 
 
-@query("stream_counters", PG + " SELECT range_id, count(*) AS replayed, count_if(NOT done)::BIGINT AS errors FROM pages_ GROUP BY 1")
+@query("job_report", UN + """ SELECT n.n_name AS job_name, u.tbl, u.status, u.copied, u.failed, least(99.9, u.copied / u.total * 100) AS percent, u.copied > u.total AS stale, u.c_custkey * 7 AS seconds,
+  CASE WHEN online THEN replayed END AS replayed, CASE WHEN online THEN replay_errors END AS replay_errors FROM units u JOIN nation n ON u.job = n.n_nationkey""")
 def _(s, d):
-    return X.pages(s, d).groupBy("range_id").agg(F.count("*").alias("replayed"), F.count_if(~F.col("done")).alias("errors"))
+    jobs = X.table(s, d, "nation").select(F.col("n_nationkey").alias("job"), F.col("n_name").alias("job_name"))
+    return progress.job_report(jobs, X.units(s, d))

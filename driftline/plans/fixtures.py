@@ -92,16 +92,17 @@ LOG = "log AS (SELECT conv_id, turn, text AS message, CASE role WHEN 'system' TH
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table units of jobs: one unit per customer, jobs by nation."""
     return table(spark, sf_dir, "customer").selectExpr(
-        "c_nationkey as job", "concat('t', c_custkey) as tbl", "c_custkey", "c_custkey % 13 <> 0 or c_nationkey % 2 = 0 as copy_complete",
+        "c_nationkey as job", "concat('t', c_custkey) as tbl", "c_custkey", "c_custkey % 13 <> 0 or c_nationkey % 2 = 0 or c_nationkey % 12 = 1 as copy_complete",
         "case when c_custkey % 17 = 0 then 'NotFound' when c_custkey % 41 = 0 and c_nationkey % 3 = 0 then 'Failed' else 'OK' end as status",
         "c_nationkey % 2 = 1 as online", "c_custkey % 19 = 0 as skipped", "c_custkey % 5 = 0 as is_counter", "cast(c_custkey % 7 as bigint) * 10 as copied", "cast(60 as bigint) as total",
         "c_nationkey % 5 = 4 and c_custkey % 3 = 0 as faulted", "case c_nationkey % 6 when 1 then 'cutover' when 2 then 'stop' when 3 then 'pause' end as command",
-        "case when c_nationkey % 4 = 0 then 'Paused' else 'Running' end as job_status", "c_acctbal",
+        "case when c_nationkey % 4 = 0 then 'Paused' else 'Running' end as job_status", "c_acctbal", "cast(c_custkey % 11 as bigint) as replayed", "cast(c_custkey % 3 as bigint) as replay_errors", "cast(c_custkey % 2 as bigint) as failed",
+        "timestamp_seconds(1700000000) as started", "timestamp_seconds(1700000000 + c_custkey * 7) as ended",
     )
 
 
-UNITS = """units AS (SELECT c_nationkey AS job, 't' || c_custkey AS tbl, c_custkey, c_custkey % 13 <> 0 OR c_nationkey % 2 = 0 AS copy_complete,
+UNITS = """units AS (SELECT c_nationkey AS job, 't' || c_custkey AS tbl, c_custkey, c_custkey % 13 <> 0 OR c_nationkey % 2 = 0 OR c_nationkey % 12 = 1 AS copy_complete,
   CASE WHEN c_custkey % 17 = 0 THEN 'NotFound' WHEN c_custkey % 41 = 0 AND c_nationkey % 3 = 0 THEN 'Failed' ELSE 'OK' END AS status,
   c_nationkey % 2 = 1 AS online, c_custkey % 19 = 0 AS skipped, c_custkey % 5 = 0 AS is_counter, (c_custkey % 7) * 10 AS copied, CAST(60 AS BIGINT) AS total,
   c_nationkey % 5 = 4 AND c_custkey % 3 = 0 AS faulted, CASE c_nationkey % 6 WHEN 1 THEN 'cutover' WHEN 2 THEN 'stop' WHEN 3 THEN 'pause' END AS command,
-  CASE WHEN c_nationkey % 4 = 0 THEN 'Paused' ELSE 'Running' END AS job_status, c_acctbal FROM customer)"""
+  CASE WHEN c_nationkey % 4 = 0 THEN 'Paused' ELSE 'Running' END AS job_status, c_acctbal, c_custkey % 11 AS replayed, c_custkey % 3 AS replay_errors, c_custkey % 2 AS failed FROM customer)"""

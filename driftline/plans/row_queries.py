@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.operators import catalog as K
 from driftline.operators import decode as D
 from driftline.operators import mutations as M
-from driftline.operators import recon
 from driftline.plans import fixtures as X
 from driftline.plans.cell_queries import WON
 from driftline.sources import tables as T
@@ -65,9 +65,11 @@ B = f"WITH {BASE}"
 MEXP = f"CASE WHEN mx % 3 = 0 THEN CASE WHEN mx % 9 = 0 THEN {NOW} + dur ELSE base + dur END END"
 
 
-@query("scan_envelope", B + " SELECT pk, ck FROM b")
+@query("scan_envelope", B + " SELECT pk, ck, mx AS val FROM b WHERE mx % 10 <> 7")
 def _(s, d):
-    return envelopes(s, d).where("json is not null").select("pk", "ck")
+    path = _folder(s)
+    envelopes(s, d).selectExpr("pk", "ck", "case when cast(get_json_object(json, '$.val') as bigint) % 10 <> 7 then json end as json").write.parquet(path)
+    return D.decode(T.read_envelopes(s, path), NOW).select("pk", "ck", F.expr("cast(clean['val'] as bigint)").alias("val"))
 
 
 @query("decode_row_marker", B + " SELECT pk, ck, CASE WHEN mx % 5 <> 0 THEN lo END AS marker_wt FROM b")
@@ -82,13 +84,13 @@ def _(s, d):
 
 @query("decode_cell_writetimes", B + " SELECT pk, ck, 'val' AS col, hi AS wt FROM b UNION ALL SELECT pk, ck, 'tags', hi FROM b UNION ALL SELECT pk, ck, 'props', hi FROM b UNION ALL SELECT pk, ck, 'note', NULL FROM b UNION ALL SELECT pk, ck, 'region', CASE WHEN mx % 6 <> 0 THEN lo END FROM b")
 def _(s, d):
-    p = D.parsed(envelopes(s, d)).select("pk", "ck", D.writetime_details(F.col("top")["__sys_clts"]).alias("w"))
+    p = D.parsed(envelopes(s, d)).select("pk", "ck", D.writetime_details(F.col("meta")["__sys_clts"]).alias("w"))
     return p.select("pk", "ck", F.explode("w").alias("col", "x")).select("pk", "ck", "col", "x.wt")
 
 
 @query("decode_cell_ttls", B + " SELECT pk, ck, base + dur AS val_expiry, [base + 5, base + 5, base + 6] AS hist_expiry FROM b WHERE mx % 3 = 0")
 def _(s, d):
-    p = D.parsed(envelopes(s, d)).select("pk", "ck", D.expiry_details(F.col("top")["__sys_clttl"], NOW).alias("e"))
+    p = D.parsed(envelopes(s, d)).select("pk", "ck", D.expiry_details(F.col("meta")["__sys_clttl"], NOW).alias("e"))
     return p.where("e.val is not null").select("pk", "ck", F.expr("e.val.expiry").alias("val_expiry"), F.expr("e.hist.elem_expiry").alias("hist_expiry"))
 
 
@@ -161,16 +163,17 @@ PLAIN = {"pk": "partition_key", "ck": "clustering", "val": "regular"}
 
 
 def _plain_plan(s, d):
-    e = envelopes(s, d).select("pk", "ck", F.expr("""concat('{"pk":', pk, ',"ck":"', ck, '","val":', get_json_object(json, '$.val'), ',"__sys_rw_ts":', get_json_object(json, '$.__sys_clts.props.e'), ',"__sys_clts":{"val":', get_json_object(json, '$.__sys_clts.val'), '}}')""").alias("json"))
+    # every second row's marker has its cell's writetime
+    e = envelopes(s, d).select("pk", "ck", F.expr("""concat('{"pk":', pk, ',"ck":"', ck, '","val":', get_json_object(json, '$.val'), ',"__sys_rw_ts":', get_json_object(json, if(cast(get_json_object(json, '$.val') as bigint) % 2 = 0, '$.__sys_clts.val', '$.__sys_clts.props.e')), ',"__sys_clts":{"val":', get_json_object(json, '$.__sys_clts.val'), '}}')""").alias("json"))
     return M.plan(D.decode(e, NOW), PLAIN, {"val": "simple"}, NOW)
 
 
-@query("plan_fast_path", B + " SELECT pk, ck, lo AS wt FROM b WHERE hi = lo")
+@query("plan_fast_path", B + " SELECT pk, ck, hi AS wt FROM b WHERE hi = lo OR mx % 2 = 0")
 def _(s, d):
     return _plain_plan(s, d).where("op = 'full_insert'").select("pk", "ck", "wt")
 
 
-@query("plan_full_insert", B + " SELECT CASE WHEN hi = lo THEN 'full_insert' ELSE 'baseline' END AS op, count(*) AS n FROM b GROUP BY 1")
+@query("plan_full_insert", B + " SELECT CASE WHEN hi = lo OR mx % 2 = 0 THEN 'full_insert' ELSE 'baseline' END AS op, count(*) AS n FROM b GROUP BY 1")
 def _(s, d):
     return _plain_plan(s, d).where("op in ('full_insert', 'baseline')").groupBy("op").agg(F.count("*").alias("n"))
 
@@ -180,8 +183,9 @@ def _(s, d):
     return plan(s, d).where("op = 'baseline'").select("pk", "ck", "wt", "expiry")
 
 
-@query("plan_tombstone", B + " SELECT pk, ck, hi AS wt FROM b WHERE mx % 7 = 0")
+@query("plan_tombstone", B + " SELECT pk, ck, hi AS wt FROM b WHERE mx % 7 = 0 OR mx % 5 = 0")
 def _(s, d):
+    # a deleted cell, or a null of a row that no marker's insert holds
     return plan(s, d).where("column = 'note' and op = 'set_group'").select("pk", "ck", "wt")
 
 
@@ -211,22 +215,24 @@ def _lists(s, d):
     return e.withColumn("e", F.expr("if(mx % 3 = 0, array(5L, 5L, 6L), array(7L, 7L, 7L))"))
 
 
+def _list_plan(s, d):
+    """Mutations of the lists, which have writetimes and (some) expiries of elements."""
+    e = envelopes(s, d).withColumn("json", F.regexp_replace("json", r'"__sys_clts":\{', '"__sys_clts":{"hist":[1,1,1],'))
+    return M.plan(D.decode(e, NOW), KINDS, CLASSES, NOW).where("column = 'hist'")
+
+
 @query("plan_list_runs", B + ", r AS (SELECT *, mx % 3 = 0 AS three FROM b) " + LISTS)
 def _(s, d):
-    runs = _lists(s, d).select("pk", "ck", F.posexplode(M.list_runs(F.col("items"), F.col("e"))).alias("i", "r"))
-    return runs.select("pk", "ck", F.expr("if(i = 0, 'list_set', 'list_append')").alias("op"), F.to_json("r.items").alias("value"))
+    return _list_plan(s, d).select("pk", "ck", "op", "value")
 
 
 @query("list_timestamps", B + f", r AS (SELECT *, mx % 3 = 0 AS three FROM b) SELECT pk, ck, {NOW * 1_000_000} AS wt FROM r UNION ALL SELECT pk, ck, {NOW * 1_000_000 + 1} FROM r WHERE three")
 def _(s, d):
-    runs = _lists(s, d).select("pk", "ck", F.posexplode(M.list_runs(F.col("items"), F.col("e"))).alias("i", "r"))
-    return runs.select("pk", "ck", (F.lit(NOW * 1_000_000) + F.col("i")).alias("wt"))
+    return _list_plan(s, d).select("pk", "ck", "wt")
 
 
 @query("list_run_split", B + " SELECT pk, ck, CASE WHEN mx % 3 = 0 THEN 2 ELSE 1 END AS runs FROM b")
 def _(s, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("pk", "ck").orderBy("i")
     each = _lists(s, d).select("pk", "ck", F.posexplode("e").alias("i", "x"))
     new = each.withColumn("new", (~F.lag("x").over(w).eqNullSafe(F.col("x"))) | (F.col("i") == 0))
@@ -250,15 +256,18 @@ def _(s, d):
 
 @query("elements_by_writetime", ADD + ", o AS (SELECT pk, ck, twt, row_number() OVER (PARTITION BY pk, ck ORDER BY twt) AS nth FROM g) SELECT o.pk, o.ck, nth, twt AS wt FROM o")
 def _(s, d):
-    e = decoded(s, d).select("pk", "ck", F.from_json(F.expr("clean['tags']"), "array<string>").alias("t"), D.writetime_details(F.from_json(F.col("json"), "map<string,string>")["__sys_clts"]).alias("w"))
+    e = decoded(s, d).select("pk", "ck", F.from_json(F.expr("clean['tags']"), "array<string>").alias("t"), D.writetime_details(F.from_json("json", D.META)["__sys_clts"]).alias("w"))
     b = M.element_buckets(F.col("t"), F.expr("w['tags'].elem_wt"), F.expr("transform(w['tags'].elem_wt, x -> cast(null as bigint))"))
     return e.select("pk", "ck", F.posexplode(b).alias("i", "x")).select("pk", "ck", (F.col("i") + 1).cast("bigint").alias("nth"), "x.wt")
 
 
-@query("plan_element_fallback", B + " SELECT pk, ck, FALSE AS split FROM b")
+@query("plan_element_fallback", B + " SELECT pk, ck, hi AS wt FROM b WHERE mx % 2 = 0")
 def _(s, d):
-    e = decoded(s, d).select("pk", "ck", F.from_json(F.expr("clean['tags']"), "array<string>").alias("t"), F.expr("concat(array(1L), transform(from_json(clean['tags'], 'array<string>'), x -> 2L))").alias("w"))
-    return e.select("pk", "ck", (F.size("t") == F.size("w")).alias("split"))
+    # one writetime more than elements: the set is written uniformly
+    e = envelopes(s, d).where("cast(get_json_object(json, '$.val') as bigint) % 2 = 0")
+    e = e.withColumn("json", F.regexp_replace("json", r'("__sys_clts":\{"val":\d+,"note":null,"tags":\[)', "$1 1,"))
+    m = M.plan(D.decode(e, NOW), KINDS, CLASSES, NOW).where("column = 'tags' and value is not null")
+    return m.where("op = 'set_group'").select("pk", "ck", "wt")
 
 
 @query("plan_collection_delete", B + ", f AS (SELECT pk, ck, min(twt) AS m, count(DISTINCT twt) AS n FROM tg GROUP BY 1, 2) SELECT b.pk, b.ck, lo AS wt FROM b JOIN f ON b.pk = f.pk AND b.ck = f.ck WHERE mx % 4 = 0 AND n > 1 AND lo - 1 <> m - 1")
@@ -271,21 +280,35 @@ def _(s, d):
     return plan(s, d).where("op = 'field'").select("pk", "ck", "path", "wt")
 
 
-@query("plan_groups", B + " SELECT pk, ck, hi AS wt FROM b WHERE mx % 7 = 0 GROUP BY ALL")
+@query("plan_groups", B + f""" , c AS (SELECT pk, ck, 'note' AS col, hi AS wt, CAST(NULL AS BIGINT) AS expiry FROM b WHERE mx % 7 = 0 OR mx % 5 = 0
+  UNION ALL SELECT pk, ck, 'val', hi, CASE WHEN mx % 3 = 0 THEN base + dur END FROM b WHERE mx % 5 = 0 OR hi <> lo OR (CASE WHEN mx % 3 = 0 THEN base + dur END) IS DISTINCT FROM ({MEXP}))
+  SELECT pk, ck, wt, expiry, array_to_string(list_sort(list(col)), ',') AS columns FROM c GROUP BY pk, ck, wt, expiry""")
+def _(s, d):
+    cells = plan(s, d).where("op <> 'set_group' or column in ('note', 'val')")
+    return M.grouped(cells, ["pk", "ck"]).select("pk", "ck", "wt", "expiry", F.array_join("columns", ",").alias("columns"))
+
+
+def _default_plan(s, d, members: str):
+    """Plans of rows without a marker, with ``members`` for their metadata."""
+    e = envelopes(s, d).selectExpr("pk", "ck", f"""concat('{{"pk":', pk, ',"ck":"', ck, '","val":', get_json_object(json, '$.val'), ',"note":null,"region":"r"', {members}, '}}') as json""")
+    return M.grouped(M.plan(D.decode(e, NOW), KINDS, CLASSES, NOW), ["pk", "ck"]).select("pk", "ck", "wt", "expiry", "is_static", F.array_join("columns", ",").alias("columns"))
+
+
+@query("plan_default_cell", B + " SELECT pk, ck, hi AS wt, CAST(NULL AS BIGINT) AS expiry, col = 'region' AS is_static, col AS columns FROM b, (VALUES ('note,val'), ('region')) v(col)")
 def _(s, d):
-    g = M.grouped(plan(s, d), ["pk", "ck"])
-    return g.where(F.array_contains("columns", "note")).select("pk", "ck", "wt")
+    # cells without metadata take the row's newest time
+    return _default_plan(s, d, """',"__sys_clts":{"region":', get_json_object(json, '$.__sys_clts.val'), '}'""")
 
 
-@query("plan_default_cell", B + " SELECT pk, ck, CASE WHEN mx % 5 <> 0 THEN lo ELSE hi END AS wt FROM b")
+@query("default_metadata", B + f" SELECT pk, ck, {NOW * 1_000_000} AS wt, CAST(NULL AS BIGINT) AS expiry, col = 'region' AS is_static, col AS columns FROM b, (VALUES ('note,val'), ('region')) v(col)")
 def _(s, d):
-    return decoded(s, d).select("pk", "ck", F.coalesce("marker.wt", "latest_wt").alias("wt"))
+    return _default_plan(s, d, "''")
 
 
-@query("default_metadata", B + f" SELECT pk, ck, {NOW * 1_000_000} AS wt FROM b")
+@query("row_deletes", B + " SELECT pk, ck, lo + 1 AS wt, 'row_delete' AS op FROM b WHERE mx % 4 = 1")
 def _(s, d):
-    bare = envelopes(s, d).select("pk", "ck", F.expr("""concat('{"pk":', pk, ',"ck":"', ck, '"}')""").alias("json"))
-    return D.decode(bare, NOW).select("pk", "ck", F.coalesce("latest_wt", F.lit(NOW * 1_000_000)).alias("wt"))
+    e = envelopes(s, d).withColumn("json", F.expr("""if(cast(get_json_object(json, '$.val') as bigint) % 4 = 1, concat('{"__sys_rw_tmbstn":', cast(get_json_object(json, '$.__sys_clts.props.e') as bigint) + 1, ',', substring(json, 2)), json)"""))
+    return M.plan(D.decode(e, NOW), KINDS, CLASSES, NOW).where("op = 'row_delete'").select("pk", "ck", "wt", "op")
 
 
 @query("mutation_order", B + " SELECT 'baseline' AS op, 1 AS seq UNION ALL SELECT 'set_group', 2 UNION ALL SELECT 'add', 3 UNION ALL SELECT 'field', 4 UNION ALL SELECT 'remove', 5 UNION ALL SELECT 'list_set', 6")
@@ -326,15 +349,15 @@ def _(s, d):
     return K.target_clashes(X.table(s, d, "part").select(F.col("p_name").alias("source"), F.expr("if(p_size % 2 = 0, upper(p_brand), p_brand)").alias("target")))
 
 
-@query("scan_catalog_tables", "SELECT DISTINCT 'k' || n_regionkey AS keyspace, n_name AS tbl FROM nation WHERE n_regionkey > 1")
+@query("scan_catalog_tables", "SELECT DISTINCT CASE n_regionkey WHEN 2 THEN 'system_of_mine' ELSE 'k' || n_regionkey END AS keyspace, n_name AS tbl FROM nation WHERE n_regionkey > 1")
 def _(s, d):
-    t = X.table(s, d, "nation").selectExpr("case n_regionkey when 0 then 'SYSTEM' when 1 then 'system_auth' else concat('k', n_regionkey) end as keyspace", "n_name as tbl")
+    t = X.table(s, d, "nation").selectExpr("case n_regionkey when 0 then 'SYSTEM' when 1 then 'system_auth' when 2 then 'system_of_mine' else concat('k', n_regionkey) end as keyspace", "n_name as tbl")
     return K.user_tables(t)
 
 
-@query("scan_catalog_columns", "SELECT * FROM (VALUES ('nation', 'n_nationkey', 'int', 0), ('nation', 'n_name', 'string', 1), ('nation', 'n_regionkey', 'int', 2)) v(tbl, name, type, position)")
+@query("scan_catalog_columns", """SELECT * FROM (VALUES ('nation', 'n_nationkey', 'int', 'clustering', 0, 'desc'), ('nation', 'n_name', 'string', 'regular', -1, 'none'), ('nation', 'n_regionkey', 'int', 'partition_key', 0, 'none')) v(tbl, name, type, kind, position, clustering_order)""")
 def _(s, d):
-    return K.schema_rows(X.table(s, d, "nation"), "nation")
+    return K.schema_rows(X.table(s, d, "nation"), "nation", ["n_regionkey"], {"n_nationkey": "desc"})
 
 
 @query("scan_catalog_tables_customer", "SELECT 'k' || c_nationkey AS keyspace, c_name AS tbl FROM customer WHERE c_nationkey % 5 > 1")
@@ -349,14 +372,14 @@ def _(s, d):
     return K.type_fields(t.withColumn("field_names", F.array(F.lit("size"), F.lit("name"))).withColumn("field_types", F.array(F.lit("int"), F.lit("text"))))
 
 
-COLS = """WITH src AS (SELECT 't' || p_partkey AS tbl, CASE i WHEN 1 THEN 'partition_key' WHEN 2 THEN 'clustering' ELSE 'regular' END AS kind, CAST(CASE WHEN i = 3 THEN 0 WHEN i = 4 THEN 1 ELSE 0 END AS INTEGER) AS position, 'c' || i AS name, CASE WHEN i = 2 THEN 'Map< int, text>' ELSE 'text' END AS type FROM part, (VALUES (1), (2), (3), (4)) v(i)),
-tgt AS (SELECT tbl, kind, position, CASE WHEN name = 'c1' AND p % 5 = 0 THEN 'other' ELSE upper(name) END AS name, CASE WHEN name = 'c2' AND p % 7 = 0 THEN 'int' ELSE lower(replace(type, ' ', '')) END AS type FROM (SELECT *, CAST(substr(tbl, 2) AS BIGINT) AS p FROM src) WHERE NOT (name = 'c4' AND p % 3 = 0) AND NOT (name = 'c2' AND p % 11 = 0))"""
+COLS = """WITH src AS (SELECT 't' || p_partkey AS tbl, CASE i WHEN 1 THEN 'partition_key' WHEN 2 THEN 'clustering' ELSE 'regular' END AS kind, CAST(CASE WHEN i = 3 THEN 0 WHEN i = 4 THEN 1 ELSE 0 END AS INTEGER) AS position, 'c' || i AS name, CASE WHEN i = 2 THEN 'Map< int, text>' ELSE 'text' END AS type, CASE WHEN i <> 2 THEN 'none' WHEN p_partkey % 2 = 0 THEN 'desc' ELSE 'asc' END AS clustering_order FROM part, (VALUES (1), (2), (3), (4)) v(i)),
+tgt AS (SELECT tbl, kind, position, CASE WHEN name = 'c1' AND p % 5 = 0 THEN 'other' ELSE upper(name) END AS name, CASE WHEN name = 'c2' AND p % 7 = 0 THEN 'int' ELSE lower(replace(type, ' ', '')) END AS type, CASE WHEN name = 'c2' AND p % 13 = 0 THEN 'ASC' ELSE clustering_order END AS clustering_order FROM (SELECT *, CAST(substr(tbl, 2) AS BIGINT) AS p FROM src) WHERE NOT (name = 'c4' AND p % 3 = 0) AND NOT (name = 'c2' AND p % 11 = 0))"""
 
 
 def _catalogs(s, d):
     src = X.table(s, d, "part").select("p_partkey", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("i")).selectExpr(
-        "concat('t', p_partkey) as tbl", "case i when 1 then 'partition_key' when 2 then 'clustering' else 'regular' end as kind", "case when i = 4 then 1 else 0 end as position", "concat('c', i) as name", "if(i = 2, 'Map< int, text>', 'text') as type", "p_partkey as p")
-    tgt = src.where("not (name = 'c4' and p % 3 = 0) and not (name = 'c2' and p % 11 = 0)").selectExpr("tbl", "kind", "position", "if(name = 'c1' and p % 5 = 0, 'other', upper(name)) as name", "if(name = 'c2' and p % 7 = 0, 'int', lower(replace(type, ' ', ''))) as type")
+        "concat('t', p_partkey) as tbl", "case i when 1 then 'partition_key' when 2 then 'clustering' else 'regular' end as kind", "case when i = 4 then 1 else 0 end as position", "concat('c', i) as name", "if(i = 2, 'Map< int, text>', 'text') as type", "case when i <> 2 then 'none' when p_partkey % 2 = 0 then 'desc' else 'asc' end as clustering_order", "p_partkey as p")
+    tgt = src.where("not (name = 'c4' and p % 3 = 0) and not (name = 'c2' and p % 11 = 0)").selectExpr("tbl", "kind", "position", "if(name = 'c1' and p % 5 = 0, 'other', upper(name)) as name", "if(name = 'c2' and p % 7 = 0, 'int', lower(replace(type, ' ', ''))) as type", "if(name = 'c2' and p % 13 = 0, 'ASC', clustering_order) as clustering_order")
     return src.drop("p"), tgt
 
 
@@ -365,9 +388,9 @@ def _(s, d):
     return _catalogs(s, d)[0].select("tbl", "name", "type", "position")
 
 
-DIFF = COLS + """, j AS (SELECT coalesce(s.tbl, t.tbl) AS tbl, coalesce(s.kind, t.kind) AS kind, coalesce(s.position, t.position) AS position, s.name AS s_name, lower(replace(s.type, ' ', '')) AS s_type, t.name AS t_name, t.type AS t_type
+DIFF = COLS + """, j AS (SELECT coalesce(s.tbl, t.tbl) AS tbl, coalesce(s.kind, t.kind) AS kind, coalesce(s.position, t.position) AS position, s.name AS s_name, lower(replace(s.type, ' ', '')) AS s_type, lower(s.clustering_order) AS s_order, t.name AS t_name, t.type AS t_type, lower(t.clustering_order) AS t_order
   FROM (SELECT * FROM src WHERE kind <> 'regular') s FULL JOIN (SELECT * FROM tgt WHERE kind <> 'regular') t ON s.tbl = t.tbl AND s.kind = t.kind AND s.position = t.position),
- w AS (SELECT tbl, kind, CASE WHEN s_name IS NULL OR t_name IS NULL THEN 'count' WHEN lower(s_name) <> lower(t_name) THEN 'name' WHEN s_type <> t_type THEN 'type' END AS why FROM j),
+ w AS (SELECT tbl, kind, CASE WHEN s_name IS NULL OR t_name IS NULL THEN 'count' WHEN lower(s_name) <> lower(t_name) THEN 'name' WHEN s_type <> t_type THEN 'type' WHEN s_order <> t_order THEN 'order' END AS why FROM j),
  cp AS (SELECT k.tbl, list_sort(coalesce(list(kind || ':' || why) FILTER (WHERE why IS NOT NULL), [])) AS reasons FROM (SELECT DISTINCT tbl FROM src) k LEFT JOIN w ON k.tbl = w.tbl GROUP BY 1)"""
 
 
@@ -398,9 +421,16 @@ def _(s, d):
     return K.schema_action(K.schema_compat(src, tgt), src.select("tbl").distinct().where(p % 4 != 0).withColumn("has_data", p % 2 == 1))
 
 
-@query("key_order", COLS + " SELECT tbl, 'c1,c2' AS keys FROM src GROUP BY 1")
+@query("key_order", COLS + " SELECT tbl, array_to_string(list(name ORDER BY kind DESC, position), ',') AS keys, array_to_string(list(clustering_order ORDER BY kind DESC, position), ',') AS orders FROM src WHERE kind <> 'regular' GROUP BY 1")
+def _(s, d):
+    return K.key_columns(_catalogs(s, d)[0]).select("tbl", F.array_join("keys", ",").alias("keys"), F.array_join("orders", ",").alias("orders"))
+
+
+@query("clustered_rows", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS nth FROM lineitem")
 def _(s, d):
-    return K.key_columns(_catalogs(s, d)[0]).select("tbl", F.array_join("keys", ",").alias("keys"))
+    # ranks of a window that finds the rows already dealt and in order
+    rows = K.clustered(X.table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], {"l_linenumber": "desc"})
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.col("l_linenumber").desc())).cast("long"))
 
 
 @query("evolve_add_columns", "SELECT c_custkey, NULL AS c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 1")
@@ -409,7 +439,7 @@ def _(s, d):
     return K.evolve(c.where("c_custkey % 2 = 0").select("c_custkey"), c.where("c_custkey % 2 = 1").select("c_custkey", "c_name"))
 
 
-EDGES = "SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey <= 300 AND p_partkey // 3 > 0"
+EDGES = "SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey // 3 > 0"
 
 
 def _edges(s, d):
@@ -438,13 +468,37 @@ def _derive(b):
         "case when event_id % 3 = 0 and event_id % 7 <> 0 then unix_seconds(cast(ts as timestamp)) + 86400 * (1 + event_id % 10) end as expiry")
 
 
-def _replicated(s, d, runs: int = 1, split_by: str | None = None):
-    root = _folder(s)
-    log = R.MutationLog(s, f"{root}/log")
-    for _ in range(runs):
-        stream = R.tail(s, d, X.table(s, d, "events").schema, "events.parquet")
-        R.replicate(stream, log, f"{root}/checkpoint", _derive, split_by=split_by).awaitTermination()
-    return log
+class Feed:
+    """A folder that grows by parts of ``events``, and a log of its mutations."""
+
+    def __init__(self, s, d) -> None:
+        self.s, self.events, self.root = s, X.table(s, d, "events"), _folder(s)
+        self.log = R.MutationLog(s, f"{self.root}/log")
+
+    def add(self, condition: str) -> None:
+        self.events.where(condition).write.mode("append").parquet(f"{self.root}/in")
+
+    def start(self, **kw):
+        return R.replicate(R.tail(self.s, f"{self.root}/in", self.events.schema), self.log, f"{self.root}/checkpoint", _derive, **kw)
+
+    def run(self, **kw) -> bool:
+        """One run to the end; whether it was stopped by rows that cannot be written."""
+        try:
+            self.start(**kw).awaitTermination()
+            return False
+        except StreamingQueryException as e:
+            if R.REJECTED not in str(e):
+                raise
+            return True
+
+
+def _replicated(s, d, split_by: str | None = None):
+    """A snapshot run, then a tail run over what was added since."""
+    feed = Feed(s, d)
+    for part in (0, 1):
+        feed.add(f"event_id % 2 = {part}")
+        feed.run(split_by=split_by)
+    return feed.log
 
 
 WINNERS = WON + " SELECT pk, ck, val, wt FROM w WHERE k = 1"
@@ -455,14 +509,28 @@ def _(s, d):
     return _replicated(s, d).state(["pk", "ck"], ["seq"]).select("pk", "ck", "val", "wt")
 
 
-@query("checkpoint_resume", WON + " SELECT count(*) AS mutations, count(DISTINCT seq) AS distinct_mutations FROM cells")
+@query("checkpoint_resume", WON + " SELECT count(*) AS mutations, count(DISTINCT seq) AS distinct_mutations, TRUE AS stopped, sum(CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS before, 1 AS position_before, 2 AS position FROM cells")
 def _(s, d):
-    return _replicated(s, d, runs=2).read().agg(F.count("*").alias("mutations"), F.count_distinct("seq").alias("distinct_mutations"))
+    feed = Feed(s, d)
+    feed.add("event_id % 2 = 0")
+    feed.run()
+    feed.add("event_id % 2 = 1")
+    stopped = feed.run(reject="event_type = 'error'")  # the second batch fails
+    before, position = feed.log.read().count(), R.position(s, f"{feed.root}/checkpoint")
+    feed.run()  # and is taken whole when the cause is gone
+    out = feed.log.read().agg(F.count("*").alias("mutations"), F.count_distinct("seq").alias("distinct_mutations"))
+    return out.select("*", F.lit(stopped).alias("stopped"), F.lit(before).cast("long").alias("before"), F.lit(position).alias("position_before"), F.lit(R.position(s, f"{feed.root}/checkpoint")).alias("position"))
 
 
 @query("stateful_lww", WINNERS)
 def _(s, d):
-    return _replicated(s, d, runs=2).state(["pk", "ck"], ["seq"]).select("pk", "ck", "val", "wt")
+    # the log is compacted between its runs, and late rows still lose to newer ones
+    feed = Feed(s, d)
+    for part in (2, 0, 1):
+        feed.add(f"event_id % 3 = {part}")
+        feed.run()
+        feed.log.compact(["pk", "ck"], ["seq"])
+    return feed.log.read().select("pk", "ck", "val", "wt")
 
 
 @query("scan_tail", WON + " SELECT seq, wt FROM cells")
@@ -472,23 +540,60 @@ def _(s, d):
 
 @query("multi_table_stream", WON + " SELECT ck AS source, count(*) AS n FROM cells GROUP BY 1")
 def _(s, d):
-    return _replicated(s, d, split_by="event_type").read().groupBy("source").agg(F.count("*").alias("n"))
+    return _replicated(s, d, split_by="ck").read().groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("poison_policy", WON + " SELECT TRUE AS stopped, 0 AS written, 0 AS position, count(*) AS repaired, count(DISTINCT seq) AS rows FROM cells")
+def _(s, d):
+    feed = Feed(s, d)
+    feed.add("true")
+    stopped = feed.run(reject="event_type = 'error'")
+    written = feed.log.read().count() if feed.log.exists() else 0
+    position = R.position(s, f"{feed.root}/checkpoint")
+    feed.run()
+    out = feed.log.read().agg(F.count("*").alias("repaired"), F.count_distinct("seq").alias("rows"))
+    return out.select("*", F.lit(stopped).alias("stopped"), F.lit(written).alias("written"), F.lit(position).alias("position"))
+
+
+@query("stream_counters", "SELECT event_type AS ck, count(*) AS replayed, sum(CASE WHEN event_id % 2 = 1 THEN 1 ELSE 0 END)::BIGINT AS last_batch, sum(CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END)::BIGINT AS errors FROM events GROUP BY 1")
+def _(s, d):
+    feed = Feed(s, d)
+    for part in (0, 1):
+        feed.add(f"event_id % 2 = {part}")
+        feed.run(counters=R.Counters(f"{feed.root}/counters", ["ck"], "seq % 9 = 0"))
+    return R.read_counters(s, f"{feed.root}/counters", ["ck"])
 
 
-@query("poison_policy", WON + " SELECT 0 AS written")
+@query("range_growth", "SELECT user_id % 8 AS range_id, count(*) AS rows, (user_id % 8 >= 5)::INTEGER AS run FROM events GROUP BY ALL")
 def _(s, d):
-    root = _folder(s)
+    root, events = _folder(s), X.table(s, d, "events").withColumn("range_id", F.col("user_id") % 8)
     log = R.MutationLog(s, f"{root}/log")
-    stream = R.tail(s, d, X.table(s, d, "events").schema, "events.parquet")
-    q = R.replicate(stream, log, f"{root}/checkpoint", _derive, reject="event_type = 'error'")
-    try:
-        q.awaitTermination()
-    except StreamingQueryException as e:  # the batch fails, as it should
-        if R.REJECTED not in str(e):
-            raise
-    if not log.exists():
-        return s.range(1).selectExpr("0 as written")
-    return log.read().agg(F.count("*").cast("int").alias("written"))
+    schema = events.schema
+    for run, part in enumerate(("range_id < 5", "range_id >= 5")):  # ranges that a restart finds
+        events.where(part).write.mode("append").partitionBy("range_id").parquet(f"{root}/in")
+        stream = R.tail(s, f"{root}/in", schema)
+        R.replicate(stream, log, f"{root}/checkpoint", lambda b, run=run: b.select("range_id", F.lit(run).alias("run"))).awaitTermination()
+    return log.read().groupBy("range_id", "run").agg(F.count("*").alias("rows"))
+
+
+@query("cutover", "SELECT 'Completed' AS status, FALSE AS running, count(*) AS mutations FROM events UNION ALL SELECT 'Pending', TRUE, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT FROM events")
+def _(s, d):
+    out = None
+    for ready in (True, False):
+        feed = Feed(s, d)
+        feed.add("event_id % 2 = 0")
+        q = feed.start(forever_every="0 seconds")
+        try:
+            q.processAllAvailable()
+            if ready:
+                feed.add("event_id % 2 = 1")  # the cutover drains what has arrived
+            status = R.cut_over(q, ready)
+            running = q.isActive
+        finally:
+            q.stop()
+        one = feed.log.read().agg(F.count("*").alias("mutations")).select(F.lit(status).alias("status"), F.lit(running).alias("running"), "mutations")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("sink_mutations", WON + " SELECT ck, count(*) AS n, max(wt) AS wt FROM cells GROUP BY 1")
@@ -502,8 +607,9 @@ def _(s, d):
 @query("sink_typed", "SELECT o_orderkey, o_custkey, 1 AS wt FROM orders")
 def _(s, d):
     path = _folder(s)
-    T.write_typed(X.table(s, d, "orders"), path, ["o_orderkey", "o_custkey"], 1, ["o_orderkey"])
-    return s.read.parquet(path)
+    for _ in range(2):  # a batch that runs again writes its folder anew
+        T.write_typed(X.table(s, d, "orders"), path, ["o_orderkey", "o_custkey"], 1, ["o_custkey"], {"o_orderkey": "desc"})
+    return T.read_batches(s, path)
 
 
 @query("drop_and_reload", "SELECT n_nationkey, n_name FROM nation")

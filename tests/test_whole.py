@@ -2,11 +2,13 @@
 
 import pytest
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import functions as F
 
-from driftline.llm import url_filter as UF
 from driftline.operators import catalog as K
+from driftline.operators import decode as D
+from driftline.operators import mutations as M
+from driftline.operators import ranges, recon
 from driftline.plans import registry
+from driftline.sources import tables as T
 from driftline.streaming import replicate as R
 
 SMALL, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -38,50 +40,82 @@ def test_null_split_values_stay_in_the_log(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, None), (5, "None")], "seq long, kind string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     log = R.MutationLog(spark, str(tmp_path / "log"))
-    R.replicate(R.tail(spark, str(tmp_path / "in"), rows.schema), log, str(tmp_path / "checkpoint"), lambda b: b.select("seq"), split_by="kind").awaitTermination()
+    R.replicate(R.tail(spark, str(tmp_path / "in"), rows.schema), log, str(tmp_path / "checkpoint"), lambda b: b, split_by="kind").awaitTermination()
     assert sorted((r["seq"], r["source"]) for r in log.read().collect()) == [(1, "a"), (2, None), (3, "b"), (4, None), (5, "None")]
 
 
-RELATIVE = [
-    ("https://a.com/x/p1.html", "<link rel=canonical href='page2.html'>", "a.com/x/page2.html"),
-    ("https://a.com/x/p2?id=1", "<link rel=canonical href='?id=3'>", "a.com/x/p2?id=3"),
-    ("https://a.com/x/y/p3", "<link rel=canonical href='../z/./q?u=http://b/c'>", "a.com/x/z/q?u=http://b/c"),
-    ("https://a.com", "<link rel=canonical href='p4'>", "a.com/p4"),
-    ("https://a.com/x/p5", "<link rel=canonical href='../../..'>", "a.com/"),
-    ("https://a.com/x/p6", "<link rel=canonical href='#top'>", "a.com/x/p6"),
-    ("https://a.com/x/p7", "<link rel=canonical href='mailto:me'>", None),
-    ("https://a.com/x/p8", """<meta http-equiv=refresh content="0; url='https://B.com/b'">""", "b.com/b"),
-    ("https://a.com/x/p9", """<meta http-equiv="refresh" content='3;URL="next"'>""", "a.com/x/next"),
-    ("https://a.com/x/p10", "<meta http-equiv=refresh content=5>", None),
-    ("https://a.com/x/p11", "<link rel=canonical href='/r'>", "a.com/r"),
-]
-
-
-def test_relative_links_and_quoted_refreshes(spark):
-    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(RELATIVE)], "page_id long, url string, html string")
-    links = pages.select("page_id", F.transform(UF.linked_urls(F.col("url"), F.col("html")), UF.alias_key).alias("links"))
-    assert {r["page_id"]: r["links"] for r in links.collect()} == {i: [w] if w else [] for i, (_, _, w) in enumerate(RELATIVE)}
-    rules = spark.createDataFrame([("block", "a.com", "/x/page2"), ("block", "b.com", "/b")], "action string, host string, path string")
-    more = pages.union(spark.createDataFrame([(90, "https://a.com/x/page2.html", ""), (91, "http://b.com/b", None)], pages.schema))
-    assert {r["page_id"] for r in UF.judge(more, rules).where("verdict = 'block'").collect()} == {0, 7, 90, 91}
-
-
 def test_poison_policy_counts_what_the_log_has(spark, monkeypatch):
     real = R.replicate
 
     def after_a_write(stream, log, *args, **kw):
-        log.write(spark.range(7), 99)
+        if not log.exists():
+            log.write(spark.range(7).selectExpr("id as seq"), 99)
         return real(stream, log, *args, **kw)
 
     def broken(stream, log, checkpoint, derive, **kw):
         return real(stream, log, checkpoint, lambda b: b.select("no_such_column"))
 
-    assert [r["written"] for r in registry.QUERIES["poison_policy"](spark, SMALL).collect()] == [0]
+    rows = spark.read.parquet(f"{SMALL}/events.parquet").count()
+    run = lambda: registry.QUERIES["poison_policy"](spark, SMALL).first()
+    assert (got := run()) and (got["stopped"], got["written"], got["position"], got["repaired"]) == (True, 0, 0, rows)
     monkeypatch.setattr(R, "replicate", after_a_write)
-    assert [r["written"] for r in registry.QUERIES["poison_policy"](spark, SMALL).collect()] == [7]
+    assert run()["written"] == 7
     monkeypatch.setattr(R, "replicate", broken)
     with pytest.raises(StreamingQueryException):
-        registry.QUERIES["poison_policy"](spark, SMALL).collect()
+        run()
+
+
+def test_log_survives_compaction(spark, tmp_path):
+    log = R.MutationLog(spark, str(tmp_path / "log"))
+    rows = lambda *x: spark.createDataFrame(x, "pk long, wt long, seq long, val string, expiry long, del boolean")
+    log.write(rows((1, 10, 1, "a", None, False), (2, 10, 2, "b", None, False)), 0)
+    log.write(rows((1, 20, 3, "c", None, False), (2, 5, 4, "late", None, True)), 1)
+    want = sorted(map(tuple, log.state(["pk"], ["seq"]).collect()))
+    log.compact(["pk"], ["seq"])
+    assert log.batches() == [] and log.compacted() == 1 and log.read().count() == 2
+    assert sorted(map(tuple, log.state(["pk"], ["seq"]).collect())) == want
+    log.write(rows((1, 20, 3, "c", None, False)), 1)  # a batch that the state has runs again
+    log.write(rows((2, 30, 5, None, None, True)), 2)
+    log.compact(["pk"], ["seq"])
+    assert {(r["pk"], r["val"], r["del"]) for r in log.read().collect()} == {(1, "c", False), (2, None, True)}
+
+
+def test_pages_go_on_within_equal_keys(spark):
+    rows = spark.createDataFrame([(p, s) for p in (1, 2) for s in range(5)], "p long, s long")
+    seen, after = [], {"p": None, "s": None}
+    while got := ranges.page(rows, after, 3).collect():
+        seen += [(r["p"], r["s"]) for r in got]
+        after = got[-1]["next"].asDict()
+    assert seen == [(p, s) for p in (1, 2) for s in range(5)]
+
+
+def test_ranges_ends_and_unknowns(spark):
+    with pytest.raises(ValueError):
+        ranges.required_ranges(spark.createDataFrame([(None,), ("",)], "range_id string"))
+    log = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k long, m string")
+    assert sorted(r["m"] for r in ranges.head_and_tail(log, ["k"], 2, 5).collect()) == ["x", "x", "y"]
+    assert ranges.log_page(log, ["k"], 0, 0).count() == 1
+    assert [r["rows"] for r in T.row_count(None).collect()] == [-1] and T.has_data(lambda: spark.read.parquet("/no/such/table"))
+    both = recon.recon_rows(spark.createDataFrame([(None, 1), (2, 1)], "k long, v long"), spark.createDataFrame([(None, 1), (3, 1)], "k long, v long"), ["k"], ["v"])
+    assert sorted((r["state"], r["k"]) for r in both.collect()) == [("equal", None), ("extra", 3), ("missing", 2)]
+
+
+def test_scan_of_one_range_reads_its_folder(spark, tmp_path):
+    spark.range(100).selectExpr("id % 4 as range_id", "id").write.partitionBy("range_id").parquet(str(tmp_path / "t"))
+    df = ranges.scan_range(spark, str(tmp_path / "t"), 3)
+    assert df.count() == 25 and len(df.inputFiles()) > 0
+    assert "PartitionFilters: [isnotnull(range_id" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_envelopes_are_parsed_once(spark):
+    plan = lambda name: registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("cell_divergence").count("from_json") <= 16 and plan("plan_baseline").count("from_json") <= 20
+
+
+def test_a_deleted_row_is_not_a_full_insert(spark):
+    rows = spark.createDataFrame([('{"pk":1,"v":2,"__sys_rw_ts":5000000,"__sys_rw_tmbstn":4000000}',), ('{"pk":2,"v":2,"__sys_rw_ts":5000000}',)], "json string")
+    got = M.plan(D.decode(rows, 100), {"pk": "partition_key", "v": "regular"}, {"v": "simple"}, 100)
+    assert sorted((r["op"], r["wt"]) for r in got.collect()) == [("baseline", 5000000), ("full_insert", 5000000), ("row_delete", 4000000)]
 
 
 @pytest.mark.parametrize("name", ["scan_typed_orders", "project_by_name_orders", "drop_and_reload_orders", "scan_catalog_tables_customer", "scan_catalog_columns_part"])
