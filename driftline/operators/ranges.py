@@ -97,14 +97,25 @@ def head_and_tail(log: DataFrame, order: list[str], head: int, tail: int) -> Dat
     return first.union(last)
 
 
-def failure_runs(log: DataFrame, key: list[str], order: str, failed: str, threshold: int) -> DataFrame:
+def failure_runs(log: DataFrame, key: list[str], order: str, failed: str, threshold: int, span: int = 50_000) -> DataFrame:
     """Per key the longest run of failures without a success, and whether it
-    reaches the threshold.  Runs are numbered by the successes before them."""
-    # failures only are numbered among themselves; how many entries of any kind
-    # stand before each comes from the same window over slim rows
-    w = Window.partitionBy(*key).orderBy(order)
-    marked = log.select(*key, order, F.col(failed).alias("_failed")).withColumn("_run", F.sum(F.when(F.col("_failed"), 0).otherwise(1)).over(w))
-    runs = marked.where("_failed").groupBy(*key, "_run").agg(F.count("*").alias("n"))
-    longest = runs.groupBy(*key).agg(F.max("n").alias("longest"))
-    out = log.select(*key).distinct().join(longest, key, "left")
-    return out.select(*key, F.coalesce("longest", F.lit(0)).alias("longest"), (F.coalesce("longest", F.lit(0)) >= threshold).alias("gives_up"))
+    reaches the threshold.
+
+    A key's entries are cut into spans of the (numeric) order, so that many
+    tasks sort a key.  A span is summed up by its longest run, the run that it
+    begins and the run that it ends with; spans are then joined in order.
+    """
+    part = Window.partitionBy(*key, "_span").orderBy(order)
+    slim = log.select(*key, order, F.col(failed).alias("_failed"), F.floor(F.col(order) / span).alias("_span"))
+    # each success opens a run; run 0 is what stands before the first
+    runs = slim.withColumn("_run", F.sum(F.when(F.col("_failed"), 0).otherwise(1)).over(part)).groupBy(*key, "_span", "_run").agg(F.count_if("_failed").alias("n"))
+    spans = runs.groupBy(*key, "_span").agg(F.max("n").alias("best"), F.coalesce(F.max(F.when(F.col("_run") == 0, F.col("n"))), F.lit(0)).alias("first"), F.max_by("n", "_run").alias("last"), F.max("_run").alias("successes"))
+    start = F.struct(F.lit(0).cast("bigint").alias("best"), F.lit(0).cast("bigint").alias("open"))
+
+    def join(acc, x):
+        run = acc["open"] + x["first"]
+        return F.struct(F.greatest(acc["best"], run, x["best"]).alias("best"), F.when(x["successes"] == 0, run).otherwise(x["last"]).alias("open"))
+
+    ordered = F.array_sort(F.collect_list(F.struct("_span", "best", "first", "last", "successes")))
+    longest = spans.groupBy(*key).agg(F.aggregate(ordered, start, join)["best"].alias("longest"))
+    return longest.select(*key, "longest", (F.col("longest") >= threshold).alias("gives_up"))

@@ -44,6 +44,8 @@ def envelopes(s, d):
     e = X.table(s, d, "events").select(F.col("user_id").alias("pk"), F.col("event_type").alias("ck"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("wt"))
     tags = e.groupBy("pk", "ck", F.expr("event_id % 5").alias("tag")).agg(F.max("wt").alias("twt"), F.max("event_id").alias("mx"), F.min("wt").alias("lo"))
     b = tags.groupBy("pk", "ck").agg(F.max("mx").alias("mx"), F.min("lo").alias("lo"), F.max("twt").alias("hi"), F.array_sort(F.collect_list(F.struct("tag", "twt"))).alias("tg"))
+    # what is decoded costs more than its bytes say: every core takes a part
+    b = b.repartition(s.sparkContext.defaultParallelism, "pk", "ck")
     return b.withColumn("base", F.expr("lo div 1000000")).withColumn("dur", F.expr("60 + mx % 100")).select("pk", "ck", F.expr("""concat(
       '{"pk":', pk, ',"ck":"', ck, '","val":', mx, ',"note":null,"tags":', to_json(tg.tag), ',"hist":[', mx, ',', mx + 1, ',', mx + 2, '],"props":{"k":', mx, ',"e":"x"}',
       ',"region":', if(mx % 6 = 0, '[]', '"r"'),

@@ -100,6 +100,23 @@ def test_ranges_ends_and_unknowns(spark):
     assert sorted((r["state"], r["k"]) for r in both.collect()) == [("equal", None), ("extra", 3), ("missing", 2)]
 
 
+def test_failure_runs_cross_spans(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(k, n, r.random() < 0.1 + 0.2 * k) for k in range(4) for n in range(300)] + [(9, n, True) for n in range(40)]
+    want = {}
+    for k in {x[0] for x in rows}:
+        run = best = 0
+        for _, _, bad in sorted(x for x in rows if x[0] == k):
+            run = run + 1 if bad else 0
+            best = max(best, run)
+        want[k] = best
+    df = spark.createDataFrame(rows, "k long, n long, bad boolean")
+    for span in (7, 1000):
+        assert {x["k"]: x["longest"] for x in ranges.failure_runs(df, ["k"], "n", "bad", 3, span).collect()} == want
+
+
 def test_scan_of_one_range_reads_its_folder(spark, tmp_path):
     spark.range(100).selectExpr("id % 4 as range_id", "id").write.partitionBy("range_id").parquet(str(tmp_path / "t"))
     df = ranges.scan_range(spark, str(tmp_path / "t"), 3)
