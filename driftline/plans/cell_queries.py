@@ -113,9 +113,6 @@ def _(s, d):
     return e.where("op <> 'clear'").join(c, "pk").where("wt <= cl").groupBy("pk").agg(F.count("*").alias("hidden"))
 
 
-PART = WON.replace("del DESC, seq", "del DESC, seq")
-
-
 @query("partial_upsert", WON + " SELECT pk, max(CASE WHEN ck = 'click' THEN val END) AS click, max(CASE WHEN ck = 'view' THEN val END) AS view FROM w WHERE k = 1 GROUP BY pk")
 def _(s, d):
     state = merge.newest(X.cells(s, d), ["pk", "ck"], tie=["seq"]).withColumnRenamed("ck", "column")
@@ -507,12 +504,12 @@ def _(s, d):
 
 @query("scan_typed", "SELECT * FROM nation")
 def _(s, d):
-    return X.table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return T.read_typed(s, f"{d}/nation.parquet", ["n_nationkey", "n_name", "n_regionkey"])
 
 
 @query("scan_typed_orders", "SELECT * FROM orders")
 def _(s, d):
-    return X.table(s, d, "orders")
+    return T.read_typed(s, f"{d}/orders.parquet")
 
 
 @query("row_count", "SELECT 'orders' AS tbl, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'lost', -1")

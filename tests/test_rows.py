@@ -52,8 +52,8 @@ def test_count_mismatch_writes_uniformly(spark):
 
 
 def test_udt_fields(spark):
-    got = ops(spark, '{"pk":"p","ck":4,"u":{"street":"x","zip":3},"__sys_rw_ts":null,"__sys_clts":{"u":{"street":100,"zip":300}},"__sys_clts_tmbstn":{"u":[99,{}]}}')
-    assert got == [("set_group", "u", '{"street":"x"}', 100, None), ("field", "u", "3", 300, None)]
+    got = ops(spark, '{"pk":"p","ck":4,"u":{"hue":"teal","depth":12},"__sys_rw_ts":null,"__sys_clts":{"u":{"hue":100,"depth":640}},"__sys_clts_tmbstn":{"u":[99,{}]}}')
+    assert got == [("set_group", "u", '{"hue":"teal"}', 100, None), ("field", "u", "12", 640, None)]
 
 
 def test_list_runs(spark):
