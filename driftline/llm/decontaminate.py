@@ -66,9 +66,9 @@ def hits(rows: DataFrame, windows: DataFrame, per_set: int = PER_SET) -> DataFra
         heads = found.select("head", "k").distinct()
         for first in sorted({min(k, HEAD) for k in sizes}):
             own = heads.where(F.least(F.col("k"), F.lit(HEAD)) == first)
-            at = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - first), lambda i: _head(F.col("words"), i, first))).alias("pos", "open")
+            each = rows.select("uid", "words", F.posexplode("words").alias("pos", "word")).where(F.col("pos") <= F.size("words") - first)
             # a set holds at most about per_set windows of n words
-            opened = rows.where(F.size("words") >= first).select("uid", "words", at).join(F.broadcast(own), F.col("open") == F.col("head"))
+            opened = each.join(F.broadcast(own), _head(F.col("words"), F.col("pos"), first) == F.col("head"))
             whole = F.slice("words", F.col("pos") + 1, F.col("k"))
             opened = opened.where(F.col("pos") + F.col("k") <= F.size("words")).select("uid", "words", "pos", "k", F.xxhash64(whole).alias("whole"))
             same = (F.col("whole") == F.col("h")) & (F.col("k") == F.col("wk")) & (F.array_join(whole, " ") == F.col("window"))
