@@ -10,17 +10,25 @@ languages only where a text has a few words.)
 The automaton becomes a table of (state, byte class) to state, in which a
 failed match leads to the state after restarting with that byte.  Parsing is
 then one table lookup per byte, done in numpy for many blocks of text at once.
-Texts are cut into blocks of ``BLOCK`` bytes, all of which are parsed; a block's
-end also ends a phrase.
+Texts are parsed whole: blocks of ``BLOCK`` bytes are first parsed as if a
+phrase began at each, then again from the state in which the block before ends,
+up to the byte where both ways meet, until no block's first state changes.
 
-Scale: the model is bounded: at most ``sample_rows`` labelled rows and
-``sample_bytes`` bytes per language, taken by hash of the id.  Scoring has no
-shuffle; each worker builds the tables once.
+Scale: the model is bounded: per language whole texts of at most
+``sample_rows`` labelled rows and ``sample_bytes`` bytes together, by hash of
+the id (rows of more than an eighth of those bytes come after all others, and
+the first row is always taken).  Scoring has no shuffle; each worker builds the
+tables once.
+
+A corpus filter (``accepted``) also rejects texts of no learned language: those
+for which the best language's parse takes more bits than letters drawn evenly,
+by more than ``slack`` phrases, which short texts of any language may take.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0, as is any text when nothing could be learned; ties go to the first language
 by code point; rows with a null id are not learned from and not held out;
-repeated rows get equal results; an empty table gives an empty result.
+repeated rows get equal results; other columns may have any names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -140,34 +148,59 @@ class Model:
         order = np.argsort(-long, kind="stable")
         owner, at, long = owner[order], at[order], long[order]
         active = np.searchsorted(-long, -np.arange(1, BLOCK + 1), side="right")  # blocks with more than t bytes
+        before = np.full(len(owner), -1)  # the block before each, in this order
+        where = np.empty(len(owner), np.int64)
+        where[order] = np.arange(len(owner))
+        later = np.flatnonzero(nth[order] > 0)
+        before[later] = where[order[later] - 1]
+        cells = codes.astype(np.int32)
         out = np.zeros((len(sizes), len(self.langs)), np.int64)
-        states = [np.zeros(len(owner), np.int32) for _ in self.langs]
-        counts = [np.ones(len(owner), np.int32) for _ in self.langs]  # the last phrase of a block
-        for t in range(BLOCK):
-            m = active[t]
-            if not m:
-                break
-            c = codes[at[:m] + t].astype(np.int32)
-            for table, state, count in zip(self.tables, states, counts):
-                to = table[state[:m] + c]
+        for j, table in enumerate(self.tables):
+            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
+            path = np.zeros((BLOCK, len(owner)), np.int32)
+            for t in range(BLOCK):
+                if not (m := active[t]):
+                    break
+                to = table[state[:m] + cells[at[:m] + t]]
+                path[t, :m] = to
                 count[:m] += to & 1
                 state[:m] = to >> 1
-        for j, count in enumerate(counts):
-            out[:, j] = np.bincount(owner, weights=count, minlength=len(sizes)).astype(np.int64)
+            first = np.zeros(len(owner), np.int32)
+            while True:  # until each block starts where the one before it ends
+                now = np.where(before >= 0, state[before], 0).astype(np.int32)
+                again = np.flatnonzero(now != first)
+                if not len(again):
+                    break
+                first, run, t = now, again, 0
+                here = now[again]
+                while len(run) and t < BLOCK:
+                    live = long[run] > t
+                    run, here = run[live], here[live]
+                    to, was = table[here + cells[at[run] + t]], path[t, run]
+                    path[t, run] = to
+                    count[run] += (to & 1) - (was & 1)
+                    here = to >> 1
+                    state[run[long[run] == t + 1]] = here[long[run] == t + 1]
+                    apart = here != was >> 1
+                    run, here, t = run[apart], here[apart], t + 1
+            # the last phrase of a text ends with it
+            out[:, j] = np.bincount(owner, weights=count, minlength=len(sizes)).astype(np.int64) + (sizes > 0)
         return out
 
-    def predict(self, data: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text; score is how far, from 0 to 1, the
-        best language's entropy lies below the second's."""
+    def predict(self, data: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and gain of each text; score is how far, from 0 to 1,
+        the best language's entropy lies below the second's, and gain how many
+        phrases' bits its parse saves against letters drawn evenly."""
         codes, at = normalise(data, starts)
         sizes = np.maximum(np.diff(at), 1)
         entropy = (self.phrases(codes, at) * np.array(self.log) + self.prior) / sizes[:, None]
         best = entropy.argmin(axis=1)
         low = entropy[np.arange(len(best)), best]
+        gain = (np.log2(self.width) - low) * sizes / np.array(self.log)[best]
         if len(self.langs) == 1:
-            return [self.langs[0]] * len(best), np.ones(len(best))
+            return [self.langs[0]] * len(best), np.ones(len(best)), gain
         second = np.partition(entropy, 1, axis=1)[:, 1]
-        return [self.langs[b] for b in best], 1 - low / second
+        return [self.langs[b] for b in best], 1 - low / second, gain
 
 
 def _has_letter(data: np.ndarray, starts: np.ndarray, text_of) -> np.ndarray:
@@ -219,43 +252,44 @@ def _predictor(shared, key: int, text: str, keep: list[str]):
         model = None
         for batch in batches:
             data, offsets = text_buffer(batch, text)
-            langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+            langs, scores, gains = ["und"] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             if shared.value:
                 model = model or _model(key, shared.value)
                 for a, b in slabs(offsets):
                     part, starts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                    got, score = model.predict(part, starts)
+                    got, score, gain = model.predict(part, starts)
                     letters = _has_letter(part, starts, lambda i: part[starts[i] : starts[i + 1]].tobytes().decode("utf-8", "replace"))
                     for i in np.flatnonzero(letters):
-                        langs[a + i], scores[a + i] = got[i], score[i]
+                        langs[a + i], scores[a + i], gains[a + i] = got[i], score[i], gain[i]
             out = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gains, pa.float64())], names=[*keep, "lang_pred", "score", "gain"])
 
     return run
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", order: str = "doc_id", sample_rows: int = 64, sample_bytes: int = 48_000) -> dict[str, tuple[bytes, float]]:
-    """Per language a bounded sample of text (whole texts of up to
-    ``sample_rows`` rows by hash of ``order``, cut at ``sample_bytes``) and
-    the bits that naming it costs, from the counts of all labelled rows."""
-    rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(order), F.lit(5)).alias("h"))
-    by = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    """Per language a bounded sample of whole texts and the bits that naming
+    it costs, from the counts of all labelled rows."""
+    rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.octet_length(text).alias("size"), F.xxhash64(F.col(order), F.lit(5)).alias("h"))
+    by = Window.partitionBy("lang").orderBy(F.col("size") > sample_bytes // 8, "h", F.xxhash64("text"))
     picked = rows.withColumn("k", F.row_number().over(by)).where(F.col("k") <= sample_rows)
+    upto = F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    picked = picked.withColumn("upto", upto).where((F.col("upto") <= sample_bytes) | (F.col("k") == 1))
     out: dict[str, list[bytes]] = {}
     for r in picked.orderBy("lang", "k").collect():
         out.setdefault(r["lang"], []).append(r["text"].encode())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     every = sum(counts.values())
-    return {k: (b"\n".join(v)[:sample_bytes], float(np.log2(every / counts[k]))) for k, v in out.items()}
+    return {k: (b"\n".join(v), float(np.log2(every / counts[k]))) for k, v in out.items()}
 
 
 def identify(docs: DataFrame, samples: dict[str, tuple[bytes, float]], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all but the text, if not given) with
-    lang_pred and score."""
+    lang_pred, score and gain."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     rows = docs.select(*dict.fromkeys([*keep, text]))
     shared = docs.sparkSession.sparkContext.broadcast(samples)
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double", "gain double"])
     return rows.mapInArrow(_predictor(shared, hash(tuple(sorted(samples.items()))), text, keep), schema)
 
 
@@ -268,12 +302,12 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", fold: int = 4, he
     return out.select(id_col, F.coalesce(part == held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text: str = "text", fold: int = 4, held: int = 2) -> DataFrame:
-    """``docs`` without those of no language (``und``) or of a score below
-    ``min_score``; the columns stay."""
+def accepted(docs: DataFrame, slack: float = 4.0, id_col: str = "doc_id", text: str = "text", fold: int = 4, held: int = 2) -> DataFrame:
+    """``docs`` without those of no language: ``und``, or a gain below
+    -``slack`` phrases.  The columns stay."""
     part = F.pmod(crc_of_id(F.col(id_col)), F.lit(fold))
     samples = learn(docs.where(part != held), order=id_col)
     named = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(c).alias(n) for c, n in named.items()])
     out = identify(rows, samples, text=named[text], keep=list(named.values()))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*[F.col(n).alias(c) for c, n in named.items()])
+    return out.where((F.col("lang_pred") != "und") & (F.col("gain") >= -slack)).select(*[F.col(n).alias(c) for c, n in named.items()])
