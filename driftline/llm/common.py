@@ -3,12 +3,15 @@ distributed connected components."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 #: Fixed by the query contracts: ASCII white space and the word pattern.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -17,12 +20,19 @@ GAP_PATTERN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, unless
+    PYTHONPATH says where; a cluster may have it installed elsewhere."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Only a ``local`` master may go without that setting; it then gets a
     temporary folder, which is shared because there is one process.
     """
+    ship(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":

@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import crc_of_id, ship
 
 BLOCK = 1024
 #: Bytes handled at once, which bounds a worker's memory.
@@ -288,6 +288,7 @@ def identify(docs: DataFrame, samples: dict[str, tuple[bytes, float]], text: str
     lang_pred, score and gain."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     rows = docs.select(*dict.fromkeys([*keep, text]))
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double", "gain double"])
     return rows.mapInArrow(_predictor(shared, hash(tuple(sorted(samples.items()))), text, keep), schema)

@@ -16,8 +16,9 @@ reached is sorted.  The table of sources is small: one row per source.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; rows with equal ids are told apart by a row number, so that
-reruns on the same table agree; a source without words has target 0; an empty
-table gives an empty result.
+reruns on the same table agree; the random number of a row without an id comes
+from its text; a source without words has target 0; other columns may have any
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """One row per document: id, uid (``row``, if that column tells rows apart), size, source, source_size, target and
     ``copies`` (0 to ``most``), the number of times the mix takes it."""
     uid = F.col(row) if row else F.monotonically_increasing_id()
-    slim = save(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), uid.alias("uid")), "mix-sizes")
+    slim = save(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("nameless"), uid.alias("uid")), "mix-sizes")
     targets = save(source_targets(slim, weights, share, most), "mix-sources")
     # the number of sources is not bounded, so Spark decides whether to broadcast them
     t = targets.select(F.col("source").alias("s"), "n", "words", "target")
@@ -81,7 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     rows = rows.withColumn("whole", F.least(F.floor(rate), F.lit(most)).cast("long")).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("words"), F.lit(0.0)))
     f = F.col("rest") / F.col("words")
     mean = F.col("words") / F.col("n")
-    u = unit_random(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    u = unit_random(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null"), F.col("nameless")))))
     weight = F.least(F.greatest(F.col("size") / mean, F.lit(0.5)), F.lit(2.0))
     key = (u / (1 - u)) / (weight * (f / (1 - f)))
     open_ = (F.col("rest") > 0) & (F.col("size") > 0)
@@ -117,10 +118,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     return out.select(F.col("id").alias(id_col), "uid", "source", "size", F.col("words").alias("source_size"), "target", copies.alias("copies"))
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **kw) -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
-    # the row number is written with the rows, so that it names the same row again
-    docs = save(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-docs")
-    copies = mix(docs, id_col, row="_mix_row", **kw).select(F.col("uid").alias("_taken_row"), "copies").where("copies > 0")
-    twice = docs.join(copies, F.col("_mix_row") == F.col("_taken_row")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return twice.drop("_mix_row", "_taken_row", "copies", "_copy")
+    # rows are held in one struct, so that no name of theirs can clash, and
+    # written with their numbers, so that these name the same rows again
+    held = save(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-docs")
+    slim = held.select(*[F.col("doc")[c].alias(n) for c, n in ((id_col, "id"), (text, "text"), (source, "source"))], "row")
+    copies = mix(slim, "id", "text", "source", row="row", **kw).select(F.col("uid").alias("taken"), "copies").where("copies > 0")
+    twice = held.join(copies, F.col("row") == F.col("taken")).select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return twice.select("doc.*")

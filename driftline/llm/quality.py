@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import crc_of_id, ship
 from .language_id import slabs, text_buffer
 
 GROUP, HALF, DIM, FILTERS = 4, 32, 6, 24  # bytes per step, steps per half chunk
@@ -176,6 +176,7 @@ def _scorer(parts, constant, text: str, keep: list[str]):
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text", fold: int = 5, held: int = 0, threshold: float = 0.3, sample_rows: int = 1500, sample_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: id, held_out, score, predicted.  Rows whose id's
     crc32 modulo ``fold`` is ``held`` are never learned from."""
+    ship(docs.sparkSession)
     part = lambda c: F.pmod(crc_of_id(F.col(c)), F.lit(fold))
     slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     rows = sample(slim, labels.where(part(id_col) != held).select(F.col(id_col).alias("id"), F.col(label).alias("y")), "y", sample_rows, sample_bytes)

@@ -4,19 +4,13 @@ can express; tests compare the others with brute force."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers find this package even if the driver runs elsewhere
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,7 +57,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH s AS (
   SELECT row_number() OVER () AS uid, doc_id, source,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CASE WHEN doc_id IS NULL THEN 'null' || md5(coalesce(text, '')) END AS nameless
   FROM documents
 ), t0 AS (
   SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS words FROM s GROUP BY source
@@ -83,7 +78,7 @@ WITH s AS (
 ), r0 AS (
   SELECT s.*, t3.n, t3.words, t3.target,
          CASE WHEN words > 0 THEN least(CAST(floor(target / words) AS BIGINT), 2) ELSE 0 END AS whole,
-         (CAST(CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
+         (CAST(CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), nameless)), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
   FROM s JOIN t3 ON s.source IS NOT DISTINCT FROM t3.source
 ), r1 AS (
   SELECT *, greatest(target - whole * words, 0.0) AS rest FROM r0

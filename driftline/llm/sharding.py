@@ -7,14 +7,15 @@ in opposite order, the largest sum of one to the smallest of the other.
 
 Scale: groups are summed before anything moves (a map-side combine, so a text
 with a third of all rows is one record).  Each Spark partition differences its
-own groups and leaves one partial partition; those few (one per ``per_task``
-groups) are differenced in the same way on the driver, which sees ``shards``
-sums of each and no documents.  A row's slot is its rank within (shard, cell),
+own groups and leaves one partial partition (one per ``per_task`` groups).
+Those are differenced in the same way, ``wide`` at a time, in tasks and at last
+on the driver, which sees ``shards`` sums of at most ``wide`` and no documents.  A row's slot is its rank within (shard, cell),
 a cell being a hash of its id, plus the rows of earlier cells.
 
 Defined results: a null text has 0 bytes and a null crc; all null texts form
 one group; an empty text is a group like any other; repeated rows stay
-together; an empty table gives an empty result.
+together; other columns are not read, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,7 +89,45 @@ def group_of(text: Column) -> Column:
     return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"").cast("binary"))
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text", per_task: int = 100_000) -> DataFrame:
+def _merged(shards: int):
+    """Partial partitions of one group as one: the slot of each one's sums."""
+
+    def run(pdf):
+        import pandas as pd
+
+        sums = pdf.pivot(index="part", columns="local", values="bytes").reindex(columns=range(shards), fill_value=0).fillna(0)
+        placed = difference([tuple(int(x) for x in row) for row in sums.to_numpy()])
+        rows = [(part, local, slot) for part, slots in zip(sums.index, placed) for local, slot in enumerate(slots)]
+        return pd.DataFrame(rows, columns=["part", "local", "slot"]).assign(above=pdf["above"].iloc[0])
+
+    return run
+
+
+def _placed_parts(sums: DataFrame, parts: int, shards: int, wide: int) -> DataFrame:
+    """(part, local, shard) from the sums of partial partitions, ``wide`` of
+    which are differenced at once: in tasks, level by level, until the rest is
+    few enough for the driver."""
+    levels = []
+    while parts > wide:
+        sums = save(sums, "shard-sums")
+        above = sums.withColumn("above", F.floor(F.col("part") / wide).cast("int"))
+        level = save(above.groupBy("above").applyInPandas(_merged(shards), "part int, local int, slot int, above int"), "shard-level")
+        sums = sums.join(level, ["part", "local"]).groupBy(F.col("above").alias("part"), F.col("slot").alias("local")).agg(F.sum("bytes").alias("bytes"))
+        levels.append(level)
+        parts = -(-parts // wide)
+    last: dict[int, list[int]] = {}
+    for r in sums.collect():  # shards sums of each of at most ``wide`` parts
+        last.setdefault(r["part"], [0] * shards)[r["local"]] = r["bytes"]
+    keys = sorted(last)
+    final = difference([tuple(last[k]) for k in keys])
+    where = sums.sparkSession.createDataFrame([(k, j, final[i][j]) for i, k in enumerate(keys) for j in range(shards)], "part int, local int, shard int")
+    for level in reversed(levels):
+        top = where.select(F.col("part").alias("above"), F.col("local").alias("slot"), "shard")
+        where = level.join(top, ["above", "slot"]).select("part", "local", "shard")
+    return where
+
+
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text", per_task: int = 100_000, wide: int = 1024) -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot,
     grown_shard.  The law is ``bytes``: sizes near equal, whole groups."""
     slim = docs.select(
@@ -103,14 +142,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str =
     parts = max(MIN_PARTS, -(-groups.count() // per_task))
     keyed = groups.withColumn("part", F.pmod(F.xxhash64("gid"), F.lit(parts)).cast("int")).repartition(parts, "part")
     placed = save(keyed.mapInPandas(_differenced(shards), "gid binary, part int, bytes long, local int"), "shard-placed")
-    # one partial partition per part: its sums are all that the driver gets
-    sums: dict[int, list[int]] = {}
-    for r in placed.groupBy("part", "local").agg(F.sum("bytes").alias("bytes")).collect():
-        sums.setdefault(r["part"], [0] * shards)[r["local"]] = r["bytes"]
-    keys = sorted(sums)
-    final = difference([tuple(sums[k]) for k in keys])
-    rows = [(k, j, final[i][j]) for i, k in enumerate(keys) for j in range(shards)]
-    where = docs.sparkSession.createDataFrame(rows, "part int, local int, shard int")
+    where = _placed_parts(placed.groupBy("part", "local").agg(F.sum("bytes").alias("bytes")), parts, shards, wide)
     # the map has shards rows per part, so Spark may broadcast it by its size
     located = save(placed.join(where, ["part", "local"]).select("gid", "shard"), "shard-map")
     out = slim.join(located, "gid").withColumn("cell", F.pmod(F.xxhash64("id", "size"), F.lit(CELLS)).cast("int"))

@@ -18,7 +18,8 @@ read); only path-relative ones have their dot segments carried out.
 Defined results: a null url, or one without ``://``, has an empty host and
 path, no rule and no aliases; null html has no links; a link to a url that no
 page has still joins the pages that name it; repeated rows are judged one by
-one; an empty table gives an empty result.
+one; all canonical and refresh tags of a page are read; other columns are not
+read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,10 +80,12 @@ def resolve(url: Column, link: Column) -> Column:
 
 def linked_urls(url: Column, html: Column) -> Column:
     """Absolute urls that a page redirects to or names as canonical."""
-    tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+    tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*(?:\"(?:[^\">]*\s)?canonical[\s\"]|'(?:[^'>]*\s)?canonical[\s']|canonical[\s/>]))[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
     refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'\s>]+)"
-    found = [F.when(F.contains(F.lower(html), F.lit(word)), F.regexp_extract(html, pattern, 1)) for word, pattern in (("canonical", tag), ("refresh", refresh))]
-    return F.array_compact(F.transform(F.array(*found), lambda f: resolve(url, f)))
+    none = F.array().cast("array<string>")
+    found = [F.coalesce(F.when(F.contains(F.lower(html), F.lit(word)), F.regexp_extract_all(html, F.lit(pattern), F.lit(1))), none) for word, pattern in (("canonical", tag), ("refresh", refresh))]
+    plain = lambda f: F.replace(f, F.lit("&amp;"), F.lit("&"))
+    return F.array_compact(F.transform(F.array_distinct(F.concat(*found)), lambda f: resolve(url, plain(f))))
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

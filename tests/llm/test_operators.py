@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.llm import decontaminate as DC
 from driftline.llm import language_id as LI
@@ -205,20 +206,19 @@ def test_components(spark):
 # 5. language
 def brute_phrases(sample: bytes, text: bytes) -> int:
     code = lambda t: LI.normalise(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tobytes()
-    s, t, n, total = code(sample), code(text), 0, 0
-    for a in range(0, len(t), LI.BLOCK):
-        block, i = t[a : a + LI.BLOCK], 0
-        while i < len(block):
-            n = 1
-            while i + n < len(block) and block[i : i + n + 1] in s:
-                n += 1
-            total, i = total + 1, i + n
+    s, t, i, total = code(sample), code(text), 0, 0
+    while i < len(t):
+        n = 1
+        while i + n < len(t) and t[i : i + n + 1] in s:
+            n += 1
+        total, i = total + 1, i + n
     return total
 
 
 def test_cross_parsing_equals_longest_matches():
     samples = {"x": (prose(5, 200).encode(), 0.0), "y": ("été l'âme ".encode() * 20, 1.0)}
-    texts = [prose(6, 150), "a", "", "!!! ???", "été été", prose(5, 60)]
+    # also texts of many blocks, with matches longer than a block
+    texts = [prose(6, 150), "a", "", "!!! ???", "été été", prose(5, 60), prose(6, 900) + " été " * 300, prose(5, 200) * 3, "x" * 5000, "été l'âme " * 500]
     raw = [t.encode() for t in texts]
     codes, at = LI.normalise(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     got = LI.Model(samples).phrases(codes, at)
@@ -235,6 +235,25 @@ def test_language_edges(odd, none, spark):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {3, 4, None, 5, 6, 7}
 
 
+def test_language_sample_is_whole_rows(spark):
+    rows = [(i, "en", prose(i, 40)) for i in range(200)] + [(900 + i, "en", prose(i, 3000)) for i in range(3)] + [(1000, "fr", prose(7, 3000))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = LI.learn(docs, sample_rows=30, sample_bytes=4000)
+    texts = {lang: {t for _, x, t in rows if x == lang} for lang in ("en", "fr")}
+    assert got["fr"][0].decode() in texts["fr"]  # its only row, whole
+    parts = got["en"][0].decode().split("\n")
+    assert 3 < len(parts) <= 30 and set(parts) <= texts["en"] and sum(map(len, parts)) <= 4000
+
+
+def test_texts_of_no_language_go(spark):
+    r = np.random.default_rng(11)
+    docs = [(i, prose(i, 60), "en") for i in range(40)]
+    junk = ["".join(chr(97 + c) for c in r.integers(0, 26, 4000)), "чужой язык " * 50]
+    docs += [(100 + i, t, None) for i, t in enumerate(junk)] + [(200, "zq", None), (201, prose(300, 2000), None)]
+    kept = {r["doc_id"] for r in LI.accepted(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert kept == set(range(40)) | {200, 201}
+
+
 def test_language_held_out(spark):
     from driftline.llm.queries import op5_language_id, table
 
@@ -250,8 +269,8 @@ def test_blocks_round_trip():
     for ids in (r.integers(0, 50_000, 1024), np.full(7, 9), np.array([2]), np.append(r.integers(100, 120, 500), [2**32 - 1, 0]), np.arange(1024)):
         ids = ids.astype(np.uint32)
         assert (TO.unpack_block(memoryview(TO.pack_block(ids)), 0) == ids).all()
-    docs, counts, ids = TO.read_segment(TO.write_segment([5, None, 7], np.array([3000, 1, 0]), np.arange(3001).astype(np.uint32)))
-    assert docs == [5, None, 7] and list(counts) == [3000, 1, 0] and (ids == np.arange(3001)).all()
+    part, nth, docs, counts, ids = TO.read_segment(TO.write_segment([5, None, 7], np.array([3000, 1, 0]), np.arange(3001).astype(np.uint32), 4, 2))
+    assert (part, nth) == (4, 2) and docs == [5, None, 7] and list(counts) == [3000, 1, 0] and (ids == np.arange(3001)).all()
 
 
 def test_tokens(spark, odd, none):
@@ -261,7 +280,7 @@ def test_tokens(spark, odd, none):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     strange = ["a  b", "x <|endoftext|> y", "it's can't've", "  b 　c", "a\n b\t c", "don 't", "U.S. 1st 2  3"]
     rows = ODD + [(100 - i, t, None, None, 0, "") for i, t in enumerate(strange)]
-    got = sorted(TO.read_tokens(TO.write_tokens(spark.createDataFrame(rows, SCHEMA), P.path("byte_bpe_50k.json"), partitions=3)).collect(), key=lambda r: r["start"])
+    got = sorted(TO.read_tokens(*TO.write_tokens(spark.createDataFrame(rows, SCHEMA), P.path("byte_bpe_50k.json"), partitions=3)).collect(), key=lambda r: r["start"])
     at, left = 0, Counter((r[0], r[1] or "") for r in rows)
     ids_of = {t: tok.encode(t, add_special_tokens=False).ids + [2] for _, t in left}
     assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
@@ -270,7 +289,41 @@ def test_tokens(spark, odd, none):
         crcs = {(len(ids_of[t]), zlib.crc32(struct.pack(f"<{len(ids_of[t])}I", *ids_of[t]))) for d, t in left if d == r["doc_id"]}
         assert (r["n_tokens"], r["ids_crc32"]) in crcs
         at += r["n_tokens"]
-    assert TO.read_tokens(TO.write_tokens(none, P.path("byte_bpe_50k.json"))).count() == 0
+    assert TO.read_tokens(*TO.write_tokens(none, P.path("byte_bpe_50k.json"))).count() == 0
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def encoded(enc, texts):
+    raw = [t.encode() for t in texts]
+    ids, upto = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [ids[a:b].tolist() for a, b in zip(upto[:-1], upto[1:])]
+
+
+def test_encoder_equals_direct_encoding(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    enc = TO.Encoder(P.path("byte_bpe_50k.json"))
+    direct = lambda texts: [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    parts = ["a", "Zed", "don't", "'s", "''re", "12", "3a", "b4", ".", "?!", " ", "  ", "\n", "\n\n", "\t", "\x00", "\u00a0", "\u3000", "é", "日本", "½", "-", "<|endoftext|>", "'", "x'", "9'll"]
+    r = np.random.default_rng(8)
+    texts = ["".join(parts[i] for i in r.integers(0, len(parts), n)) for n in r.integers(0, 30, 3000)]
+    texts += ["a -", " -", " ,\x00", thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a"), " " + thue_morse(2048, "a", "b"), ""]
+    assert encoded(enc, texts) == direct(texts)
+    assert encoded(enc, texts[::-1]) == direct(texts[::-1])
+    # even if hashes say little, bytes decide
+    monkeypatch.setattr(TO, "range_hashes", lambda data, a, b: (b - a).astype(np.uint64) % np.uint64(5))
+    assert encoded(enc, texts[:400]) == direct(texts[:400])
+
+
+def test_other_tokenizers_encode_whole_texts():
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("word_bpe_49k.json")
+    assert TO.cut_by_pattern(P.path("byte_bpe_50k.json")) and not TO.cut_by_pattern(path)
+    enc = TO.Encoder(path)
+    texts = ["Some words, here", "", "two\nlines", "Some words, here", "a" * 300]
+    assert encoded(enc, texts) == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
 
 
 # 7. top k
@@ -279,7 +332,7 @@ def test_top_k(spark):
     vs = [list(map(float, v)) for v in r.normal(0, 1, (300, 12)) * r.pareto(2, (300, 1))]
     rows = [(i, v, 0) for i, v in enumerate(vs)] + [(300, vs[0], 0), (301, None, 0), (302, [None] + vs[1][1:], 0), (303, [float("nan")] * 12, 0), (304, [0.0] * 12, 0), (310, vs[3], 1), (310, vs[3], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = sorted((x["query_id"], x["rank"], x["score"]) for x in TK.top_k(df, lambda i: i % 10 == 0, 5, per_bucket=32, per_block=8, per_cell=2).collect())
+    got = sorted((x["query_id"], x["rank"], x["score"]) for x in TK.top_k(df, lambda i: i % 10 == 0, 5, per_cell=2, per_group=2, image=12 * 8).collect())
     fine = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v, _ in rows if v is not None and None not in v and np.isfinite(v).all()]
     want = []
     for n, (i, q) in enumerate(fine):
@@ -288,6 +341,36 @@ def test_top_k(spark):
             want += [(i, k + 1, -s) for k, (s, _) in enumerate(best)]
     assert got == sorted(want)
     assert TK.top_k(df.limit(0), lambda i: i % 10 == 0).count() == 0
+    odd = df.selectExpr("*", "vec_id as id", "vec_id as row", "vec_id as v", "vec_id as score", "vec_id as group", "vec_id as cell")
+    assert TK.top_k(odd, lambda i: i % 10 == 0, 5).count() == len(got)
+
+
+@pytest.mark.parametrize("size", (1e6, 1e9))
+def test_top_k_of_large_components(spark, size):
+    r = np.random.default_rng(6)
+    whole = [[int(x) for x in v] for v in r.integers(-size, size, (120, 8))] + [[int(size) + 1] * 8, [int(size)] * 8, [int(size) - 1] * 8]
+    whole += [whole[0], whole[120]]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in enumerate(whole)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, TK.top_k(df, lambda i: i % 10 == 0, 5, image=8 * 16).select("query_id", "rank", "vec_id", "score").collect()))
+    limit = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = []
+    for i, q in enumerate(whole):
+        if i % 10 == 0:
+            best = sorted((-limit(sum(a * b for a, b in zip(q, v))), j) for j, v in enumerate(whole) if j != i)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_pruning_keeps_all_candidates():
+    r = np.random.default_rng(7)
+    v = np.floor(r.normal(0, 50, (400, 6)) * np.array([8, 1, 1, 1, 1, 1]))
+    bucket = TK.Bucket(np.arange(400), np.arange(400), v.astype(np.int64))
+    q = np.floor(r.normal(0, 50, (40, 6)) * np.array([8, 1, 1, 1, 1, 1]))
+    norms, scores = np.sqrt((q * q).sum(axis=1)), q @ bucket.v.T
+    for share in (0.2, 0.9, 0.999):
+        bounds = np.quantile(scores, share, axis=1)
+        may = TK.candidates(bucket, q, norms, bounds)
+        assert may[scores >= bounds[:, None]].all() and (share < 0.9 or may.mean() < 0.8)
 
 
 # 8. quality
@@ -317,6 +400,45 @@ def test_quality_edges(spark, odd, none):
     assert QU.score_quality(none, labels).count() == 0
 
 
+def test_network_equals_plain_loops():
+    net = QU.Network(3).round()
+    texts = [prose(9, n).encode() for n in (1, 12, 90)] + [b"", b"x" * 128, b"y" * 129, "é日本".encode() * 40]
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    step = QU.GROUP * QU.HALF
+    for text, score in zip(texts, got):
+        halves = max(1, -(-len(text) // step))
+        padded = text + b"\0" * ((halves * step + QU.GROUP) - len(text))
+        response = np.zeros((halves * QU.HALF, QU.FILTERS))
+        for s in range(halves * QU.HALF):
+            for w, part in ((net.first, padded[s * QU.GROUP : (s + 1) * QU.GROUP]), (net.second, padded[(s + 1) * QU.GROUP : (s + 2) * QU.GROUP])):
+                e = np.concatenate([net.embed[b] for b in part]).astype(float)
+                response[s] += [sum(e[k] * float(w[k, f]) for k in range(len(e))) for f in range(QU.FILTERS)]
+        chunks = [response[c * QU.HALF : (c + 2) * QU.HALF] for c in range(max(1, halves - 1))]
+        pooled = np.mean([np.maximum(c.max(axis=0) + net.bias, 0) for c in chunks], axis=0)
+        assert abs(score - 1 / (1 + np.exp(-(pooled @ net.weight + net.offset[0])))) < 1e-9
+
+
+def test_scores_do_not_depend_on_the_batch():
+    net, r = QU.Network(4).round(), np.random.default_rng(9)
+    text = prose(10, 300).encode()
+    seen = set()
+    for n in range(40):
+        others = [prose(int(x), 5 + n).encode() for x in r.integers(0, 1000, n)]
+        texts = others[: n // 2] + [text] + others[n // 2 :]
+        seen.add(net.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))[n // 2])
+    assert len(seen) == 1
+
+
+def test_quality_sample_ignores_labels_without_documents(spark):
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(10)] + [(3, "x " * 5000), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000, 8000)] + [(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    slim, y = docs.withColumnRenamed("doc_id", "id"), labels.selectExpr("doc_id as id", "quality as y")
+    assert len(QU.sample(slim, y, "y", 50, 1 << 20)) == 11
+    assert [len(t) for t, c in QU.sample(slim, y, "y", 50, 400) if c == 1] != []
+    assert sum(len(t) for t, c in QU.sample(slim, y, "y", 50, 900) if c == 0) <= 900
+    assert len(QU.sample(slim, y, "y", 2, 1 << 20)) == 4
+
+
 # 9. decontamination
 def test_decontamination(spark, odd, none):
     long = prose(20, 25)
@@ -324,11 +446,11 @@ def test_decontamination(spark, odd, none):
     w = long.split()
     docs = [(1, "x " + ", ".join(w[3:15]).upper() + " y", None, None, 0, ""), (2, "see ALPHA beta here alpha. Beta", None, None, 0, ""), (3, " ".join(w[:9]), None, None, 0, ""), (4, prose(21, 12), None, None, 0, ""), (5, None, None, None, 0, "")]
     df = spark.createDataFrame(docs, SCHEMA)
-    for bound in (DC.MAX_INLINE, 0):  # the inlined set, and the join beyond it
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in DC.annotate(df, bench, max_inline=bound).collect()}
+    for bound in (DC.PER_SET, 2):  # one set, and several
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in DC.annotate(df, bench, per_set=bound).collect()}
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert got == {1: (14, 12, 2, sha("1,5"), True), 2: (6, 4, 1, sha("2"), True), 3: (9, 0, 0, sha(""), False), 4: (12, 12, 0, sha(""), True), 5: (0, 0, 0, sha(""), False)}
-        assert {r["doc_id"] for r in DC.decontaminate(df, bench, max_inline=bound).collect()} == {3, 5}
+        assert {r["doc_id"] for r in DC.decontaminate(df, bench, per_set=bound).collect()} == {3, 5}
     cut = {r["doc_id"]: r["text"] for r in DC.decontaminate(df, bench, mode="spans").collect()}
     assert cut[1].split() == ["x", "y"] and cut[2].split() == ["see", "here"] and cut[3] == docs[2][1] and cut[5] is None
     assert DC.annotate(odd, bench).count() == len(ODD) and DC.annotate(none, bench).count() == 0
@@ -397,3 +519,80 @@ def test_join_tells_rows_of_one_id_apart(spark):
 
 def test_runs_follow_the_target_recall():
     assert NJ.runs_needed(0.8, 0.9) < NJ.runs_needed(0.8, 0.9999) <= 5
+
+
+# Columns of any name
+CLASHING = "copies taken row uid doc id th hash own again gone kept n_lines n_dropped tid body hits pos k h words window head size gid part local shard cell rank base node links host rule action name x y picked _id _th score langs lang_pred gain c0 c1 key used linked rid sig n comp blocks rep rep_th".split()
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, prose(i % 4, 30), "en", "ab"[i % 2], "http://a.com/x", f"<p>{i}</p>") for i in range(12)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string, html string")
+    docs = plain.selectExpr("*", *[f"doc_id * 0 + {n} as `{c}`" for n, c in enumerate(CLASHING)])
+    labels = spark.createDataFrame([(i, i % 2, 7) for i in range(12)], "doc_id long, quality int, y int")
+    bench = spark.createDataFrame([(1, prose(2, 30), 1)], "item_id long, text string, words int")
+    rules = spark.createDataFrame([("block", "a.com", "/x")], "action string, host string, path string")
+    runs = {
+        "mix": lambda d: MX.mix(d).select("doc_id", "copies"),
+        "shard": lambda d: SH.shard(d).select("doc_id", "shard"),
+        "lines": lambda d: LD.dedup_lines(d, 3).select("doc_id", "n_dropped", "kept"),
+        "url": lambda d: UF.judge(d, rules, id_col="doc_id"),
+        "language": lambda d: LI.predict_languages(d),
+        "quality": lambda d: QU.score_quality(d, labels),
+        "bench": lambda d: DC.annotate(d, bench),
+        "join": lambda d: NJ.similar_classes(d),
+    }
+    for name, run in runs.items():
+        assert Counter(map(tuple, run(docs).collect())) == Counter(map(tuple, run(plain).collect())), name
+    for whole in (MX.apply_mix, NJ.one_per_class, LI.accepted, lambda d: DC.decontaminate(d, bench), lambda d: DC.decontaminate(d, bench, mode="spans")):
+        got, want = whole(docs), whole(plain)
+        assert got.columns == docs.columns and Counter(map(tuple, got.select(plain.columns).collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_shards_are_merged_in_levels(spark):
+    rows = [(i, "x" * (i * 37 % 400)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for wide in (1024, 4):
+        got = SH.shard(df, per_task=10, wide=wide).collect()
+        load, of = Counter(), {}
+        for r in got:
+            load[r["shard"]] += r["size"]
+            assert of.setdefault(r["text_crc32"], r["shard"]) == r["shard"]
+        assert len(got) == 600 and max(load.values()) - min(load.values()) <= 400
+
+
+def test_every_link_of_a_page_counts(spark):
+    rules = spark.createDataFrame([("block", "a.com", "/bad"), ("block", "b.com", "/q?x=1&y=2"), ("block", "b.com", "/q")], "action string, host string, path string")
+    pages = [
+        (1, "http://c.com/1", '<link rel="x canonical" href="http://c.com/ok"><link rel=canonical href="http://a.com/bad">'),
+        (2, "http://c.com/2", '<link rel="canonical" href="http://b.com/q?x=1&amp;y=2">'),
+        (3, "http://c.com/3", '<link rel="noncanonical" href="http://a.com/bad">'),
+        (4, "http://c.com/4", "<meta http-equiv=refresh content='0; url=http://c.com/ok'>"),
+    ]
+    pages += [(10, "http://a.com/bad", None), (11, "http://b.com/q?x=1&y=2", None)]
+    got = {r["page_id"]: r["verdict"] for r in UF.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 10: "block", 11: "block"}
+
+
+RELATIVE = [
+    ("https://a.com/x/p1.html", "<link rel=canonical href='page2.html'>", "a.com/x/page2.html"),
+    ("https://a.com/x/p2?id=1", "<link rel=canonical href='?id=3'>", "a.com/x/p2?id=3"),
+    ("https://a.com/x/y/p3", "<link rel=canonical href='../z/./q?u=http://b/c'>", "a.com/x/z/q?u=http://b/c"),
+    ("https://a.com", "<link rel=canonical href='p4'>", "a.com/p4"),
+    ("https://a.com/x/p5", "<link rel=canonical href='../../..'>", "a.com/"),
+    ("https://a.com/x/p6", "<link rel=canonical href='#top'>", "a.com/x/p6"),
+    ("https://a.com/x/p7", "<link rel=canonical href='mailto:me'>", None),
+    ("https://a.com/x/p8", """<meta http-equiv=refresh content="0; url='https://B.com/b'">""", "b.com/b"),
+    ("https://a.com/x/p9", """<meta http-equiv="refresh" content='3;URL="next"'>""", "a.com/x/next"),
+    ("https://a.com/x/p10", "<meta http-equiv=refresh content=5>", None),
+    ("https://a.com/x/p11", "<link rel=canonical href='/r'>", "a.com/r"),
+]
+
+
+def test_relative_links_and_quoted_refreshes(spark):
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(RELATIVE)], "page_id long, url string, html string")
+    links = pages.select("page_id", F.transform(UF.linked_urls(F.col("url"), F.col("html")), UF.alias_key).alias("links"))
+    assert {r["page_id"]: r["links"] for r in links.collect()} == {i: [w] if w else [] for i, (_, _, w) in enumerate(RELATIVE)}
+    rules = spark.createDataFrame([("block", "a.com", "/x/page2"), ("block", "b.com", "/b")], "action string, host string, path string")
+    more = pages.union(spark.createDataFrame([(90, "https://a.com/x/page2.html", ""), (91, "http://b.com/b", None)], pages.schema))
+    assert {r["page_id"] for r in UF.judge(more, rules).where("verdict = 'block'").collect()} == {0, 7, 90, 91}

@@ -28,7 +28,8 @@ def test_pipeline_stages(spark):
     before = {r["doc_id"]: r for r in docs.collect()}
     stages = dict(corpus_pipeline.STAGES)
     known = stages["language ID"](spark, docs, SF)
-    assert known.columns == docs.columns and {r["doc_id"] for r in known.collect()} == {i for i, r in before.items() if any(c.isalpha() for c in r["text"] or "")}
+    kept, letters = {r["doc_id"] for r in known.collect()}, {i for i, r in before.items() if any(c.isalpha() for c in r["text"] or "")}
+    assert known.columns == docs.columns and kept <= letters and {i for i in letters if before[i]["lang"]} <= kept
     from driftline.llm.common import save
     from driftline.llm.ngram_join import similar_classes
 
