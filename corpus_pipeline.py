@@ -26,8 +26,9 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in some language; null texts and texts without
-    letters go."""
+    """Documents whose text is in a learned language; null texts, texts without
+    letters, and texts that every language's model codes worse than letters
+    drawn evenly go."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return accepted(docs)
 
@@ -64,8 +65,8 @@ STAGES = [
     ("sharding", assign_shards),
 ]
 
-#: Language ID learns a model, which SQL cannot express; tests compare run()
-#: with brute-force versions of the stages.
+#: Language ID learns a model, which SQL cannot express; a test compares run()
+#: with plain Python versions of the stages.
 ORACLE_SQL = None
 
 
