@@ -49,9 +49,9 @@ from .shingles import range_hashes
 MAGIC, BLOCK, SEGMENT, PERCENTILE = b"PFR2", 1024, 1 << 20, 0.97
 HEADER = "<4sIIIQI"  # magic, part, number in the part, documents, ids, blocks
 #: Distinct pieces a worker remembers; then it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: Bytes of text encoded at once.
-SLAB = 2 << 20
+SLAB = 1 << 20
 
 
 def pack_block(ids: np.ndarray) -> bytes:
