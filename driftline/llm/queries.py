@@ -225,6 +225,110 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"), k=5, similarity=0.8)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words
+  FROM documents
+), i AS (
+  SELECT no, item_id, unnest(list_distinct(words)) AS term
+  FROM (SELECT row_number() OVER () AS no, item_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM benchmark)
+), s AS (
+  SELECT CAST(count(*) FILTER (len(words) > 0) AS BIGINT) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM d
+), tf AS (
+  SELECT uid, doc_id, n, term, count(*) AS tf
+  FROM (SELECT uid, doc_id, CAST(len(words) AS BIGINT) AS n, unnest(words) AS term FROM d) SEMI JOIN i USING (term) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, s GROUP BY term, n_docs
+), sc AS (
+  SELECT no, item_id, uid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM i JOIN tf USING (term) JOIN w USING (term), s GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS LAST, uid) AS rank FROM sc WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import audit
+
+    return audit(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"])
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, text, coalesce('s' || source, 'n') AS tree,
+         list_aggregate([coalesce(strlen(v) || ':' || v, '-') FOR v IN [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)]], 'string_agg', '') AS head,
+         -- crc32, bit by bit
+         list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda p: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(p AS INTEGER), 1)) AS BIGINT)),
+           lambda c, b: list_reduce(range(8), lambda y, k: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295) AS crc
+  FROM documents
+), l AS (
+  SELECT row_number() OVER () AS uid, doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS changed
+  FROM d
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, uid) - 1 AS pos FROM l
+), up AS (
+  SELECT tree, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM r GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, [sha256(array_to_string(nodes[3 * p + 1:3 * p + 3], '')) FOR p IN range((len(nodes) + 2) // 3)] FROM up WHERE len(nodes) > 1
+), top AS (
+  SELECT tree, level AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM up WHERE len(nodes) = 1
+), over AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM top
+  UNION ALL
+  SELECT level + 1, [sha256(array_to_string(nodes[3 * p + 1:3 * p + 3], '')) FOR p IN range((len(nodes) + 2) // 3)] FROM over WHERE len(nodes) > 1
+), steps AS (
+  SELECT tree, level AS step, nodes, CAST(NULL AS BIGINT) AS start FROM up WHERE len(nodes) > 1
+  UNION ALL
+  SELECT tree, height + level, nodes, CASE WHEN level = 0 THEN place END FROM top, over WHERE len(nodes) > 1
+), walk AS (
+  SELECT uid, tree, 0 AS step, pos * 3 AS spot, coalesce(changed, leaf) AS cur, '' AS proof FROM r
+  UNION ALL
+  SELECT uid, tree, step + 1, spot, sha256(l || cur || g), proof || l || g
+  FROM (SELECT uid, w.tree, w.step, cur, proof, coalesce(start, spot // 3) AS spot,
+               array_to_string(nodes[coalesce(start, spot // 3) // 3 * 3 + 1:coalesce(start, spot // 3)], '') AS l,
+               array_to_string(nodes[coalesce(start, spot // 3) + 2:coalesce(start, spot // 3) // 3 * 3 + 3], '') AS g
+        FROM walk w JOIN steps s ON w.tree = s.tree AND w.step = s.step)
+), fin AS (
+  SELECT uid, arg_max(cur, step) AS folded, arg_max(proof, step) AS proof FROM walk GROUP BY uid
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM r JOIN fin USING (uid) JOIN top USING (tree), (SELECT nodes[1] AS root FROM over WHERE len(nodes) = 1)
+"""
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import linked
+
+    return linked(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT r, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0
+), p AS (
+  SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
+), reach(a, c) AS (
+  SELECT r, vec_id FROM v UNION SELECT p.a, reach.c FROM p JOIN reach ON p.b = reach.a
+), comp AS (SELECT a AS r, min(c) AS component_id FROM reach GROUP BY a),
+links AS (SELECT a AS r, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN comp USING (r) LEFT JOIN links USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_by_bytes": op2_shard_by_bytes,
@@ -236,6 +340,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_vector_dedup": op13_vector_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
@@ -243,4 +350,7 @@ ORACLES: dict[str, str] = {
     "op4_url_filter": OP4_SQL,
     "op7_exact_top_k": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op11_ranked_search": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_vector_dedup": OP13_SQL,
 }
