@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import shingles as S
-from .common import drop, packed, save
+from .common import drop, packed, save, ship
 from .language_id import slabs, text_buffer
 
 T, CHILDREN, LEAF, BLOCK, LEVELS = 64, 2, 1024, 1024, 12
@@ -423,6 +423,7 @@ def _named(more: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, k: int, similarity: float, recall: float, id_col: str, text: str) -> DataFrame:
     """id, th (hash of the text), class_id, n_links, and whether the row is the
     first of its class, for each document."""
+    ship(docs.sparkSession)  # before the first Python function of the plan is made
     slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     kind = docs.schema[id_col].dataType
     marks = save(slim.mapInArrow(_sketch("id", "text", k), f"id {kind.simpleString()}, th long, c1 long, c2 long, n int, sig binary"), "join-marks")
