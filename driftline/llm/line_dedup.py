@@ -128,6 +128,19 @@ def _probe(threshold: int):
     return run
 
 
+def _lost():
+    """Which of a document's line hashes are among those gone: one sorted
+    lookup per document, whatever the number of either."""
+    from pyspark.sql.functions import pandas_udf
+
+    def run(each, gone):
+        import pandas as pd
+
+        return pd.Series([None if a is None or b is None else np.isin(a, b).tolist() for a, b in zip(each, gone)], dtype=object)
+
+    return pandas_udf(run, "array<boolean>")
+
+
 def line_keys(text: Column) -> Column:
     """The keys of a text's lines, in order."""
     return F.transform(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n", -1), lambda line: F.btrim(line, F.lit(ASCII_SPACE)))
@@ -169,8 +182,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", min_cha
     rows, body = docs.select(F.struct("*").alias("doc"), tid.alias("tid")), F.col("doc")[text]
     both = rows.join(gone.hint("merge"), F.col("tid") == F.col("_tid"), "left")
     lines = F.split(F.coalesce(body, F.lit("")), "\n", -1)
-    kept = F.filter(F.arrays_zip(lines.alias("line"), line_keys(body).alias("key")), lambda z: ~((F.char_length(z["key"]) >= min_chars) & F.array_contains("gone", F.xxhash64(z["key"]))))
-    both = both.withColumn("n_lines", F.size(lines).cast("long")).withColumn("_kept", F.when(F.col("gone").isNull(), F.arrays_zip(lines.alias("line"), lines.alias("key"))).otherwise(kept))
-    out = both.withColumn("n_dropped", (F.col("n_lines") - F.size("_kept")).cast("long")).withColumn("kept", F.array_join(F.col("_kept.line"), "\n"))
+    # only of documents that lose lines; keys below min_chars are in no ``gone``
+    each = F.when(F.col("gone").isNotNull(), F.transform(line_keys(body), lambda k: F.xxhash64(k)))
+    both = both.withColumn("_lost", _lost()(each, F.col("gone"))).withColumn("n_lines", F.size(lines).cast("long"))
+    kept = F.filter(lines, lambda _, i: ~F.get("_lost", i))
+    both = both.withColumn("_kept", F.when(F.col("_lost").isNull(), lines).otherwise(kept))
+    out = both.withColumn("n_dropped", (F.col("n_lines") - F.size("_kept")).cast("long")).withColumn("kept", F.array_join("_kept", "\n"))
     new = ["n_lines", "n_dropped", "kept"]
     return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in new], *new)
