@@ -120,49 +120,39 @@ def _assign(shared, dims: int, most: float):
     return run
 
 
-def compare(u: np.ndarray, rid: np.ndarray, copies: np.ndarray, block: np.ndarray, home: np.ndarray, seen: list, cell: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(u: np.ndarray, rid: np.ndarray, copies: np.ndarray, side: np.ndarray, cosine: float, counts=None) -> tuple[np.ndarray, np.ndarray]:
     """Each vector's linked copies and the smallest ``rid`` that its links lead
-    to, among vectors in order of ``rid``.  Of two blocks, only pairs of both."""
-    blocks = np.unique(block)
-    mine = np.flatnonzero(block == blocks[0])
-    theirs = np.flatnonzero(block == blocks[-1])
-    lives = home == cell
-    cells = np.unique(home[~lives])
-    code = np.searchsorted(cells, home)
-    code[lives] = 0
-    # whether a vector of this cell visits the home of each visitor
-    visited = np.zeros((len(rid), max(1, len(cells))), bool)
-    for i in np.flatnonzero(lives):
-        got = np.intersect1d(np.asarray(seen[i], np.int64), cells)
-        visited[i, np.searchsorted(cells, got)] = True
-
-    def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Pairs that count here: of two residents, or of a resident and a
-        visitor unless they count in the visitor's smaller cell."""
-        one = lives[a][:, None] & lives[b][None, :]
-        out = lives[a][:, None] & ~lives[b][None, :] & (~visited[a][:, code[b]] | (home[b] > cell)[None, :])
-        back = ~lives[a][:, None] & lives[b][None, :] & (~visited[b][:, code[a]].T | (home[a] > cell)[:, None])
-        return one | out | back
-
+    to, among vectors in order of ``rid``.  Those of side 0 are compared with
+    those of side 1, or with each other if there is no side 1.  ``counts`` says
+    which pairs of (a of side 0, b of side 1) count here."""
+    mine = np.flatnonzero(side == 0)
+    one = len(mine) == len(side)
+    theirs = mine if one else np.flatnonzero(side == 1)
     links, label = np.zeros(len(rid)), np.arange(len(rid))
+    left, right = u[mine], u[theirs].T
     step = max(1, STRIP // max(1, len(theirs)))
-    for a in range(0, len(mine), step):
-        part = mine[a : a + step]
-        cos = u[part] @ u[theirs].T
-        near = cos >= cosine
-        for i, j in zip(*np.nonzero(np.abs(cos - cosine) < CLOSE)):
-            near[i, j] = math.fsum(u[part[i]] * u[theirs[j]]) >= cosine
-        near &= part[:, None] != theirs[None, :]
-        if len(cells):
-            near &= met(part, theirs)
-        links[part] += near @ copies[theirs]
-        if len(blocks) > 1:
-            links[theirs] += near.T @ copies[part]
-        open_ = near & (label[part][:, None] != label[theirs][None, :])
-        if open_.any():
-            i, j = np.nonzero(open_)
-            top = forest(len(rid), label[part[i]], label[theirs[j]])
-            label = top[label]
+    for first in range(0, len(mine), step):
+        cos = left[first : first + step] @ right
+        near = cos >= cosine - CLOSE
+        rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if one:  # every vector is near itself
+            rows = rows[near[rows].sum(axis=1) > 1]
+        if not len(rows):
+            continue
+        a, b = mine[first + rows], theirs[columns]
+        cos, near = cos[np.ix_(rows, columns)], near[np.ix_(rows, columns)]
+        for i, j in zip(*np.nonzero(near & (cos < cosine + CLOSE))):
+            near[i, j] = math.fsum(u[a[i]] * u[b[j]]) >= cosine
+        if one:
+            near &= a[:, None] != b[None, :]
+        if counts is not None:
+            near &= counts(a, b)
+        links[a] += near @ copies[b]
+        if not one:
+            links[b] += near.T @ copies[a]
+        i, j = np.nonzero(near & (label[a][:, None] != label[b][None, :]))
+        if len(i):
+            label = forest(len(rid), label[a[i]], label[b[j]])[label]
     return links, rid[label]
 
 
@@ -170,10 +160,22 @@ def _cells(dims: int, cosine: float):
     def run(key, pdf):
         import pandas as pd
 
+        cell, guests = key[0], key[1]
         pdf = pdf.sort_values("rid", ignore_index=True)
-        if key[1] != key[2] and pdf["block"].nunique() < 2:
+        side, home = pdf["side"].to_numpy(), pdf["home"].to_numpy()
+        if key[2] != key[3] and pdf["side"].nunique() < 2 or guests and pdf["side"].nunique() < 2:
             return pd.DataFrame({"rid": [], "links": [], "label": []}).astype("int64")
-        links, label = compare(unit_rows(list(pdf["v"]), dims), pdf["rid"].to_numpy(), pdf["copies"].to_numpy(np.float64), pdf["block"].to_numpy(), pdf["home"].to_numpy(), [() if x is None else x for x in pdf["visits"]], key[0], cosine)
+        counts = None
+        if guests:  # a pair that also meets in the visitor's cell counts in the smaller one
+            cells, code = np.unique(home, return_inverse=True)
+            visited = np.zeros((len(pdf), len(cells)), bool)
+            for i in np.flatnonzero(side == 0):
+                visited[i, np.searchsorted(cells, np.intersect1d(pdf["visits"][i], cells))] = True
+
+            def counts(a, b):
+                return ~visited[a][:, code[b]] | (home[b] > cell)[None, :]
+
+        links, label = compare(unit_rows(list(pdf["v"]), dims), pdf["rid"].to_numpy(), pdf["copies"].to_numpy(np.float64), side, cosine, counts)
         some = links > 0
         return pd.DataFrame({"rid": pdf["rid"][some], "links": links[some].astype(np.int64), "label": label[some]})
 
@@ -209,12 +211,21 @@ def linked(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vect
     most = math.sin(reach * math.acos(cosine) / 2)
     at = save(sets.select("rid", "copies", "v").mapInArrow(_assign(shared, dims, most), "rid long, copies long, cell int, home int, visits array<int>, v binary"), "dedup-cells")
     per = max(1, BLOCK // dims)
-    sizes = at.groupBy("cell").agg(F.ceil(F.count("*") / per).cast("int").alias("blocks"))
+    lives = F.col("home") == F.col("cell")
+    blocks = lambda of: F.ceil(F.count_if(of) / per).cast("int")
+    sizes = at.groupBy("cell").agg(blocks(lives).alias("own"), blocks(~lives).alias("guests"))
     # a row per cell, of which there are CELLS at most
-    dealt = at.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j"))))
-    dealt = dealt.withColumn("pair", pair).select("cell", "pair.i", "pair.j", "rid", "copies", "home", "visits", "block", "v")
-    found = save(dealt.groupBy("cell", "i", "j").applyInPandas(_cells(dims, cosine), "rid long, links long, label long"), "dedup-links")
+    dealt = at.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("rid"), F.when(lives, F.col("own")).otherwise(F.col("guests"))).cast("int"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda b: b < n)
+    task = lambda guests, i, j, side: F.struct(F.lit(guests).alias("guests"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    block = F.col("block")
+    # residents meet residents, block by block, and each block of visitors
+    among = F.transform(upto(F.col("own")), lambda b: task(False, F.least(b, block), F.greatest(b, block), b < block))
+    with_guests = F.transform(upto(F.col("guests")), lambda b: task(True, block, b, F.lit(0)))
+    visiting = F.transform(upto(F.col("own")), lambda b: task(True, b, block, F.lit(1)))
+    dealt = dealt.withColumn("task", F.explode(F.when(lives, F.concat(among, with_guests)).otherwise(visiting)))
+    dealt = dealt.select("cell", "task.*", "rid", "copies", "home", "visits", "v")
+    found = save(dealt.groupBy("cell", "guests", "i", "j").applyInPandas(_cells(dims, cosine), "rid long, links long, label long"), "dedup-links")
 
     roots = roots_of(found.where("label <> rid").select(F.col("rid").alias("src"), F.col("label").alias("dst")), "dedup")
     comps = roots.union(roots.select(F.col("dst").alias("src"), "dst").distinct())
