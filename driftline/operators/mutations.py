@@ -114,11 +114,13 @@ def plan(decoded: DataFrame, kinds: dict[str, str], classes: dict[str, str], now
             out = F.when(v.isNull(), F.when(has_del, F.array(_m("list_clear", c, None, F.lit(now * 1_000_000), F.lit(None), is_static))).otherwise(nothing)).otherwise(each)
         elif kind in ("set", "map"):
             items = F.map_keys(at[c]) if kind == "map" else F.col(at[c])
+            # a map's keys go with their values
+            items_json = (lambda keys, m=at[c]: F.to_json(F.map_filter(F.col(m), lambda k, _: F.array_contains(keys, k)))) if kind == "map" else F.to_json
             buckets = element_buckets(items, cell["elem_wt"], F.coalesce(cell["elem_expiry"], F.transform(cell["elem_wt"], lambda _: cell["expiry"])))
             split = cell["mixed"] & (F.size(items) == F.size(cell["elem_wt"]))
             implied = whole == buckets[0]["wt"] - 1
             adds = F.transform(buckets, lambda b, i: F.struct(
-                F.when((i == 0) & F.coalesce(implied, F.lit(False)), "set_group").otherwise("add").alias("op"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("path"), F.to_json(b["items"]).alias("value"),
+                F.when((i == 0) & F.coalesce(implied, F.lit(False)), "set_group").otherwise("add").alias("op"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("path"), items_json(b["items"]).alias("value"),
                 b["wt"].alias("wt"), b["expiry"].alias("expiry"), is_static.alias("is_static")))
             clear = F.when(whole.isNotNull() & ~F.coalesce(implied, F.lit(False)) & split, F.array(_m("set_group", c, None, whole + 1, F.lit(None), is_static))).otherwise(nothing)
             uniform = F.when(apart, group).otherwise(nothing)

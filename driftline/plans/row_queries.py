@@ -8,6 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from driftline.operators import apply as A
 from driftline.operators import catalog as K
 from driftline.operators import decode as D
 from driftline.operators import mutations as M
@@ -86,13 +87,13 @@ def _(s, d):
 
 @query("decode_cell_writetimes", B + " SELECT pk, ck, 'val' AS col, hi AS wt FROM b UNION ALL SELECT pk, ck, 'tags', hi FROM b UNION ALL SELECT pk, ck, 'props', hi FROM b UNION ALL SELECT pk, ck, 'note', NULL FROM b UNION ALL SELECT pk, ck, 'region', CASE WHEN mx % 6 <> 0 THEN lo END FROM b")
 def _(s, d):
-    p = D.parsed(envelopes(s, d)).select("pk", "ck", D.writetime_details(F.col("meta")["__sys_clts"]).alias("w"))
+    p = D.parsed(envelopes(s, d)).select("pk", "ck", F.col("writetimes").alias("w"))
     return p.select("pk", "ck", F.explode("w").alias("col", "x")).select("pk", "ck", "col", "x.wt")
 
 
 @query("decode_cell_ttls", B + " SELECT pk, ck, base + dur AS val_expiry, [base + 5, base + 5, base + 6] AS hist_expiry FROM b WHERE mx % 3 = 0")
 def _(s, d):
-    p = D.parsed(envelopes(s, d)).select("pk", "ck", D.expiry_details(F.col("meta")["__sys_clttl"], NOW).alias("e"))
+    p = D.parsed(envelopes(s, d)).select("pk", "ck", F.expr(D.expiries(NOW)).alias("e"))
     return p.where("e.val is not null").select("pk", "ck", F.expr("e.val.expiry").alias("val_expiry"), F.expr("e.hist.elem_expiry").alias("hist_expiry"))
 
 
@@ -111,11 +112,21 @@ def _(s, d):
     return decoded(s, d).select("pk", "ck", F.expr("all_cells['tags'].mixed").alias("tags_mixed"), F.expr("all_cells['props'].mixed").alias("props_mixed"))
 
 
-@query("reject_malformed", B + " SELECT pk, ck, CASE mx % 4 WHEN 1 THEN 'not an object' WHEN 2 THEN 'trailing text' WHEN 3 THEN 'negative ttl' END AS reason FROM b WHERE mx % 4 <> 0")
+#: What the n-th of 16 kinds of rows has appended or in its place, and why it
+#: is rejected.  {} stands for the row's members.
+BROKEN = [
+    ("{}", None), ("{} x", "not an object"), ("{} {{}}", "trailing text"), ('{{"__sys_rw_ts":"5"}}', "marker"), ('{{"__sys_rw_ttl":7}}', "ttl pair"), ('{{"__sys_rw_ttl":[5]}}', "ttl pair"),
+    ('{{"__sys_rw_ttl":[-1,5]}}', "negative ttl"), ('{{"__sys_clttl":{{"val":[3,4]}}}}', "cell ttl shape"), ('{{"__sys_clttl":["5",{{}}]}}', "cell ttl base"), ('{{"__sys_clttl":[5,{{"val":9}}]}}', "cell ttl detail"),
+    ('{{"__sys_clttl":[5,{{"val":["9",4]}}]}}', "cell ttl start"), ('{{"__sys_clttl":[5,{{"val":[[3,4],null]}}]}}', "cell ttl element"), ('{{"__sys_clttl":[5,{{"val":{{"k":3}}}}]}}', "cell ttl field"),
+    ('{{"__sys_clttl":[5,{{"val":[3,4,5]}}]}}', "cell ttl pair"), ('{{"__sys_clttl":[5,{{"val":[[3,4],[-3,4]]}}]}}', "negative cell ttl"), ('{{"val":1,"val":2}}', "not an object"),
+]
+
+
+@query("reject_malformed", B + " SELECT pk, ck, [" + ", ".join(f"'{r}'" if r else "NULL" for _, r in BROKEN) + "][mx % 16 + 1] AS reason FROM b WHERE mx % 16 <> 0")
 def _(s, d):
     e = envelopes(s, d).withColumn("mx", F.get_json_object("json", "$.val").cast("bigint"))
-    broken = e.withColumn("json", F.expr("""case mx % 4 when 1 then concat(json, ' x') when 2 then concat(json, ' {}') when 3 then '{"pk":1,"__sys_rw_ttl":[-1,5]}' else json end"""))
-    return D.split_malformed(broken)[1].select("pk", "ck", "reason")
+    texts = F.array(*[F.concat(*[F.col("json") if part is None else F.lit(part) for part in (([None] if t.startswith("{} ") or t == "{}" else []) + [t.removeprefix("{}").replace("{{", "{").replace("}}", "}")])]) for t, _ in BROKEN])
+    return D.split_malformed(e.withColumn("json", texts[(F.col("mx") % 16).cast("int")]))[1].select("pk", "ck", "reason")
 
 
 @query("strip_system_columns", B + " SELECT pk, ck, 8 AS members FROM b")
@@ -258,7 +269,7 @@ def _(s, d):
 
 @query("elements_by_writetime", ADD + ", o AS (SELECT pk, ck, twt, row_number() OVER (PARTITION BY pk, ck ORDER BY twt) AS nth FROM g) SELECT o.pk, o.ck, nth, twt AS wt FROM o")
 def _(s, d):
-    e = decoded(s, d).select("pk", "ck", F.from_json(F.expr("clean['tags']"), "array<string>").alias("t"), D.writetime_details(F.from_json("json", D.META)["__sys_clts"]).alias("w"))
+    e = D.parsed(envelopes(s, d)).select("pk", "ck", F.from_json(F.expr("top['tags']"), "array<string>").alias("t"), F.col("writetimes").alias("w"))
     b = M.element_buckets(F.col("t"), F.expr("w['tags'].elem_wt"), F.expr("transform(w['tags'].elem_wt, x -> cast(null as bigint))"))
     return e.select("pk", "ck", F.posexplode(b).alias("i", "x")).select("pk", "ck", (F.col("i") + 1).cast("bigint").alias("nth"), "x.wt")
 
@@ -309,8 +320,63 @@ def _(s, d):
 
 @query("row_deletes", B + " SELECT pk, ck, lo + 1 AS wt, 'row_delete' AS op FROM b WHERE mx % 4 = 1")
 def _(s, d):
-    e = envelopes(s, d).withColumn("json", F.expr("""if(cast(get_json_object(json, '$.val') as bigint) % 4 = 1, concat('{"__sys_rw_tmbstn":', cast(get_json_object(json, '$.__sys_clts.props.e') as bigint) + 1, ',', substring(json, 2)), json)"""))
-    return M.plan(D.decode(e, NOW), KINDS, CLASSES, NOW).where("op = 'row_delete'").select("pk", "ck", "wt", "op")
+    return M.plan(D.decode(_with_row_deletes(s, d), NOW), KINDS, CLASSES, NOW).where("op = 'row_delete'").select("pk", "ck", "wt", "op")
+
+
+def _with_row_deletes(s, d):
+    return envelopes(s, d).withColumn("json", F.expr("""if(cast(get_json_object(json, '$.val') as bigint) % 4 = 1, concat('{"__sys_rw_tmbstn":', cast(get_json_object(json, '$.__sys_clts.props.e') as bigint) + 1, ',', substring(json, 2)), json)"""))
+
+
+def _atoms(s, d):
+    m = M.plan(D.decode(_with_row_deletes(s, d), NOW), KINDS, CLASSES, NOW)
+    return A.atoms(m, ["pk", "ck"], CLASSES, ["ck"], ["region"])
+
+
+# What the envelopes say, cell by cell: n: whether a set's elements differ in
+# writetime; marker: a row's marker expiry; gone: until when a row is deleted.
+STATE = B + f""", n AS (SELECT pk, ck, count(DISTINCT twt) AS n FROM tg GROUP BY 1, 2),
+f AS (SELECT b.*, n, CASE WHEN mx % 5 <> 0 THEN {MEXP} END AS mexp, CASE WHEN mx % 4 = 1 THEN lo + 1 ELSE -1 END AS gone FROM b JOIN n ON b.pk = n.pk AND b.ck = n.ck),
+c AS (
+  SELECT pk, ck, CAST(NULL AS VARCHAR) AS "column", CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS value, lo AS wt, mexp AS expiry, FALSE AS del, gone FROM f WHERE mx % 5 <> 0
+  UNION ALL SELECT pk, ck, 'val', '', CAST(mx AS VARCHAR), hi, CASE WHEN mx % 3 = 0 THEN base + dur END, FALSE, gone FROM f
+  UNION ALL SELECT pk, ck, 'note', '', NULL, CASE WHEN mx % 7 = 0 OR mx % 5 = 0 THEN hi ELSE lo END, NULL, TRUE, gone FROM f
+  UNION ALL SELECT f.pk, f.ck, 'tags', CAST(tag AS VARCHAR), NULL, twt, CASE WHEN n = 1 THEN mexp END, FALSE, gone FROM f JOIN tg ON f.pk = tg.pk AND f.ck = tg.ck
+  UNION ALL SELECT pk, ck, 'tags', '9', NULL, hi, NULL, TRUE, gone FROM f WHERE mx % 4 = 0
+  UNION ALL SELECT pk, ck, 'hist', lpad(CAST({NOW * 1_000_000} AS VARCHAR), 20, '0') || '.' || lpad(CAST(i AS VARCHAR), 9, '0'), CAST(mx + i AS VARCHAR), {NOW * 1_000_000}, mexp, FALSE, gone FROM f, (VALUES (0), (1), (2)) v(i)
+  UNION ALL SELECT pk, ck, 'props', 'k', CAST(mx AS VARCHAR), hi, CASE WHEN hi = lo THEN mexp END, FALSE, gone FROM f
+  UNION ALL SELECT pk, ck, 'props', 'e', 'x', lo, CASE WHEN hi = lo THEN mexp END, FALSE, gone FROM f
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY pk ORDER BY wt DESC, del DESC, expiry IS NULL DESC, expiry DESC) AS k
+  FROM (SELECT pk, CASE WHEN mx % 6 <> 0 THEN 'r' END AS value, CASE WHEN mx % 6 = 0 AND mx % 5 = 0 THEN hi ELSE lo END AS wt, CASE WHEN mx % 6 <> 0 THEN mexp END AS expiry, mx % 6 = 0 AS del FROM f)
+), st AS (
+  SELECT pk, ck, "column", path, value, wt, expiry, del FROM c WHERE wt > gone
+  UNION ALL SELECT pk, NULL, 'region', '', value, wt, expiry, del FROM r WHERE k = 1
+)"""
+
+
+@query("apply_mutations", STATE + " SELECT * FROM st")
+def _(s, d):
+    return A.state(_atoms(s, d), ["pk", "ck"])
+
+
+@query("apply_live_rows", STATE + f""", a AS (SELECT * FROM st WHERE NOT del AND (expiry IS NULL OR expiry > {NOW}))
+SELECT pk, ck, max(value) FILTER ("column" = 'val') AS val, max(value) FILTER ("column" = 'note') AS note,
+  '[' || string_agg('"' || path || '"', ',' ORDER BY path) FILTER ("column" = 'tags') || ']' AS tags, '[' || string_agg('"' || value || '"', ',' ORDER BY path) FILTER ("column" = 'hist') || ']' AS hist,
+  '{{' || string_agg('"' || path || '":"' || value || '"', ',' ORDER BY path) FILTER ("column" = 'props') || '}}' AS props, max(value) FILTER ("column" = 'region') AS region
+FROM a GROUP BY pk, ck""")
+def _(s, d):
+    return A.rows(A.live(A.state(_atoms(s, d), ["pk", "ck"]), NOW), ["pk", "ck"], CLASSES, ["ck"], ["region"])
+
+
+@query("compact_mutations", STATE + ' SELECT pk, count(*) AS cells, max(wt) AS newest FROM st WHERE NOT del GROUP BY pk')
+def _(s, d):
+    """The log compacted in two halves and again as one, its deletions collected."""
+    log, keys = _atoms(s, d), ["pk", "ck"]
+    # atoms of one row in both halves, which meet only in the second compaction
+    half = F.pmod(F.xxhash64("scope", "column", "path", "wt"), F.lit(2)) == 0
+    both = A.compact(log.where(half), keys).union(A.compact(log.where(~half), keys))
+    cells = A.compact(both, keys, horizon=2 * NOW * 1_000_000).where("not del and scope in ('cell', 'marker')")
+    return cells.groupBy("pk").agg(F.count("*").alias("cells"), F.max("wt").alias("newest"))
 
 
 @query("mutation_order", B + " SELECT 'baseline' AS op, 1 AS seq UNION ALL SELECT 'set_group', 2 UNION ALL SELECT 'add', 3 UNION ALL SELECT 'field', 4 UNION ALL SELECT 'remove', 5 UNION ALL SELECT 'list_set', 6")
