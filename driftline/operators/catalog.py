@@ -71,7 +71,7 @@ def parse_selection(lists: DataFrame, column: str = "selection") -> DataFrame:
     Either part may be quoted, with a doubled quote for one."""
     entries = lists.select("*", F.posexplode(F.split(F.col(column), r"[,;\n\r]")).alias("pos", "raw"))
     entries = entries.withColumn("entry", F.trim("raw")).where("entry <> ''")
-    quoted, plain = r'"((?:[^"]|"")+)"', r"([A-Za-z][A-Za-z0-9_]*)"
+    quoted, plain = r'"((?!")[^"]*+(?:""[^"]*+)*+|(?:"")++[^"]*+(?:""[^"]*+)*+)"', r"([A-Za-z][A-Za-z0-9_]*)"
     pattern = rf"^(?:{quoted}|{plain})\.(?:{quoted}|{plain}|(\*))$"
     part = lambda i: F.regexp_extract("entry", pattern, i)
     bare = lambda c: F.replace(c, F.lit('""'), F.lit('"'))

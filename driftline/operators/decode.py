@@ -74,11 +74,11 @@ def hold(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct("*"))))
 
 
-def _add(df: DataFrame, columns: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with columns of SQL text, held."""
-    kept = [c for c in df.columns if c not in drop and c not in columns]
-    quoted = ["`" + c.replace("`", "``") + "`" for c in kept]
-    return hold(df.selectExpr(*quoted, *[f"{text} as {name}" for name, text in columns.items()]))
+def add(df: DataFrame, columns: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with columns of SQL text, held (see ``hold``), less ``drop``."""
+    fields = {c: "`" + c.replace("`", "``") + "`" for c in df.columns if c not in drop} | columns
+    name = lambda c: "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return df.selectExpr("inline(array(named_struct(" + ", ".join(f"{name(c)}, {text}" for c, text in fields.items()) + ")))")
 
 
 #: Of each TTL detail: an element or field that is no list, a pair that is no
@@ -98,18 +98,18 @@ def parsed(envelopes: DataFrame, json: str = "json") -> DataFrame:
     ``odd_newest`` (of writetimes that are no object)."""
     text = f"`{json}`"
     # one more element closes what a text may have left open or gone on with
-    rows = _add(envelopes, {"_doc": f"try_cast(try_parse_json(concat('[', {text}, ',0]')) as array<variant>)"})
-    rows = _add(rows, {"_m": "if(size(_doc) = 2, try_cast(get(_doc, 0) as map<string,variant>), null)"}, ("_doc",))
+    rows = add(envelopes, {"_doc": f"try_cast(try_parse_json(concat('[', {text}, ',0]')) as array<variant>)"})
+    rows = add(rows, {"_m": "if(size(_doc) = 2, try_cast(get(_doc, 0) as map<string,variant>), null)"}, ("_doc",))
     member = lambda name: f"_m['__sys_{name}']"
     clttl, clts, tombs, ttl = member("clttl"), member("clts"), member("clts_tmbstn"), member("rw_ttl")
     details = f"try_cast(get(filter({LIST.format(x=clttl)}, (x, i) -> i > 0 and {IS_OBJECT.format(x='x')}), 0) as map<string,variant>)"
-    rows = _add(rows, {
+    rows = add(rows, {
         "_mark": member("rw_ts"), "_ttl": ttl, "_clttl": clttl, "_row_del": member("rw_tmbstn"), "_clts": clts,
         "_times": f"try_cast({clts} as map<string,variant>)", "_details": details, "_tombs": f"try_cast({tombs} as map<string,variant>)", "_object": "_m is not null",
     }, ("_m",))
     odd = f"case when _times is not null then null when {IS_LIST.format(x='_clts')} then array_max(transform({LIST.format(x='_clts')}, e -> {WHOLE.format(x='e')})) else {WHOLE.format(x='_clts')} end"
     detail = "transform_values(" + UNQUOTED.format(x="_details") + ", (_, x) -> named_struct('x', x, 'shape', " + _of(DETAIL_SHAPE, "x") + "))"
-    rows = _add(rows, {
+    rows = add(rows, {
         "mark": WHOLE.format(x="_mark"),
         "mark_ttl": f"if({PAIR.format(x='_ttl')}, try_cast(_ttl as array<bigint>), null)",
         "ttl_base": f"if({IS_LIST.format(x='_clttl')}, {WHOLE.format(x='get(try_cast(_clttl as array<variant>), 0)')}, null)",
@@ -121,7 +121,7 @@ def parsed(envelopes: DataFrame, json: str = "json") -> DataFrame:
     }, ("_times", "_details", "_tombs", "_clts", "_row_del"))
     pairs = "case d.shape when 'lone' then array(d.x) when 'many' then try_cast(d.x as array<variant>) when 'fields' then map_values(try_cast(d.x as map<string,variant>)) end"
     keyed = f"transform(filter(map_entries(d.keyed), e -> {WHOLE.format(x='e.value')} is not null), e -> named_struct('key', e.key, 'ts', {WHOLE.format(x='e.value')}))"
-    rows = _add(rows, {
+    rows = add(rows, {
         "_parts": f"transform_values(_shapes, (_, d) -> named_struct('shape', d.shape, 'names', if(d.shape = 'fields', map_keys(try_cast(d.x as map<string,variant>)), null), 'pairs', {pairs}))",
         "_dels": f"transform_values(_dels, (_, d) -> named_struct('simple', d.simple, 'whole', d.whole, 'keys', coalesce({keyed}, array())))",
     }, ("_shapes",))
@@ -138,12 +138,12 @@ def parsed(envelopes: DataFrame, json: str = "json") -> DataFrame:
       when exists(map_values(_parts), d -> d.shape = 'cell ttl start') then 'cell ttl start'
       {faults} end"""
     newest = "greatest(d.simple, d.whole, array_max(transform(d.keys, k -> k.ts)))"
-    rows = _add(rows, {
+    rows = add(rows, {
         "reason": reason,
         "ttls": "transform_values(map_filter(_parts, (_, d) -> d.shape in ('lone', 'many', 'fields')), (_, d) -> named_struct('shape', d.shape, 'names', d.names, 'pairs', transform(d.pairs, p -> try_cast(p as array<bigint>))))",
         "deletions": f"map_filter(transform_values(_dels, (_, d) -> named_struct('deleted_at', {newest}, 'is_complex', d.simple is null, 'coll_deleted_at', d.whole, 'keys', d.keys)), (_, d) -> d.deleted_at is not null)",
     }, ("_mark", "_ttl", "_clttl", "_parts", "_dels", "_object"))
-    return _add(rows, {"top": f"if(reason is null, from_json({text}, '{TEXT_MAP}'), null)"})
+    return add(rows, {"top": f"if(reason is null, from_json({text}, '{TEXT_MAP}'), null)"})
 
 
 #: What parsed() adds beside the reason.
@@ -188,12 +188,12 @@ def decode(envelopes: DataFrame, now: int, json: str = "json") -> DataFrame:
     """
     good, _ = split_malformed(envelopes, json)
     base = "coalesce(ttl_base, 0)"
-    rows = _add(good, {
+    rows = add(good, {
         "marker": f"if(mark is null, null, named_struct('wt', mark, 'expiry', {_expiry('mark_ttl', base, now)}))",
         "_exp": expiries(now),
         "clean": f"map_filter(top, (k, _) -> not startswith(k, '{SYSTEM}'))",
     }, ("top", "mark", "mark_ttl", "ttl_base", "ttls"))
-    rows = _add(rows, {
+    rows = add(rows, {
         # each live cell with its expiries laid out like its writetimes
         "_live": """transform_values(map_filter(writetimes, (_, w) -> w.wt is not null), (k, w) -> named_struct('w', w, 'given', _exp[k] is not null, 'expiry', _exp[k].expiry,
           'elem_e', if(w.elem_wt is null, null, coalesce(_exp[k].elem_expiry, transform(w.elem_wt, _ -> _exp[k].expiry))),
@@ -204,7 +204,7 @@ def decode(envelopes: DataFrame, now: int, json: str = "json") -> DataFrame:
     elements = "array_distinct(transform(arrays_zip(c.w.elem_wt, c.elem_e), z -> struct(z.elem_wt, z.elem_e)))"
     fields = "array_distinct(transform(map_entries(c.w.field_wt), z -> struct(z.value, c.field_e[z.key])))"
     longest = f"case when not c.given then marker.expiry when c.elem_e is not null then {LONGEST.format(x='c.elem_e')} when c.field_e is not null then {LONGEST.format(x='map_values(c.field_e)')} else c.expiry end"
-    rows = _add(rows, {"_live": f"transform_values(_live, (_, c) -> named_struct('c', c, 'expiry', {longest}, 'mixed', coalesce(size({elements}) > 1, false) or coalesce(size({fields}) > 1, false)))"})
+    rows = add(rows, {"_live": f"transform_values(_live, (_, c) -> named_struct('c', c, 'expiry', {longest}, 'mixed', coalesce(size({elements}) > 1, false) or coalesce(size({fields}) > 1, false)))"})
     cell = "named_struct('wt', x.c.w.wt, 'expiry', x.expiry, 'mixed', x.mixed, 'elem_wt', if(x.mixed, x.c.w.elem_wt, null), 'elem_expiry', if(x.mixed, x.c.elem_e, null), 'field_wt', if(x.mixed, x.c.w.field_wt, null), 'field_expiry', if(x.mixed, x.c.field_e, null))"
-    rows = _add(rows, {"all_cells": f"transform_values(_live, (_, x) -> {cell})"}, ("_live",))
-    return _add(rows, {"cells": "map_filter(all_cells, (_, c) -> marker is null or c.mixed or not (c.wt <=> marker.wt and c.expiry <=> marker.expiry))"})
+    rows = add(rows, {"all_cells": f"transform_values(_live, (_, x) -> {cell})"}, ("_live",))
+    return add(rows, {"cells": "map_filter(all_cells, (_, c) -> marker is null or c.mixed or not (c.wt <=> marker.wt and c.expiry <=> marker.expiry))"})

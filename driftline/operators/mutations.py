@@ -18,21 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.decode import TEXT_MAP, hold
+from driftline.operators.decode import TEXT_MAP, add
 
 #: Order of writing by op.
 ORDER = {"full_insert": 0, "baseline": 1, "set_group": 2, "add": 3, "field": 4, "remove": 5, "list_set": 6, "list_append": 7, "list_clear": 8, "row_delete": 9}
 MUTATION = "struct<op:string,column:string,path:string,value:string,wt:bigint,expiry:bigint,is_static:boolean>"
 
 
-def _m(op: str, column, value, wt, expiry, is_static=None, path=None) -> Column:
-    text = lambda x: F.lit(None).cast("string") if x is None else x if isinstance(x, Column) else F.lit(x)
-    return F.struct(
-        F.lit(op).alias("op"), text(column).alias("column"), text(path).alias("path"), text(value).alias("value"),
-        wt.cast("bigint").alias("wt"), expiry.cast("bigint").alias("expiry"), (F.lit(False) if is_static is None else is_static).alias("is_static"),
-    )
-
-
 def list_runs(values: Column, expiries: Column) -> Column:
     """Contiguous runs of equal expiry: array<struct<items, expiry>>, in order."""
     zipped = F.arrays_zip(values.alias("v"), expiries.alias("e"))
@@ -68,6 +60,82 @@ def removed_keys_json(keys: Column, embedded: bool = False) -> Column:
     return F.concat(F.lit("["), F.array_join(keys, ","), F.lit("]")) if embedded else F.to_json(keys)
 
 
+#: SQL of no mutations; a time before all others.
+NONE, NEVER = f"cast(array() as array<{MUTATION}>)", f"cast({-(2**62)} as bigint)"
+
+
+def _text(name: str) -> str:
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _one(op: str, column: str, value: str, wt: str, expiry: str, static: str, path: str = "null") -> str:
+    """SQL of one mutation."""
+    return f"named_struct('op', {op}, 'column', cast({column} as string), 'path', cast({path} as string), 'value', cast({value} as string), 'wt', cast({wt} as bigint), 'expiry', cast({expiry} as bigint), 'is_static', {static})"
+
+
+#: SQL of contiguous runs of equal expiry: {v} are values, {e} their expiries.
+RUNS = """aggregate(zip_with({v}, {e}, (v, e) -> named_struct('v', v, 'e', e)), cast(array() as array<struct<items:array<string>,expiry:bigint>>),
+  (acc, z) -> if(if(size(acc) > 0, element_at(acc, -1).expiry <=> z.e, false),
+    concat(slice(acc, 1, size(acc) - 1), array(named_struct('items', concat(element_at(acc, -1).items, array(z.v)), 'expiry', element_at(acc, -1).expiry))),
+    concat(acc, array(named_struct('items', array(z.v), 'expiry', z.e)))))"""
+
+#: SQL of the elements {items} of a mixed {cell} by (wt, expiry), oldest first.
+BUCKETS = """if({cell}.mixed, transform(array_sort(array_distinct(transform({z}, x -> named_struct('wt', x.t, 'expiry', x.e)))), p -> named_struct('wt', p.wt, 'expiry', p.expiry,
+  'items', transform(filter({z}, x -> x.t <=> p.wt and x.e <=> p.expiry), x -> x.v))), null)"""
+ZIPPED = "zip_with({items}, zip_with({cell}.elem_wt, coalesce({cell}.elem_expiry, transform({cell}.elem_wt, _ -> {cell}.expiry)), (t, e) -> named_struct('t', t, 'e', e)), (v, p) -> named_struct('v', v, 't', p.t, 'e', p.e))"
+
+#: SQL of removed keys newer than the column's own deletion, by time.
+REMOVED = """transform(array_sort(array_distinct(transform(filter({d}.keys, k -> k.ts > coalesce({d}.coll_deleted_at, {never})), k -> k.ts))),
+  t -> named_struct('ts', t, 'keys', transform(filter({d}.keys, k -> k.ts = t), k -> k.key)))"""
+
+
+def _of_list(n: int, name: str, static: str, now: int) -> str:
+    c, runs = f"_c{n}", f"_b{n}"
+    op = "if(i = 0, 'list_set', 'list_append')"
+    # fresh times, one per run, the same again when a batch is replayed
+    each = f"transform({runs}, (r, i) -> {_one(op, name, 'to_json(r.items)', f'{now * 1_000_000} + i', 'r.expiry', static, 'i')})"
+    clear = f"if({c}.d is not null, array({_one(repr('list_clear'), name, 'null', str(now * 1_000_000), 'null', static)}), {NONE})"
+    return f"if({c}.v is null, {clear}, {each})"
+
+
+def _of_collection(n: int, name: str, static: str, is_map: bool) -> str:
+    c, b, p = f"_c{n}", f"_b{n}", f"_p{n}"
+    whole = f"{c}.d.coll_deleted_at"
+    items = f"map_keys({p})" if is_map else p
+    implied = f"coalesce({whole} = get({b}, 0).wt - 1, false)"
+    split = f"coalesce({c}.cell.mixed and size({items}) = size({c}.cell.elem_wt), false)"
+    # a map's keys go with their values
+    value = f"to_json(map_filter({p}, (k, _) -> array_contains(b.items, k)))" if is_map else "to_json(b.items)"
+    op = f"if(i = 0 and {implied}, 'set_group', 'add')"
+    adds = f"transform({b}, (b, i) -> {_one(op, name, value, 'b.wt', 'b.expiry', static)})"
+    cleared = f"array({_one(repr('set_group'), name, 'null', f'{whole} + 1', 'null', static)})"
+    clear = f"if({whole} is not null and not {implied}, {cleared}, {NONE})"
+    uniform = f"if({c}.apart, array({_one(repr('set_group'), name, f'{c}.v', f'{c}.wt', f'{c}.expiry', static)}), {NONE})"
+    removed = f"coalesce(transform({REMOVED.format(d=f'{c}.d', never=NEVER)}, r -> {_one(repr('remove'), name, 'to_json(r.keys)', 'r.ts', 'null', static)}), {NONE})"
+    return f"concat(case when {c}.v is null then if({whole} is not null, {cleared}, {NONE}) when {split} then concat({clear}, {adds}) else {uniform} end, {removed})"
+
+
+def _of_fields(n: int, name: str, static: str) -> str:
+    c, p = f"_c{n}", f"_p{n}"
+    wts, exps, whole = f"{c}.cell.field_wt", f"{c}.cell.field_expiry", f"{c}.d.coll_deleted_at"
+    stamp = f"named_struct('wt', {wts}[k], 'expiry', {exps}[k])"
+    oldest = f"array_min(transform(map_keys({wts}), k -> {stamp}))"
+    implied = f"coalesce({whole} = {oldest}.wt - 1, false)"
+    base_fields = f"map_filter({p}, (k, _) -> not map_contains_key({wts}, k) or {stamp} <=> {oldest})"
+    rest = f"map_filter({p}, (k, _) -> map_contains_key({wts}, k) and (not {implied} or not ({stamp} <=> {oldest})))"
+    base = f"if({implied}, array({_one(repr('set_group'), name, f'to_json({base_fields})', f'{oldest}.wt', f'{oldest}.expiry', static)}), {NONE})"
+    single = f"transform(map_entries({rest}), e -> {_one(repr('field'), name, 'e.value', f'{wts}[e.key]', f'{exps}[e.key]', static, 'e.key')})"
+    group = f"array({_one(repr('set_group'), name, f'{c}.v', f'{c}.wt', f'{c}.expiry', static)})"
+    nulls = f"coalesce(transform(filter({c}.d.keys, k -> k.ts > coalesce({whole}, {NEVER})), k -> {_one(repr('field'), name, 'null', 'k.ts', 'null', static, 'k.key')}), {NONE})"
+    return f"concat(case when {c}.cell.mixed then concat({base}, {single}) when {c}.apart and {c}.v is not null then {group} else {NONE} end, {nulls})"
+
+
+def _of_value(n: int, name: str, static: str) -> str:
+    c = f"_c{n}"
+    set_to = lambda value, wt, expiry: f"array({_one(repr('set_group'), name, value, wt, expiry, static)})"
+    return f"case when {c}.v is null and {c}.d is not null then {set_to('null', f'{c}.d.deleted_at', 'null')} when {c}.apart then {set_to(f'{c}.v', f'{c}.wt', f'{c}.expiry')} else {NONE} end"
+
+
 def plan(decoded: DataFrame, kinds: dict[str, str], classes: dict[str, str], now: int) -> DataFrame:
     """Mutations of decoded rows (clean, marker, cells, deletions).
 
@@ -76,89 +144,55 @@ def plan(decoded: DataFrame, kinds: dict[str, str], classes: dict[str, str], now
     """
     parse = {"list": "array<string>", "set": "array<string>", "map": TEXT_MAP, "udt": TEXT_MAP}
     kept = [c for c in decoded.columns if c != "json"]
-    # containers are parsed once a row: _p<n> is the n-th column's value
-    at = {c: f"_p{n}" for n, c in enumerate(classes) if classes[c] in parse}
-    decoded = hold(decoded.select(*kept, *[F.from_json(F.col("clean")[c], parse[classes[c]]).alias(n) for c, n in at.items()]))
-    clustering = [c for c, k in kinds.items() if k == "clustering"]
     keys = [c for c, k in kinds.items() if k in ("partition_key", "clustering")]
     data = [c for c, k in kinds.items() if k in ("regular", "static")]
-    clean, cells, dels = F.col("clean"), F.col("cells"), F.col("deletions")
-    marker = F.coalesce(F.col("marker"), F.struct(F.lit(None).cast("bigint").alias("wt"), F.lit(None).cast("bigint").alias("expiry")))
-    row_wt = F.coalesce(F.col("latest_wt"), F.lit(now * 1_000_000))
-    static_only = F.lit(False)
-    for c in clustering:
-        static_only = static_only | clean[c].isNull()
-    nothing = F.array().cast(f"array<{MUTATION}>")
-    writes_row = F.col("marker").isNotNull() & ~static_only
-    deleted = F.col("row_deleted_at") if "row_deleted_at" in kept else F.lit(None).cast("bigint")
-    plain = (F.size(cells) == 0) & (F.coalesce(F.size(dels), F.lit(0)) < 1) & writes_row & deleted.isNull()
-    per_column = []
-    for c in data:
-        v, cell, d, kind = clean[c], cells[c], dels[c], classes[c]
-        is_static = F.lit(kinds[c] == "static")
-        own = F.map_contains_key(cells, F.lit(c))
-        wt = F.when(own, cell["wt"]).when(v.isNull(), row_wt).otherwise(F.coalesce(marker["wt"], row_wt))
-        expiry = F.when(own, cell["expiry"]).when(v.isNotNull(), marker["expiry"])
-        group = F.array(_m("set_group", c, v, wt, expiry, is_static))
-        apart = own | (F.map_contains_key(clean, F.lit(c)) & ~writes_row)  # not in the marker's insert
-        has_del = d.isNotNull()
-        whole = d["coll_deleted_at"]
+    among = lambda x, names: f"{x} in ({', '.join(map(_text, names))})" if names else "false"
+    no_row = " or ".join(["false", *[f"clean[{_text(c)}] is null" for c, k in kinds.items() if k == "clustering"]])
+    deleted = "row_deleted_at" if "row_deleted_at" in kept else "cast(null as bigint)"
+    rows = add(decoded.select(*kept), {"_static_only": no_row, "_writes_row": f"marker is not null and not ({no_row})", "_row_wt": f"coalesce(latest_wt, {now * 1_000_000})"})
+    # what a column has to say, and its parts, parsed once a row
+    facts, parsed = {}, {}
+    for n, c in enumerate(data):
+        q = _text(c)
+        own = f"map_contains_key(cells, {q})"
+        facts[f"_c{n}"] = f"""named_struct('v', clean[{q}], 'cell', cells[{q}], 'd', deletions[{q}], 'apart', {own} or (map_contains_key(clean, {q}) and not _writes_row),
+          'wt', case when {own} then cells[{q}].wt when clean[{q}] is null then _row_wt else coalesce(marker.wt, _row_wt) end,
+          'expiry', case when {own} then cells[{q}].expiry when clean[{q}] is not null then marker.expiry end)"""
+        if classes[c] in parse:
+            parsed[f"_p{n}"] = f"from_json(clean[{q}], '{parse[classes[c]]}')"
+    rows = add(rows, facts | parsed)
+    grouped_parts = {}
+    for n, c in enumerate(data):
+        cell = f"_c{n}.cell"
+        if classes[c] == "list":
+            size = f"greatest(size(_p{n}), 1)"
+            grouped_parts[f"_b{n}"] = RUNS.format(v=f"_p{n}", e=f"slice(coalesce({cell}.elem_expiry, transform(sequence(1, {size}), _ -> _c{n}.expiry)), 1, {size})")
+        elif classes[c] in ("set", "map"):
+            grouped_parts[f"_b{n}"] = BUCKETS.format(cell=cell, z=ZIPPED.format(cell=cell, items=f"map_keys(_p{n})" if classes[c] == "map" else f"_p{n}"))
+    rows = add(rows, grouped_parts) if grouped_parts else rows
+    extra = []
+    for n, c in enumerate(data):
+        static, name, kind = str(kinds[c] == "static").lower(), _text(c), classes[c]
         if kind == "list":
-            n = F.size(at[c])
-            exps = F.when(cell["elem_expiry"].isNotNull(), cell["elem_expiry"]).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda _: expiry))
-            runs = list_runs(F.col(at[c]), F.slice(exps, 1, F.greatest(n, F.lit(1))))
-            # fresh times, one per run, the same again when a batch is replayed
-            each = F.transform(runs, lambda r, i: F.struct(
-                F.when(i == 0, "list_set").otherwise("list_append").alias("op"), F.lit(c).alias("column"), i.cast("string").alias("path"), F.to_json(r["items"]).alias("value"),
-                (F.lit(now * 1_000_000) + i).cast("bigint").alias("wt"), r["expiry"].alias("expiry"), is_static.alias("is_static")))
-            out = F.when(v.isNull(), F.when(has_del, F.array(_m("list_clear", c, None, F.lit(now * 1_000_000), F.lit(None), is_static))).otherwise(nothing)).otherwise(each)
+            out = _of_list(n, name, static, now)
         elif kind in ("set", "map"):
-            items = F.map_keys(at[c]) if kind == "map" else F.col(at[c])
-            # a map's keys go with their values
-            items_json = (lambda keys, m=at[c]: F.to_json(F.map_filter(F.col(m), lambda k, _: F.array_contains(keys, k)))) if kind == "map" else F.to_json
-            buckets = element_buckets(items, cell["elem_wt"], F.coalesce(cell["elem_expiry"], F.transform(cell["elem_wt"], lambda _: cell["expiry"])))
-            split = cell["mixed"] & (F.size(items) == F.size(cell["elem_wt"]))
-            implied = whole == buckets[0]["wt"] - 1
-            adds = F.transform(buckets, lambda b, i: F.struct(
-                F.when((i == 0) & F.coalesce(implied, F.lit(False)), "set_group").otherwise("add").alias("op"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("path"), items_json(b["items"]).alias("value"),
-                b["wt"].alias("wt"), b["expiry"].alias("expiry"), is_static.alias("is_static")))
-            clear = F.when(whole.isNotNull() & ~F.coalesce(implied, F.lit(False)) & split, F.array(_m("set_group", c, None, whole + 1, F.lit(None), is_static))).otherwise(nothing)
-            uniform = F.when(apart, group).otherwise(nothing)
-            removed = F.transform(F.coalesce(key_removals(d["keys"], whole), F.array().cast("array<struct<ts:bigint,keys:array<string>>>")), lambda r: F.struct(
-                F.lit("remove").alias("op"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("path"), removed_keys_json(r["keys"]).alias("value"), r["ts"].alias("wt"), F.lit(None).cast("bigint").alias("expiry"), is_static.alias("is_static")))
-            gone = F.when(v.isNull() & whole.isNotNull(), F.array(_m("set_group", c, None, whole + 1, F.lit(None), is_static))).otherwise(nothing)
-            out = F.concat(F.when(v.isNull(), gone).when(split, F.concat(clear, adds)).otherwise(uniform), removed)
-        elif kind == "udt":
-            fields = F.col(at[c])
-            stamp = lambda k: F.struct(cell["field_wt"][k].alias("wt"), F.coalesce(cell["field_expiry"][k], F.lit(None).cast("bigint")).alias("expiry"))
-            oldest = F.array_min(F.transform(F.map_keys(cell["field_wt"]), stamp))
-            implied = F.coalesce(whole == oldest["wt"] - 1, F.lit(False))
-            in_base = F.map_filter(fields, lambda k, _: ~F.map_contains_key(cell["field_wt"], k) | stamp(k).eqNullSafe(oldest))
-            rest = F.map_filter(fields, lambda k, _: F.map_contains_key(cell["field_wt"], k) & (~implied | ~stamp(k).eqNullSafe(oldest)))
-            single = F.transform(F.map_entries(rest), lambda e: F.struct(
-                F.lit("field").alias("op"), F.lit(c).alias("column"), e["key"].alias("path"), e["value"].alias("value"), cell["field_wt"][e["key"]].alias("wt"), cell["field_expiry"][e["key"]].alias("expiry"), is_static.alias("is_static")))
-            base = F.when(implied, F.array(_m("set_group", c, F.to_json(in_base), oldest["wt"], oldest["expiry"], is_static))).otherwise(nothing)
-            nulls = F.transform(F.filter(F.coalesce(d["keys"], F.array().cast("array<struct<key:string,ts:bigint>>")), lambda k: k["ts"] > F.coalesce(whole, F.lit(-(2**62)))), lambda k: F.struct(
-                F.lit("field").alias("op"), F.lit(c).alias("column"), k["key"].alias("path"), F.lit(None).cast("string").alias("value"), k["ts"].alias("wt"), F.lit(None).cast("bigint").alias("expiry"), is_static.alias("is_static")))
-            out = F.concat(F.when(cell["mixed"], F.concat(base, single)).when(apart & v.isNotNull(), group).otherwise(nothing), nulls)
+            out = _of_collection(n, name, static, kind == "map")
         else:
-            dead = F.array(_m("set_group", c, None, d["deleted_at"], F.lit(None), is_static))
-            out = F.when(v.isNull() & has_del, dead).when(apart, group).otherwise(nothing)
-        if kinds[c] != "static":
-            out = F.when(static_only, nothing).otherwise(out)
-        per_column.append(F.coalesce(out, nothing))
-    scalars = [c for c in data if classes[c] in ("simple", "frozen")]
-    in_row = lambda k, v: v.isNotNull() | (k.isin(scalars) & ~F.coalesce(F.map_contains_key(dels, k), F.lit(False)))
-    shared = F.map_filter(clean, lambda k, v: k.isin(keys) | (k.isin(data) & in_row(k, v) & ~F.map_contains_key(cells, k) & ~k.isin([c for c in data if classes[c] == "list"])))
-    extra = F.flatten(F.array(*per_column)) if per_column else nothing
-    rows = hold(decoded.select(*kept, F.when(plain & ~F.lit("list" in classes.values()), nothing).otherwise(extra).alias("_extra")))
-    full = writes_row & deleted.isNull() & (F.size("_extra") == 0)
-    first = F.when(full, F.array(_m("full_insert", None, F.to_json(clean), marker["wt"], marker["expiry"]))).when(writes_row, F.array(_m("baseline", None, F.to_json(shared), marker["wt"], marker["expiry"]))).otherwise(nothing)
-    last = F.when(deleted.isNotNull(), F.array(_m("row_delete", None, None, deleted, F.lit(None)))).otherwise(nothing)
-    rows = rows.withColumn("_all", F.concat(first, F.col("_extra"), last))
-    order = F.create_map(*[F.lit(x) for kv in ORDER.items() for x in kv])
-    out = rows.select(*[c for c in kept if c not in ("clean", "marker", "cells", "all_cells", "deletions", "row_deleted_at", "latest_wt")], F.explode("_all").alias("m"))
-    return out.select(*[c for c in out.columns if c not in ("m",)], "m.*", order[F.col("m.op")].alias("seq"))
+            out = _of_fields(n, name, static) if kind == "udt" else _of_value(n, name, static)
+        extra.append(f"coalesce({out if kinds[c] == 'static' else f'if(_static_only, {NONE}, {out})'}, {NONE})")
+    plain = f"size(cells) = 0 and coalesce(size(deletions), 0) < 1 and _writes_row and {deleted} is null and {str('list' not in classes.values()).lower()}"
+    scalars, lists = ([c for c in data if classes[c] in of] for of in (("simple", "frozen"), ("list",)))
+    every = f"concat({', '.join(extra)})" if extra else NONE
+    rows = add(rows, {"_extra": f"if({plain}, {NONE}, {every})"}, (*facts, *parsed, *grouped_parts))
+    in_row = f"(v is not null or {among('k', scalars)} and not coalesce(map_contains_key(deletions, k), false))"
+    shared = f"map_filter(clean, (k, v) -> {among('k', keys)} or ({among('k', data)} and {in_row} and not map_contains_key(cells, k) and not {among('k', lists)}))"
+    row_write = lambda op, text: f"array({_one(repr(op), 'null', f'to_json({text})', 'marker.wt', 'marker.expiry', 'false')})"
+    first = f"case when _writes_row and {deleted} is null and size(_extra) = 0 then {row_write('full_insert', 'clean')} when _writes_row then {row_write('baseline', shared)} else {NONE} end"
+    last = f"if({deleted} is not null, array({_one(repr('row_delete'), 'null', 'null', deleted, 'null', 'false')}), {NONE})"
+    left = [c for c in kept if c not in ("clean", "marker", "cells", "all_cells", "deletions", "row_deleted_at", "latest_wt")]
+    seq = "map(" + ", ".join(f"'{op}', {n}" for op, n in ORDER.items()) + ")"
+    out = rows.select(*left, F.explode(F.expr(f"concat({first}, _extra, {last})")).alias("m"))
+    return out.select(*left, "m.*", F.expr(f"{seq}[m.op]").alias("seq"))
 
 
 def grouped(mutations: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.scan import scan
+
 from driftline.functions.cells import duration_seconds
 
 
@@ -90,21 +92,53 @@ def job_report(jobs: DataFrame, units: DataFrame) -> DataFrame:
 def recent_speed(samples: DataFrame, by: str, t: str = "t", copied: str = "copied") -> DataFrame:
     """Rows a second since the sample before; for the first, since the start
     (``started``)."""
-    w = Window.partitionBy(by).orderBy(t)
-    rows, secs = F.col(copied) - F.lag(copied).over(w), F.col(t) - F.lag(t).over(w)
+    each = scan(samples, [by], t, lags={"_copied": F.col(copied), "_t": F.col(t)}, span=SPAN)
+    rows, secs = F.col(copied) - F.col("_copied"), F.col(t) - F.col("_t")
     overall = F.when(F.col(t) > F.col("started"), F.col(copied) / (F.col(t) - F.col("started")))
-    return samples.withColumn("speed", F.coalesce(F.when(secs > 0, rows / secs), overall))
+    return each.withColumn("speed", F.coalesce(F.when(secs > 0, rows / secs), overall)).drop("_copied", "_t")
+
+
+def speed_sum(samples: DataFrame, by: str, t: str = "t", copied: str = "copied", least: int = 0) -> DataFrame:
+    """One row: the sum of the whole rows a second since the sample before that
+    are above ``least``."""
+    each = scan(samples, [by], t, lags={"_copied": F.col(copied), "_t": F.col(t)}, span=SPAN)
+    speed = F.when(F.col(t) > F.col("_t"), F.floor((F.col(copied) - F.col("_copied")) / (F.col(t) - F.col("_t"))))
+    return each.agg(F.coalesce(F.sum(F.when(speed > least, speed - least)), F.lit(0)).cast("long").alias("speed"))
 
 
 def sticky_last(samples: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """The last value that was not zero, up to each sample."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return samples.withColumn("sticky", F.last(F.nullif(F.col(value), F.lit(0)), ignorenulls=True).over(w))
+    return scan(samples, [by], order, lasts={"sticky": F.nullif(F.col(value), F.lit(0))}, span=SPAN)
 
 
 def session_delta(samples: DataFrame, session: list[str], order: str, copied: str = "copied") -> DataFrame:
-    w = Window.partitionBy(*session).orderBy(order)
-    return samples.withColumn("delta", F.col(copied) - F.first(copied).over(w))
+    """What was copied since the session's first sample."""
+    each = scan(samples, session, order, firsts={"_first": F.col(copied)}, span=SPAN)
+    return each.withColumn("delta", F.col(copied) - F.col("_first")).drop("_first")
+
+
+#: Samples' order values (hours or seconds) in one span.
+SPAN = 100_000
+
+
+def valid_units(units: DataFrame) -> DataFrame:
+    """Units that exist and can be worked on."""
+    return units.where(F.col("status").isin("OK", "Failed"))
+
+
+def processed_totals(units: DataFrame) -> DataFrame:
+    """Per job: rows inserted, and rows that failed units have not copied."""
+    return units.groupBy("job").agg(F.sum("copied").alias("inserted"), F.sum(F.when(F.col("status") == "Failed", F.col("total") - F.col("copied")).otherwise(0)).alias("failed"))
+
+
+def total_rows(units: DataFrame) -> DataFrame:
+    """``total_rows`` of each unit: the estimate, or what was copied if more."""
+    return units.withColumn("total_rows", F.greatest("copied", "total"))
+
+
+def max_lag(last: DataFrame, now: int, low: int = 30, t: str = "last") -> DataFrame:
+    """One row: the largest lag of any range, and whether it is low."""
+    return last.agg(F.max(F.lit(now) - F.col(t)).alias("lag")).withColumn("low", F.col("lag") < low)
 
 
 def cutover_ready(units: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import cells as C
 from driftline.operators import catalog, counters, merge, progress, ranges, recon
+from driftline.operators.scan import scan
 from driftline.plans import fixtures as X
 from driftline.sources import tables as T
 from driftline.sources.scratch import shared_folder
@@ -207,6 +208,22 @@ def _(s, d):
     return recon.recon_collections(sets(e), sets(e.where("event_id % 5 <> 0")), ["pk"], "l")
 
 
+@query("recon_elements", """WITH a AS (SELECT user_id AS pk, list(DISTINCT event_type) AS l FROM events WHERE event_id % 3 <> 1 GROUP BY 1), b AS (SELECT user_id AS pk, list(DISTINCT event_type) AS l FROM events WHERE event_id % 5 <> 0 AND user_id % 7 <> 3 GROUP BY 1),
+  x AS (SELECT coalesce(a.pk, b.pk) AS pk, CASE WHEN b.pk IS NULL THEN 'source' WHEN a.pk IS NULL THEN 'target' ELSE 'both' END AS side, list_sort(list_filter(coalesce(a.l, []), lambda v: NOT list_contains(coalesce(b.l, []), v))) AS only_source,
+    list_sort(list_filter(coalesce(b.l, []), lambda v: NOT list_contains(coalesce(a.l, []), v))) AS only_target FROM a FULL JOIN b ON a.pk = b.pk)
+  SELECT * FROM x WHERE side <> 'both' OR len(only_source) > 0 OR len(only_target) > 0""")
+def _(s, d):
+    e = X.table(s, d, "events").withColumnRenamed("user_id", "pk")
+    sets = lambda x: x.groupBy("pk").agg(F.collect_set("event_type").alias("l"))
+    return recon.recon_elements(sets(e.where("event_id % 3 <> 1")), sets(e.where("event_id % 5 <> 0 and pk % 7 <> 3")), ["pk"], "l")
+
+
+@query("recon_tree", RECON + """ SELECT coalesce(o.o_orderkey, t.o_orderkey) AS o_orderkey, CASE WHEN t.o_orderkey IS NULL THEN 'missing' WHEN o.o_orderkey IS NULL THEN 'extra' ELSE 'different' END AS state
+  FROM orders o FULL JOIN tgt t ON o.o_orderkey = t.o_orderkey WHERE t.o_orderkey IS NULL OR o.o_orderkey IS NULL OR o.o_totalprice IS DISTINCT FROM t.o_totalprice""")
+def _(s, d):
+    return recon.recon_tree(*X.copies(s, d), ["o_orderkey"], ["o_totalprice", "o_custkey", "o_orderstatus"])
+
+
 @query("recon_static", """WITH a AS (SELECT user_id AS pk, max(event_id) AS v FROM events GROUP BY 1), b AS (SELECT user_id AS pk, max(event_id) AS v FROM events WHERE event_id % 4 <> 0 GROUP BY 1)
   SELECT coalesce(a.pk, b.pk) AS pk, a.v AS ours, b.v AS theirs FROM a FULL JOIN b ON a.pk = b.pk WHERE a.v IS DISTINCT FROM b.v""")
 def _(s, d):
@@ -255,6 +272,28 @@ def _(s, d):
     return first.withColumn("page", F.lit(0)).union(second.withColumn("page", F.lit(1))).select("page", "part", "seq", "t")
 
 
+@query("page_index", "SELECT page, count(*) AS rows, min(l_orderkey) AS first_order, max(l_orderkey) AS last_order FROM (SELECT l_orderkey, (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) // 500 AS page FROM lineitem) GROUP BY page")
+def _(s, d):
+    pages = ranges.paged(X.table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 500)
+    return pages.groupBy("page").agg(F.count("*").alias("rows"), F.min("l_orderkey").alias("first_order"), F.max("l_orderkey").alias("last_order"))
+
+
+@query("balanced_ranges", """WITH r AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_orderkey END AS k, l_orderkey, l_linenumber FROM lineitem), o AS (SELECT k, l_orderkey, l_linenumber, (row_number() OVER (ORDER BY k, l_orderkey, l_linenumber) - 1) // 1000 AS range FROM r)
+SELECT range, min(k) AS first_key, max(k) AS last_key, count(*) AS rows FROM o GROUP BY range""")
+def _(s, d):
+    # one key holds half of all rows
+    rows = X.table(s, d, "lineitem").selectExpr("if(l_orderkey % 2 = 0, 0L, l_orderkey) as k", "l_orderkey", "l_linenumber")
+    return ranges.balanced(rows, ["k", "l_orderkey", "l_linenumber"], 1000).select("range", F.col("first.k").alias("first_key"), F.col("last.k").alias("last_key"), "rows")
+
+
+@query("prefix_scan", """SELECT event_id, CAST(sum(user_id) OVER w AS BIGINT) AS running, last_value(CASE WHEN event_id % 5 = 0 THEN user_id END IGNORE NULLS) OVER w AS last_fifth, lag(user_id) OVER w AS user_before,
+  first_value(user_id) OVER w AS first_user FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def _(s, d):
+    rows, user = X.table(s, d, "events"), F.col("user_id")
+    out = scan(rows, ["event_type"], "event_id", sums={"running": user}, lasts={"last_fifth": F.when(F.col("event_id") % 5 == 0, user)}, lags={"user_before": user}, firsts={"first_user": user}, span=1_000)
+    return out.select("event_id", "running", "last_fifth", "user_before", "first_user")
+
+
 RG = """WITH st AS (SELECT DISTINCT user_id AS range_id, user_id % 3 = 0 AS done FROM events WHERE user_id % 4 <> 0), sr AS (SELECT DISTINCT user_id AS range_id FROM events WHERE user_id % 7 <> 0),
  al AS (SELECT * FROM st UNION ALL SELECT range_id, FALSE FROM sr WHERE range_id NOT IN (SELECT range_id FROM st))"""
 
@@ -313,8 +352,7 @@ def _(s, d):
 
 @query("max_lag", PG + f" SELECT max({NOW} - last) AS lag, max({NOW} - last) < 30 AS low FROM (SELECT range_id, max(t) AS last FROM pages_ GROUP BY 1)")
 def _(s, d):
-    last = X.pages(s, d).groupBy("range_id").agg(F.max("t").alias("last"))
-    return last.agg(F.max(NOW - F.col("last")).alias("lag")).withColumn("low", F.col("lag") < 30)
+    return progress.max_lag(X.pages(s, d).groupBy("range_id").agg(F.max("t").alias("last")), NOW)
 
 
 @query("progress_percent", PG + ", t AS (SELECT range_id, sum(CASE WHEN done THEN 1 ELSE 0 END) AS w, CASE WHEN range_id % 4 = 1 THEN 0 WHEN range_id % 4 = 2 THEN count(*) // 2 ELSE count(*) END AS n FROM pages_ GROUP BY 1) SELECT range_id, CASE WHEN n > 0 THEN least(99.9, w / n * 100) END AS percent, n > 0 AND w > n AS stale FROM t")
@@ -341,11 +379,7 @@ def _(s, d):
 
 @query("speed_sum", SAMP + ", v AS (SELECT coalesce((copied - lag(copied) OVER w) // (t - lag(t) OVER w), 0) - 1 AS v FROM c WINDOW w AS (PARTITION BY range_id ORDER BY t)) SELECT coalesce(sum(CASE WHEN v > 0 THEN v END), 0)::BIGINT AS speed FROM v")
 def _(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("range_id").orderBy("t")
-    v = _samples(s, d).select((F.coalesce(F.expr("(copied - lag(copied) over (partition by range_id order by t)) div (t - lag(t) over (partition by range_id order by t))"), F.lit(0)) - 1).alias("v"), F.row_number().over(w))
-    return v.agg(F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("v"))), F.lit(0)).alias("speed"))
+    return progress.speed_sum(_samples(s, d), "range_id", least=1)
 
 
 @query("sticky_last_batch", SAMP + " SELECT range_id, t, last_value(nullif(n % 3, 0) IGNORE NULLS) OVER (PARTITION BY range_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS sticky FROM c")
@@ -392,7 +426,7 @@ UN = f"WITH {X.UNITS}"
 
 @query("valid_unit_filter", UN + " SELECT tbl FROM units WHERE status IN ('OK', 'Failed')")
 def _(s, d):
-    return X.units(s, d).where(F.col("status").isin("OK", "Failed")).select("tbl")
+    return progress.valid_units(X.units(s, d)).select("tbl")
 
 
 @query("remaining_work_filter", UN + " SELECT tbl FROM units WHERE status IN ('OK', 'Failed') AND NOT (copy_complete AND NOT online) AND NOT skipped")
@@ -408,12 +442,12 @@ def _(s, d):
 
 @query("processed_totals", UN + " SELECT job, sum(copied)::BIGINT AS inserted, sum(CASE WHEN status = 'Failed' THEN total - copied ELSE 0 END)::BIGINT AS failed FROM units GROUP BY job")
 def _(s, d):
-    return X.units(s, d).groupBy("job").agg(F.sum("copied").alias("inserted"), F.sum(F.expr("case when status = 'Failed' then total - copied else 0 end")).alias("failed"))
+    return progress.processed_totals(X.units(s, d))
 
 
 @query("total_rows", UN + " SELECT tbl, greatest(copied, total) AS total_rows FROM units")
 def _(s, d):
-    return X.units(s, d).select("tbl", F.greatest("copied", "total").alias("total_rows"))
+    return progress.total_rows(X.units(s, d)).select("tbl", "total_rows")
 
 
 @query("cutover_ready", UN + " SELECT job, bool_and(copy_complete OR status = 'NotFound') AS ready FROM units GROUP BY job")

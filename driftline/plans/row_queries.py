@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.operators import apply as A
@@ -246,10 +245,7 @@ def _(s, d):
 
 @query("list_run_split", B + " SELECT pk, ck, CASE WHEN mx % 3 = 0 THEN 2 ELSE 1 END AS runs FROM b")
 def _(s, d):
-    w = Window.partitionBy("pk", "ck").orderBy("i")
-    each = _lists(s, d).select("pk", "ck", F.posexplode("e").alias("i", "x"))
-    new = each.withColumn("new", (~F.lag("x").over(w).eqNullSafe(F.col("x"))) | (F.col("i") == 0))
-    return new.groupBy("pk", "ck").agg(F.count_if("new").cast("int").alias("runs"))
+    return _lists(s, d).select("pk", "ck", F.size(M.list_runs(F.col("items"), F.col("e"))).alias("runs"))
 
 
 ADD = B + ", g AS (SELECT pk, ck, twt, list_sort(list(tag)) AS tags FROM tg GROUP BY 1, 2, 3), n AS (SELECT pk, ck FROM g GROUP BY 1, 2 HAVING count(*) > 1)"
@@ -601,6 +597,24 @@ def _(s, d):
     return feed.log.read().select("pk", "ck", "val", "wt")
 
 
+@query("stream_envelopes", STATE + " SELECT * FROM st")
+def _(s, d):
+    """Envelopes as a stream: decoded, planned and taken apart in each batch,
+    logged, compacted between two runs, and merged."""
+    root, e = _folder(s), _with_row_deletes(s, d)
+    log, keys = R.MutationLog(s, f"{root}/log"), ["pk", "ck"]
+
+    def derive(b):
+        return A.atoms(M.plan(D.decode(b, NOW), KINDS, CLASSES, NOW), keys, CLASSES, ["ck"], ["region"])
+
+    for part in (0, 1):
+        e.where(f"pk % 2 = {part}").write.mode("append").parquet(f"{root}/in")
+        R.replicate(R.tail(s, f"{root}/in", e.schema), log, f"{root}/checkpoint", derive).awaitTermination()
+        if not part:
+            log.rewrite(lambda atoms: A.compact(atoms, ["source", *keys]))
+    return A.state(log.read(), ["source", *keys]).drop("source")
+
+
 @query("scan_tail", WON + " SELECT seq, wt FROM cells")
 def _(s, d):
     return _replicated(s, d).read().select("seq", "wt")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def has_data(read) -> bool:
     counts as data, so that nothing is dropped by mistake."""
     try:
         return not read().limit(1).isEmpty()
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return True
 
 

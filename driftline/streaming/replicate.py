@@ -1,23 +1,32 @@
 """Continuous replication: a snapshot and its tail are one streaming query.
 
-Mutations are appended to a log with one folder per batch; a batch that runs
-again overwrites its own folder, so that a restart never adds a row twice.
-The state of the target is the newest mutation per key over the whole log
-(merge on read); compaction puts that state in the place of the batches so far.
-Nothing is dropped for being late: order does not matter, so no watermark is
-needed.  A batch that cannot be written whole stops the query before the
-position moves, and is taken again by the next run.
+Mutations are kept in a log whose content is stated by versions: a version is a
+small file that names the folders in force, and replaces its predecessor as a
+whole.  A batch writes a folder of its own and then a version that has it; a
+batch that runs again replaces its folder in the next version, so that a
+restart never adds a row twice.  The state of the target is the newest mutation
+per source and key over the log (merge on read); compaction puts that state in
+the place of the batches so far.  What a compaction replaces is deleted by the
+next one, so a reader that began before it can finish.  Nothing is dropped for
+being late: order does not matter, so no watermark is needed.  A batch that
+cannot be written whole stops the query before the position moves, and is taken
+again by the next run.  A batch is derived once: what it holds that cannot be
+written is observed while it is written.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from driftline.operators import merge
+from driftline.operators.progress import cutover_ready
 
 #: What the failure of a rejected batch says.
 REJECTED = "has rows that cannot be written"
@@ -28,69 +37,133 @@ def _files(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _numbered(spark: SparkSession, path: str, prefix: str, whole: bool = True) -> list[int]:
-    """Numbers of the folders or files ``<prefix><number>`` under ``path``; of
-    folders only those that were written to the end, if ``whole``."""
+def _numbered(spark: SparkSession, path: str, prefix: str = "") -> list[int]:
+    """Numbers of the files ``<prefix><number>`` under ``path``."""
     p, files = _files(spark, path)
     if not files.exists(p):
         return []
-    out = []
-    for f in files.listStatus(p):
-        name = f.getPath().getName()
-        if name.startswith(prefix) and name[len(prefix) :].isdigit():
-            done, _ = _files(spark, f"{path}/{name}/_SUCCESS")
-            if not whole or f.isFile() or files.exists(done):
-                out.append(int(name[len(prefix) :]))
-    return sorted(out)
+    names = [f.getPath().getName() for f in files.listStatus(p)]
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
 
 
 class MutationLog:
-    """A folder of mutations: one folder per batch, parted by source, and
-    compacted states, each of all batches up to its number."""
+    """Mutations in a folder: ``data`` has a folder per batch and compacted
+    state, parted by source; ``versions`` says which of them are in force."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def write(self, mutations: DataFrame, batch: int, source=None) -> None:
-        """``source``: the column that names each mutation's table; rows with a
+    def manifest(self, version: int | None = None) -> dict:
+        """A version's content; without a number the newest one's."""
+        numbers = _numbered(self.spark, f"{self.path}/versions", "v") if version is None else [version]
+        if not numbers:
+            return {"version": 0, "upto": None, "base": None, "batches": {}, "schema": None, "retired": []}
+        p, files = _files(self.spark, f"{self.path}/versions/v{numbers[-1]}")
+        stream = files.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _publish(self, change: Callable[[dict], dict]) -> dict:
+        """Put the changed newest version in its place; again, if another
+        writer was first."""
+        while True:
+            now = self.manifest()
+            new = change(now) | {"version": now["version"] + 1}
+            temp, files = _files(self.spark, f"{self.path}/versions/.new-{uuid.uuid4().hex}")
+            final, _ = _files(self.spark, f"{self.path}/versions/v{new['version']}")
+            out = files.create(temp, False)
+            out.write(bytearray(json.dumps(new).encode()))
+            out.close()
+            if not files.exists(final) and files.rename(temp, final):
+                return new
+            files.delete(temp, False)
+
+    def stage(self, mutations: DataFrame, name: str, source=None) -> tuple[str, StructType]:
+        """Write a folder that no version has yet; its name and schema.
+        ``source``: the column that names each mutation's table; rows with a
         null there have a source of their own, which reads as null."""
         named = mutations.withColumn("source", F.lit("main") if source is None else F.col(source).cast("string"))
-        named.write.partitionBy("source").mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        folder = f"at={name}-{uuid.uuid4().hex[:8]}"
+        named.write.partitionBy("source").parquet(f"{self.path}/data/{folder}")
+        return folder, named.schema
+
+    def discard(self, folder: str) -> None:
+        p, files = _files(self.spark, f"{self.path}/data/{folder}")
+        files.delete(p, True)
+
+    def commit(self, batch: int, folder: str, schema: StructType) -> None:
+        """Put a staged folder in force as a batch.  A batch that a compacted
+        state already holds is not taken again."""
+
+        def change(now: dict) -> dict:
+            if now["upto"] is not None and batch <= now["upto"]:
+                return now | {"retired": [*now["retired"], folder]}
+            was = now["batches"].get(str(batch))
+            return now | {"batches": now["batches"] | {str(batch): folder}, "schema": schema.jsonValue(), "retired": [*now["retired"], *([was] if was else [])]}
+
+        self._publish(change)
+
+    def write(self, mutations: DataFrame, batch: int, source=None) -> str:
+        folder, schema = self.stage(mutations, f"batch-{batch}", source)
+        self.commit(batch, folder, schema)
+        return folder
 
     def exists(self) -> bool:
-        return bool(self.batches() or self.compacted())
+        now = self.manifest()
+        return bool(now["batches"] or now["base"])
 
     def batches(self) -> list[int]:
         """Batches that no compacted state has taken in."""
-        upto = self.compacted()
-        return [b for b in _numbered(self.spark, self.path, "batch=") if upto is None or b > upto]
+        return sorted(int(b) for b in self.manifest()["batches"])
 
     def compacted(self) -> int | None:
-        return max(_numbered(self.spark, self.path, "upto="), default=None)
+        return self.manifest()["upto"]
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The log as of a version, the newest if none is given.  It stays
+        readable until the second compaction after it."""
+        return self._read(self.manifest(version))
 
-    def read(self) -> DataFrame:
-        reader, upto = self.spark.read.option("basePath", self.path), self.compacted()
-        parts = [[f"{self.path}/batch={b}" for b in self.batches()], [] if upto is None else [f"{self.path}/upto={upto}"]]
-        batches, base = (reader.parquet(*paths).drop("batch", "upto") if paths else None for paths in parts)
-        return base if batches is None else batches if base is None else base.unionByName(batches)
+    def _read(self, now: dict) -> DataFrame:
+        folders = [*([now["base"]] if now["base"] else []), *now["batches"].values()]
+        if not folders:
+            raise ValueError(f"{self.path} has no batches")
+        return self.folder(folders, StructType.fromJson(now["schema"]))
+
+    def folder(self, folders: list[str], schema: StructType) -> DataFrame:
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/data")
+        return reader.parquet(*[f"{self.path}/data/{f}" for f in folders]).select(*schema.names)
 
     def state(self, keys: list[str], tie: list[str]) -> DataFrame:
-        return merge.newest(self.read(), keys, tie=tie)
+        """The newest mutation per source and key."""
+        return merge.newest(self.read(), ["source", *keys], tie=tie)
+
+    def rewrite(self, merged: Callable[[DataFrame], DataFrame]) -> None:
+        """Put ``merged`` of all batches so far in their place, ``source``
+        included.  Batches that arrive meanwhile stay in force beside it."""
+        now = self.manifest()
+        if not now["batches"]:
+            return
+        upto = max(int(b) for b in now["batches"])
+        folder, schema = self.stage(merged(self._read(now)), f"upto-{upto}", "source")
+        taken = [*([now["base"]] if now["base"] else []), *now["batches"].values()]
+        old = list(now["retired"])
+
+        def change(then: dict) -> dict:
+            left = {b: f for b, f in then["batches"].items() if f not in taken}
+            return then | {"upto": upto, "base": folder, "batches": left, "schema": schema.jsonValue(), "retired": [*[f for f in then["retired"] if f not in old], *taken]}
+
+        self._publish(change)
+        for f in old:  # what the compaction before this one replaced
+            self.discard(f)
 
     def compact(self, keys: list[str], tie: list[str]) -> None:
-        """Put the newest mutation per key in the place of all batches so far.
-        Readers see either these or the state: a state counts once it is whole,
-        and only then its batches go."""
-        batches, was = self.batches(), self.compacted()
-        if not batches:
-            return
-        log = self.read()
+        """Put the newest mutation per source and key in the place of all
+        batches so far."""
         order = F.struct("wt", "del", *tie)
-        won = log.groupBy(*keys).agg(F.max_by(F.struct(*log.columns), order).alias("w")).select("w.*")
-        won.write.partitionBy("source").mode("overwrite").parquet(f"{self.path}/upto={batches[-1]}")
-        for name in [f"batch={b}" for b in batches] + ([] if was is None else [f"upto={was}"]):
-            p, files = _files(self.spark, f"{self.path}/{name}")
-            files.delete(p, True)
+        self.rewrite(lambda log: log.groupBy("source", *keys).agg(F.max_by(F.struct(*[c for c in log.columns if c not in ("source", *keys)]), order).alias("w")).select("source", *keys, "w.*"))
 
 
 @dataclass(frozen=True)
@@ -114,8 +187,9 @@ def read_counters(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
 
 
 def position(spark: SparkSession, checkpoint: str) -> int:
-    """How many batches a query has finished."""
-    return len(_numbered(spark, f"{checkpoint}/commits", "", whole=False))
+    """How many batches a query has finished: one more than the last one's
+    number, because old commits are purged."""
+    return max(_numbered(spark, f"{checkpoint}/commits"), default=-1) + 1
 
 
 def tail(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -137,19 +211,26 @@ def replicate(stream: DataFrame, log: MutationLog, checkpoint: str, derive: Call
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if reject and not batch.where(reject).isEmpty():
+        seen = Observation()
+        if reject:
+            batch = batch.observe(seen, F.count_if(F.expr(reject)).alias("bad"))
+        folder, schema = log.stage(derive(batch), f"batch-{batch_id}", split_by)
+        if reject and seen.get["bad"]:
+            log.discard(folder)
             raise ValueError(f"batch {batch_id} {REJECTED}")
-        mutations = derive(batch)
-        log.write(mutations, batch_id, split_by)
-        if counters:
-            counters.add(mutations, batch_id)
+        log.commit(batch_id, folder, schema)
+        if counters:  # from what was written: the batch is not derived again
+            counters.add(log.folder([folder], schema), batch_id)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(processingTime=forever_every) if forever_every else writer.trigger(availableNow=True)).start()
 
 
-def cut_over(query, ready: bool) -> str:
-    """Drain a running query and stop it, if the job is ready; else leave it."""
+def cut_over(query, ready: bool | DataFrame, job=None) -> str:
+    """Drain a running query and stop it, if the job is ready; else leave it.
+    ``ready`` may be the units of jobs, of which ``job`` is asked for."""
+    if isinstance(ready, DataFrame):
+        ready = not cutover_ready(ready).where((F.col("job") == F.lit(job)) & F.col("ready")).isEmpty()
     if not ready:
         return "Pending"
     query.processAllAvailable()
