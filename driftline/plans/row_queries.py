@@ -15,6 +15,7 @@ from driftline.plans import fixtures as X
 from driftline.plans.cell_queries import WON
 from driftline.sources import tables as T
 from driftline.sources.scratch import shared_folder
+from driftline.streaming import keyed as Y
 from driftline.streaming import replicate as R
 
 NOW = X.NOW
@@ -615,6 +616,20 @@ def _(s, d):
     return A.state(log.read(), ["source", *keys]).drop("source")
 
 
+@query("stream_keyed_state", STATE + ' SELECT pk, ck, "column", path, value, wt FROM st WHERE NOT del AND expiry IS NULL')
+def _(s, d):
+    """The same envelopes with their state kept in the stream.  Timers take
+    what has expired by now, which all cells with an expiry have.  The second
+    run restores the state and brings statics that are older."""
+    root, e, keys = _folder(s), _with_row_deletes(s, d), ["pk", "ck"]
+    for part in (1, 0):
+        e.where(f"pmod(xxhash64(ck), 2) = {part}").write.mode("append").parquet(f"{root}/in")
+        stream = R.tail(s, f"{root}/in", e.schema)
+        atoms = A.atoms(M.plan(D.decode(stream, NOW), KINDS, CLASSES, NOW), keys, CLASSES, ["ck"], ["region"])
+        Y.keep(Y.changes(atoms, keys), f"{root}/changes", f"{root}/checkpoint").awaitTermination()
+    return Y.target(s, f"{root}/changes", keys).select(*keys, "column", "path", "value", "wt")
+
+
 @query("scan_tail", WON + " SELECT seq, wt FROM cells")
 def _(s, d):
     return _replicated(s, d).read().select("seq", "wt")
