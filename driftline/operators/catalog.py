@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.cells import normalize_type
+from driftline.operators.graph import dependency_order
 from driftline.sources.scratch import stage
 
 #: The system's own keyspaces, without case.
@@ -159,14 +158,5 @@ def reachable(edges: DataFrame) -> DataFrame:
 
 def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level): a node's level is one above the highest it depends on;
-    nodes on cycles, or that need such nodes, come last with a null level."""
-    placed = nodes.select("node").join(edges.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.lit(0).alias("level"))
-    n = placed.count()
-    for level in itertools.count(1):  # a round per level, and one that places no node
-        waiting = edges.join(placed.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("src").alias("node"))
-        ready = nodes.join(placed, "node", "left_anti").join(waiting, "node", "left_anti")
-        placed = stage(placed.union(ready.select("node", F.lit(level))), "levels")
-        if (m := placed.count()) == n:
-            break
-        n = m
-    return nodes.select("node").join(placed, "node", "left")
+    nodes on cycles, or that need such nodes, have a null level."""
+    return dependency_order(edges, nodes).select("node", "level")

@@ -208,3 +208,11 @@ def decode(envelopes: DataFrame, now: int, json: str = "json") -> DataFrame:
     cell = "named_struct('wt', x.c.w.wt, 'expiry', x.expiry, 'mixed', x.mixed, 'elem_wt', if(x.mixed, x.c.w.elem_wt, null), 'elem_expiry', if(x.mixed, x.c.elem_e, null), 'field_wt', if(x.mixed, x.c.w.field_wt, null), 'field_expiry', if(x.mixed, x.c.field_e, null))"
     rows = add(rows, {"all_cells": f"transform_values(_live, (_, x) -> {cell})"}, ("_live",))
     return add(rows, {"cells": "map_filter(all_cells, (_, c) -> marker is null or c.mixed or not (c.wt <=> marker.wt and c.expiry <=> marker.expiry))"})
+
+
+def cell_metadata(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, col, value, wt: a row for each of ``columns`` that a decoded
+    row holds, with its cell's writetime (null where none is known)."""
+    long = rows.select(*keys, "all_cells", F.explode("clean").alias("col", "value")).where(F.col("col").isin(columns))
+    own = F.col("all_cells")[F.col("col")]
+    return long.select(*keys, "col", "value", own["wt"].alias("wt"))

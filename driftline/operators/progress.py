@@ -126,6 +126,14 @@ def valid_units(units: DataFrame) -> DataFrame:
     return units.where(F.col("status").isin("OK", "Failed"))
 
 
+def units_of_jobs(units: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``units`` with ``kept``: whether the unit's job is in ``jobs``.  One
+    join of the distinct jobs marks both kinds; a null job is never kept."""
+    known = jobs.select(F.col("job").alias("_job")).distinct()
+    marked = units.join(known, F.col("job") == F.col("_job"), "left")
+    return marked.withColumn("kept", F.col("_job").isNotNull()).drop("_job")
+
+
 def processed_totals(units: DataFrame) -> DataFrame:
     """Per job: rows inserted, and rows that failed units have not copied."""
     return units.groupBy("job").agg(F.sum("copied").alias("inserted"), F.sum(F.when(F.col("status") == "Failed", F.col("total") - F.col("copied")).otherwise(0)).alias("failed"))

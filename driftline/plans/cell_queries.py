@@ -482,7 +482,7 @@ def _(s, d):
 @query("semi_job_units", UN + ", j AS (SELECT n_nationkey AS job FROM nation WHERE n_regionkey < 3) SELECT tbl, job IN (SELECT job FROM j) AS kept FROM units")
 def _(s, d):
     u, j = X.units(s, d), X.table(s, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("job"))
-    return u.join(j, "job", "left_semi").select("tbl", F.lit(True).alias("kept")).union(u.join(j, "job", "left_anti").select("tbl", F.lit(False)))
+    return progress.units_of_jobs(u, j).select("tbl", "kept")
 
 
 @query("eta_seconds", UN + " SELECT tbl, CASE WHEN total - copied > 0 AND copied > 0 THEN (total - copied) / CAST(copied AS DOUBLE) END AS eta FROM units")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftline.operators import apply as A
 from driftline.operators import catalog as K
 from driftline.operators import decode as D
+from driftline.operators import graph as G
 from driftline.operators import mutations as M
 from driftline.plans import fixtures as X
 from driftline.plans.cell_queries import WON
@@ -153,8 +154,7 @@ def _(s, d):
 
 @query("join_cell_metadata", B + " SELECT pk, ck, 'val' AS col, hi AS wt FROM b UNION ALL SELECT pk, ck, 'tags', hi FROM b UNION ALL SELECT pk, ck, 'props', hi FROM b")
 def _(s, d):
-    long = decoded(s, d).select("pk", "ck", "all_cells", F.explode("clean").alias("col", "value")).where("col in ('val', 'tags', 'props')")
-    return long.select("pk", "ck", "col", F.expr("all_cells[col].wt").alias("wt"))
+    return D.cell_metadata(decoded(s, d), ["pk", "ck"], ["val", "tags", "props"]).select("pk", "ck", "col", "wt")
 
 
 def _static_envelopes(s, d):
@@ -523,6 +523,23 @@ def _(s, d):
     return K.dependency_levels(e, e.selectExpr("src as node").union(e.selectExpr("dst")).distinct())
 
 
+# Parts that need a third of their number, and some of those that need theirs:
+# from 7 in every 100 on, a part and the two above it need each other in turn.
+KNOTS = EDGES + " UNION ALL SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_partkey % 100 IN (7, 8) UNION ALL SELECT p_partkey AS src, p_partkey - 2 AS dst FROM part WHERE p_partkey % 100 = 9"
+
+
+@query("dependency_cycles", f"""WITH RECURSIVE e AS ({KNOTS}), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+  n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),
+  bad AS (SELECT node FROM c UNION SELECT r.src FROM r JOIN c ON r.dst = c.node),
+  p(node, len) AS (SELECT node, 0 FROM n UNION SELECT e.src, p.len + 1 FROM p JOIN e ON e.dst = p.node AND e.src NOT IN (SELECT node FROM bad))
+  SELECT n.node, CASE WHEN bad.node IS NULL THEN (SELECT max(len) FROM p WHERE p.node = n.node) END AS level, coalesce(component, n.node) AS component, component IS NOT NULL AS on_cycle
+  FROM n LEFT JOIN c USING (node) LEFT JOIN bad USING (node)""")
+def _(s, d):
+    p = X.table(s, d, "part")
+    e = _edges(s, d).union(p.where("p_partkey % 100 in (7, 8)").selectExpr("p_partkey", "p_partkey + 1")).union(p.where("p_partkey % 100 = 9").selectExpr("p_partkey", "p_partkey - 2"))
+    return G.dependency_order(e, G.ends(e))
+
+
 # Sinks and streams: each runs to completion and returns what it has written.
 def _folder(s) -> str:
     return f"{shared_folder(s)}/driftline/stream-{uuid.uuid4().hex[:12]}"

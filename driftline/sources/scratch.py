@@ -19,12 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back, which cuts its lineage; the
-    files go when the driver's JVM ends."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path there; its files go when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/driftline/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back, which cuts its lineage."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Add ``df`` to the Parquet files of a path from ``new_path``."""
+    df.write.mode("append").parquet(path)

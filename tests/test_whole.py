@@ -1,10 +1,13 @@
 """Queries and operators do the whole job: cases that a cut would lose."""
 
+import random
+
 import pytest
 from pyspark.errors import StreamingQueryException
 
 from driftline.operators import catalog as K
 from driftline.operators import decode as D
+from driftline.operators import graph as G
 from driftline.operators import mutations as M
 from driftline.operators import ranges, recon
 from driftline.plans import registry
@@ -36,6 +39,40 @@ def test_deep_chains_keep_their_levels(spark):
     assert got == {n: n for n in range(36)} | {100: None, 101: None, 102: None}
 
 
+def test_components_of_random_graphs_equal_plain_search(spark):
+    dice = random.Random(5)
+    pairs = {(dice.randrange(40), dice.randrange(40)) for _ in range(36)}  # sparse, then dense
+    pairs |= {(40 + dice.randrange(40), 40 + dice.randrange(40)) for _ in range(60)}
+    nodes = range(84)  # four of them without edges
+    to = {n: {b for a, b in pairs if a == n} for n in nodes}
+    reach = {n: set(to[n]) for n in nodes}
+    for _ in nodes:
+        reach = {n: reach[n].union(*(reach[m] for m in reach[n])) for n in nodes}
+    cyclic = {n for n in nodes if n in reach[n]}
+    height = lambda n: 1 + max(map(height, to[n])) if to[n] else 0
+    want = {n: (None if n in cyclic or reach[n] & cyclic else height(n), min({n} | {m for m in reach[n] if n in reach[m]}), n in cyclic) for n in nodes}
+    edges = spark.createDataFrame([*pairs, *list(pairs)[:5], (None, 3), (4, None)], "src long, dst long")
+    got = G.dependency_order(edges, spark.range(84).toDF("node")).collect()
+    assert {r["node"]: (r["level"], r["component"], r["on_cycle"]) for r in got} == want and len(got) == 84
+
+
+def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = G._needs
+    monkeypatch.setattr(G, "_needs", lambda e: rounds.append(1) or real(e))
+    edges = spark.range(1, 1001).selectExpr("id as src", "id - 1 as dst")
+    ring = spark.range(2000, 2100).selectExpr("id as src", "if(id = 2099, 2000, id + 1) as dst")
+    both = edges.union(ring).union(spark.sql("select 5000L, 2000L"))
+    got = {r["node"]: (r["level"], r["component"]) for r in G.dependency_order(both, G.ends(both)).collect()}
+    assert got == {n: (n, n) for n in range(1001)} | {n: (None, 2000) for n in range(2000, 2100)} | {5000: (None, 5000)}
+    assert len(rounds) < 40
+
+
+def test_no_edges_place_all_nodes(spark):
+    got = G.dependency_order(spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([("a",), ("a",), ("b",)], "node string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 0, "a", False), ("b", 0, "b", False)]
+
+
 def test_null_split_values_stay_in_the_log(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, None), (5, "None")], "seq long, kind string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
