@@ -8,11 +8,16 @@ its level falls there, ranked to a dense index.  The index leads to two
 compact arrays, fingerprints and counts (one byte each up to the threshold).
 Documents do not join the line table: their distinct hashes are dealt to the
 shards, where each probes the arrays; what comes back is the set of frequent
-hashes of each document.
+hashes of each document.  A Bloom filter of the texts that have any tells most
+other documents apart, whose texts are then not shuffled.
 
 Scale: shards hold at most about ``per_shard`` hashes.  A shard whose probes
 pass ``per_probe`` (a line that is in a third of all documents) is split by
-document, and its arrays, which are small, are copied to each part.
+document, and its arrays, which are small, are copied to each part.  The filter
+takes 16 bits a text, between 2**16 and 2**27 (16 MB) in all: it is made by
+partial aggregates and is the only thing that passes through the driver.
+Beyond 8 million texts with frequent lines it lets more and more others pass,
+which costs their shuffle and changes no result.
 
 Defined results: a null or empty text is one empty line; empty keys are never
 dropped; every row counts as a document, repeated rows too; columns of the
@@ -32,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, ascii_lower, save
 
 LEVELS, GAMMA = 24, 2.0
+#: Probes of the Bloom filter, and the least and most bits it has.
+BLOOM_PROBES, BLOOM_LEAST, BLOOM_MOST = 4, 1 << 16, 1 << 27
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -141,6 +148,44 @@ def _lost():
     return pandas_udf(run, "array<boolean>")
 
 
+def bloom(ids: DataFrame, least: int = BLOOM_LEAST, most: int = BLOOM_MOST) -> np.ndarray:
+    """A Bloom filter of the column ``tid`` of distinct 64-bit hashes, as words
+    of 64 bits.  A hash's halves lead to its bits."""
+    bits = least
+    while bits < min(most, 16 * ids.count()):
+        bits *= 2
+    steps = F.explode(F.sequence(F.lit(0), F.lit(BLOOM_PROBES - 1)))
+    at = (F.col("tid").bitwiseAND(0x7FFFFFFF) + F.col("i") * F.shiftrightunsigned("tid", 33)).bitwiseAND(bits - 1)
+    each = ids.select("tid", steps.alias("i")).select(at.alias("at"))
+    words = each.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def in_bloom(words: np.ndarray, tid: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the filter; never false for one that is."""
+    low, high = tid & 0x7FFFFFFF, (tid.view(np.uint64) >> np.uint64(33)).astype(np.int64)
+    out = np.ones(len(tid), bool)
+    for i in range(BLOOM_PROBES):
+        at = (low + i * high) & (64 * len(words) - 1)
+        out &= (words[at >> 6] >> (at & 63)) & 1 == 1
+    return out
+
+
+def _may_lose(spark, words: np.ndarray):
+    from pyspark.sql.functions import pandas_udf
+
+    sent = spark.sparkContext.broadcast(words)
+
+    def run(tids):
+        import pandas as pd
+
+        return pd.Series(in_bloom(sent.value, tids.to_numpy()))
+
+    return pandas_udf(run, "boolean")
+
+
 def line_keys(text: Column) -> Column:
     """The keys of a text's lines, in order."""
     return F.transform(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n", -1), lambda line: F.btrim(line, F.lit(ASCII_SPACE)))
@@ -178,15 +223,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", min_cha
     hashes = docs.select(tid.alias("tid"), F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k))).alias("hashes"))
     texts = save(hashes.groupBy("tid", "hashes").agg(F.count("*").alias("copies")), "line-texts")
     gone = save(frequent_lines(texts, min_docs, **kw), "line-frequent").withColumnRenamed("tid", "_tid")
-    # always by shuffle: the plan is then the same for every size of ``gone``
+    may_lose = _may_lose(docs.sparkSession, bloom(gone.select(F.col("_tid").alias("tid"))))(F.col("tid"))
     rows, body = docs.select(F.struct("*").alias("doc"), tid.alias("tid")), F.col("doc")[text]
-    both = rows.join(gone.hint("merge"), F.col("tid") == F.col("_tid"), "left")
     lines = F.split(F.coalesce(body, F.lit("")), "\n", -1)
+    # always by shuffle: the plan is then the same for every size of ``gone``
+    both = rows.where(may_lose).join(gone.hint("merge"), F.col("tid") == F.col("_tid"), "left")
     # only of documents that lose lines; keys below min_chars are in no ``gone``
     each = F.when(F.col("gone").isNotNull(), F.transform(line_keys(body), lambda k: F.xxhash64(k)))
-    both = both.withColumn("_lost", _lost()(each, F.col("gone"))).withColumn("n_lines", F.size(lines).cast("long"))
-    kept = F.filter(lines, lambda _, i: ~F.get("_lost", i))
-    both = both.withColumn("_kept", F.when(F.col("_lost").isNull(), lines).otherwise(kept))
-    out = both.withColumn("n_dropped", (F.col("n_lines") - F.size("_kept")).cast("long")).withColumn("kept", F.array_join("_kept", "\n"))
+    both = both.withColumn("_lost", _lost()(each, F.col("gone")))
+    kept = F.when(F.col("_lost").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.get("_lost", i)))
+    both = both.select("doc", kept.alias("_kept"))
+    both = both.select("doc", (F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("kept"))
+    whole = rows.where(~may_lose).select("doc", F.lit(0).cast("long").alias("n_dropped"), F.coalesce(body, F.lit("")).alias("kept"))
+    out = both.union(whole).withColumn("n_lines", F.size(lines).cast("long"))
     new = ["n_lines", "n_dropped", "kept"]
     return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in new], *new)

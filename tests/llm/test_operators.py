@@ -142,6 +142,16 @@ def test_perfect_hash_is_exact():
     assert (probe.count(foreign) > 0).mean() < 0.002
 
 
+def test_bloom_filter_holds_all_and_little_else(spark):
+    tids = spark.range(20_000).selectExpr("xxhash64(id) as tid")
+    values = np.array([r[0] for r in tids.collect()])
+    words = LD.bloom(tids.where("pmod(tid, 2) = 0"), least=64)
+    got, own = LD.in_bloom(words, values), values % 2 == 0
+    assert got[own].all() and got[~own].mean() < 0.02
+    assert LD.in_bloom(LD.bloom(tids, most=64, least=64), values).all()  # full, so all may be in it
+    assert not LD.in_bloom(LD.bloom(tids.where("false")), values).any()
+
+
 def test_line_dedup(spark, odd, none):
     rows = [(i, "\n".join(["Shared  ", f"own {i}", "", f"half {i % 2}" if i < 18 else "x", " \tsHARED"]), None, None, 0, "") for i in range(30)] + ODD
     want = {}
