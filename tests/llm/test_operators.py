@@ -111,6 +111,31 @@ def test_differencing_balances():
     assert max(load) - min(load) <= 3
 
 
+def plain_differencing(sums):
+    """As ``difference``, with every step written out and nothing dropped."""
+    parts = []
+    for k, s in enumerate(sums):
+        piles = sorted(((x, j) for j, x in enumerate(s)), key=lambda p: (-p[0], p[1]))
+        parts.append((k, [(x, [(k, j)]) for x, j in piles]))
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[1][-1][0] - p[1][0][0], p[0]))  # largest spread first
+        (_, a), (_, b) = parts[:2]
+        both = [(x + y, m + n) for (x, m), (y, n) in zip(a, reversed(b))]
+        parts = [*parts[2:], (made, sorted(both, key=lambda p: -p[0]))]
+        made += 1
+    return {member: shard for shard, (_, members) in enumerate(parts[0][1]) for member in members}
+
+
+def test_differencing_equals_plain_steps():
+    r = np.random.default_rng(7)
+    single = [(int(x),) + (0,) * 7 for x in [*r.integers(1, 50, 60), 9_000]]  # with ties and one giant
+    several = [tuple(map(int, r.integers(0, 500, 5))) for _ in range(40)]
+    for sums in (single, several, single[:1]):
+        want = plain_differencing(sums)
+        assert {(k, j): shard for k, row in enumerate(SH.difference(sums)) for j, shard in enumerate(row)} == want
+
+
 def test_shards(spark, odd, none):
     rows = [(i, prose(i % 90, 5 + i % 60), None, None, 0, "") for i in range(300)]
     for df, n in ((spark.createDataFrame(rows, SCHEMA), 300), (odd, len(ODD))):
@@ -559,6 +584,35 @@ def test_columns_of_any_name(spark):
         assert got.columns == docs.columns and Counter(map(tuple, got.select(plain.columns).collect())) == Counter(map(tuple, want.collect()))
 
 
+def test_tokens_and_top_k_with_columns_of_any_name(spark):
+    P = pytest.importorskip("public_tokenizers")
+    names = ["id", "ids", "row", "rows", "image", "len", "v", "n", "no", "start", "n_tokens", "part", "nth", "longest", "score", "rank", "query_id"]
+    docs = spark.createDataFrame([(i, prose(i, 9)) for i in range(12)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0, -i / 7]) for i in range(30)], "vec_id long, embedding array<double>")
+    runs = {
+        "tokens": (docs, "doc_id", lambda d: TO.read_tokens(*TO.write_tokens(d, P.path("byte_bpe_50k.json")))),
+        "top k": (vectors, "vec_id", lambda d: TK.top_k(d, lambda i: i % 10 == 0)),
+    }
+    for name, (plain, key, run) in runs.items():
+        extra = plain.selectExpr("*", *[f"{key} * 0 + {n} as `{c}`" for n, c in enumerate(names)])
+        assert Counter(map(tuple, run(extra).collect())) == Counter(map(tuple, run(plain).collect())), name
+
+
+def test_a_text_longer_than_a_segment_keeps_all_its_tokens(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    r = np.random.default_rng(3)
+    text = " ".join(f"{WORDS[i]}{j}" for i, j in zip(r.integers(0, 20, 420_000), r.integers(0, 5000, 420_000)))
+    ids = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2]
+    assert len(ids) > 1 << 20 and len(text) > 2 << 20  # more than a segment, and than a slab
+    rows = [(1, "a"), (2, text), (3, None)]
+    got = {g["doc_id"]: g for g in TO.read_tokens(*TO.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path)).collect()}
+    assert (got[2]["n_tokens"], got[2]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert got[3]["start"] == got[2]["start"] + len(ids) and got[3]["n_tokens"] == 1
+
+
 def test_shards_are_merged_in_levels(spark):
     rows = [(i, "x" * (i * 37 % 400)) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
