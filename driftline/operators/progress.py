@@ -149,6 +149,16 @@ def max_lag(last: DataFrame, now: int, low: int = 30, t: str = "last") -> DataFr
     return last.agg(F.max(F.lit(now) - F.col(t)).alias("lag")).withColumn("low", F.col("lag") < low)
 
 
+def event_lag(events: DataFrame, by: list[str], now: int, wt: str = "wt", done: str = "done", polled: str = "polled") -> DataFrame:
+    """Per group, in whole seconds: ``poll_age`` since the last poll, ``lag``
+    since the newest event that is written (``wt`` in microseconds), and
+    ``behind``, how far that is from the newest event seen.  A poll that finds
+    nothing makes the first small, but not the second.  Where nothing is
+    written, ``lag`` and ``behind`` are null; a null ``done`` is not written."""
+    each = events.groupBy(*by).agg(F.max(polled).alias("_polled"), F.max(wt).alias("_seen"), F.max(F.when(F.col(done), F.col(wt))).alias("_written"))
+    return each.select(*by, (F.lit(now) - F.col("_polled")).alias("poll_age"), F.expr(f"({now} * 1000000L - _written) div 1000000").alias("lag"), F.expr("(_seen - _written) div 1000000").alias("behind"))
+
+
 def cutover_ready(units: DataFrame) -> DataFrame:
     """Jobs with at least one unit, all complete or not found."""
     return units.groupBy("job").agg(F.bool_and(F.col("copy_complete") | (F.col("status") == "NotFound")).alias("ready"))

@@ -355,6 +355,17 @@ def _(s, d):
     return progress.max_lag(X.pages(s, d).groupBy("range_id").agg(F.max("t").alias("last")), NOW)
 
 
+@query("event_lag", f"""WITH e AS (SELECT user_id % 50 AS range_id, event_type AS tbl, epoch_us(ts) AS wt, CASE WHEN event_id % 11 <> 0 THEN event_id % 5 <> 0 AND event_type <> 'error' END AS done, epoch_us(ts) // 1000000 + event_id % 60 AS polled FROM events),
+  g AS (SELECT range_id, tbl, max(polled) AS p, max(wt) AS seen, max(CASE WHEN done THEN wt END) AS w FROM e GROUP BY ALL)
+  SELECT range_id, tbl, {NOW} - p AS poll_age, ({NOW} * 1000000::BIGINT - w) // 1000000 AS lag, (seen - w) // 1000000 AS behind FROM g""")
+def _(s, d):
+    e = X.table(s, d, "events").select(
+        F.expr("user_id % 50").alias("range_id"), F.col("event_type").alias("tbl"), F.expr("unix_micros(cast(ts as timestamp))").alias("wt"),
+        F.expr("case when event_id % 11 <> 0 then event_id % 5 <> 0 and event_type <> 'error' end").alias("done"), F.expr("unix_seconds(cast(ts as timestamp)) + event_id % 60").alias("polled"),
+    )
+    return progress.event_lag(e, ["range_id", "tbl"], NOW)
+
+
 @query("progress_percent", PG + ", t AS (SELECT range_id, sum(CASE WHEN done THEN 1 ELSE 0 END) AS w, CASE WHEN range_id % 4 = 1 THEN 0 WHEN range_id % 4 = 2 THEN count(*) // 2 ELSE count(*) END AS n FROM pages_ GROUP BY 1) SELECT range_id, CASE WHEN n > 0 THEN least(99.9, w / n * 100) END AS percent, n > 0 AND w > n AS stale FROM t")
 def _(s, d):
     by = X.pages(s, d).groupBy("range_id").agg(F.count_if("done").alias("w"), F.expr("case when range_id % 4 = 1 then 0 when range_id % 4 = 2 then count(*) div 2 else count(*) end").alias("n"))

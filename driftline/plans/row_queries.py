@@ -19,6 +19,7 @@ from driftline.sources import tables as T
 from driftline.sources.scratch import shared_folder
 from driftline.streaming import keyed as Y
 from driftline.streaming import replicate as R
+from driftline.streaming.bucketed import BucketedLog
 
 NOW = X.NOW
 Q: dict = {}
@@ -648,6 +649,23 @@ def _(s, d):
     return Y.target(s, f"{root}/changes", keys).select(*keys, "column", "path", "value", "wt")
 
 
+@query("collect_log", STATE + ' SELECT pk, ck, "column", path, value, wt FROM st WHERE NOT del AND expiry IS NULL')
+def _(s, d):
+    """The envelopes' atoms in three batches by time, each followed by a
+    collection up to its end; then the first batch again, too late to revive
+    anything.  What the log holds at the end is the live cells alone."""
+    root, end, keys = _folder(s), NOW + 86_400, ["pk", "ck"]
+    log = BucketedLog(s, f"{root}/log", keys, buckets=16)
+    _atoms(s, d).write.parquet(f"{root}/atoms")
+    atoms = s.read.parquet(f"{root}/atoms")
+    cuts = atoms.agg(F.percentile_approx("wt", [0.3, 0.6]).alias("cuts")).first()["cuts"] or [0, 1]
+    parts = [F.col("wt") <= cuts[0], F.col("wt").between(cuts[0] + 1, cuts[1]), F.col("wt") > cuts[1]]
+    for batch, (part, horizon) in enumerate(zip([*parts, parts[0]], [*cuts, end * 1_000_000, None])):
+        log.write(atoms.where(part), batch)
+        log.collect(horizon, end)
+    return log.read().select(*keys, "column", "path", "value", "wt")
+
+
 @query("scan_tail", WON + " SELECT seq, wt FROM cells")
 def _(s, d):
     return _replicated(s, d).read().select("seq", "wt")
