@@ -7,9 +7,12 @@ sample's length, means low cross entropy; the language with the least wins.
 (The bits that naming the language costs are added, which decides among
 languages only where a text has a few words.)
 
-The automaton becomes a table of (state, byte class) to state, in which a
-failed match leads to the state after restarting with that byte.  Parsing is
-then one table lookup per byte, done in numpy for many blocks of text at once.
+The automaton becomes rows of byte classes to states that lie displaced over
+each other in one array, whose slots say whose row they are of; a failed match
+leads to the state after restarting with that byte.  So a model takes memory by
+the transitions it has (some 1 MB for 48,000 bytes of text), not by states times
+classes.  Parsing is then two lookups per byte, done in numpy for many blocks of
+text at once.
 Texts are parsed whole: blocks of ``BLOCK`` bytes are first parsed as if a
 phrase began at each, then again from the state in which the block before ends,
 up to the byte where both ways meet, until no block's first state changes.
@@ -105,6 +108,35 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return steps
 
 
+def displaced(rows: list[dict[int, int]]) -> tuple[list[int], int]:
+    """Where each row (of class to state) begins in one array, so that no two
+    rows' entries share a slot and no two rows begin at one place; and how many
+    slots that takes.  The fullest rows are placed first, each kind from where
+    its last one found room; rows of one entry fill what is left."""
+    slots = 2 * sum(map(len, rows)) + 2 * len(rows) + 2 * WIDTH
+    taken, begun, at, room = bytearray(slots), bytearray(slots), [0] * len(rows), {}
+    for r in sorted(range(len(rows)), key=lambda r: -len(rows[r])):
+        classes = sorted(rows[r])
+        k, first = len(classes), classes[0] if classes else 0
+        place = max(room.get(k, 0), first)
+        while True:
+            if classes:
+                place = taken.find(0, place)  # the next slot that is free for the row's first entry
+            begin = place - first
+            if place < 0 or len(taken) < begin + WIDTH + 1:
+                place = len(taken) if place < 0 else place
+                taken.extend(bytes(slots))
+                begun.extend(bytes(slots))
+                continue
+            if not begun[begin] and not any(taken[begin + c] for c in classes[1:]):
+                break
+            place += 1
+        room[k], at[r], begun[begin] = place, begin, 1
+        for c in classes:
+            taken[begin + c] = 1
+    return at, max(at, default=0) + WIDTH + 1
+
+
 class Model:
     """Parsing tables of all languages, with one numbering of byte classes."""
 
@@ -124,16 +156,16 @@ class Model:
             steps = suffix_automaton(self.number[coded[lang]].tolist())
             # one more state, after a byte that matches nothing: a phrase by itself
             lost = len(steps)
-            root = np.full(self.width, lost, np.int64)
-            for c, to in steps[0].items():
-                root[c] = to
-            # twice the offset of the next state's row, plus 1 where a phrase ended
-            table = np.tile(root * self.width * 2 + 1, (lost + 1, 1))
-            table[0] -= 1  # nothing was read yet
-            for state, out in enumerate(steps):
-                for c, to in out.items():
-                    table[state, c] = to * self.width * 2
-            self.tables.append(table.astype(np.int32).ravel())
+            steps.append({})
+            steps[0] = {c: lost for c in range(self.width)} | steps[0]
+            at, size = displaced(steps)
+            # twice where the next state's row begins, plus 1 where a phrase ended
+            to, of = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+            for begin, row in zip(at, steps):
+                for c, state in row.items():
+                    to[begin + c], of[begin + c] = at[state] * 2, begin
+            restart = np.array([at[steps[0][c]] * 2 + 1 for c in range(self.width)], np.int32)
+            self.tables.append((to, of, restart, at[0]))
             self.log.append(np.log2(max(2, len(coded[lang]))))
 
     def phrases(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -155,19 +187,24 @@ class Model:
         before[later] = where[order[later] - 1]
         cells = codes.astype(np.int32)
         out = np.zeros((len(sizes), len(self.langs)), np.int64)
-        for j, table in enumerate(self.tables):
-            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
+        for j, (to_of, row_of, restart, start) in enumerate(self.tables):
+
+            def step(here: np.ndarray, cell: np.ndarray) -> np.ndarray:
+                slot = here + cell
+                return np.where(row_of[slot] == here, to_of[slot], restart[cell])
+
+            state, count = np.full(len(owner), start, np.int32), np.zeros(len(owner), np.int64)
             path = np.zeros((BLOCK, len(owner)), np.int32)
             for t in range(BLOCK):
                 if not (m := active[t]):
                     break
-                to = table[state[:m] + cells[at[:m] + t]]
+                to = step(state[:m], cells[at[:m] + t])
                 path[t, :m] = to
                 count[:m] += to & 1
                 state[:m] = to >> 1
-            first = np.zeros(len(owner), np.int32)
+            first = np.full(len(owner), start, np.int32)
             while True:  # until each block starts where the one before it ends
-                now = np.where(before >= 0, state[before], 0).astype(np.int32)
+                now = np.where(before >= 0, state[before], start).astype(np.int32)
                 again = np.flatnonzero(now != first)
                 if not len(again):
                     break
@@ -176,7 +213,7 @@ class Model:
                 while len(run) and t < BLOCK:
                     live = long[run] > t
                     run, here = run[live], here[live]
-                    to, was = table[here + cells[at[run] + t]], path[t, run]
+                    to, was = step(here, cells[at[run] + t]), path[t, run]
                     path[t, run] = to
                     count[run] += (to & 1) - (was & 1)
                     here = to >> 1

@@ -261,6 +261,27 @@ def test_cross_parsing_equals_longest_matches():
         assert list(got[i]) == [brute_phrases(samples[k][0], t) for k in ("x", "y")]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_language_rows_do_not_overlap(seed):
+    r = np.random.default_rng(seed)
+    rows = [{int(c): int(r.integers(0, 400)) for c in r.choice(LI.WIDTH, k, replace=False)} for k in [0, 0, 1, LI.WIDTH, *r.integers(0, 5, 300), *r.integers(0, 60, 40)]]
+    at, size = LI.displaced(rows)
+    slots = [begin + c for begin, row in zip(at, rows) for c in row]
+    assert len(set(slots)) == len(slots) and len(set(at)) == len(rows) and max(slots) < size
+    assert LI.displaced([])[0] == [] and LI.displaced([{}, {}])[0] in ([0, 1], [1, 0])
+
+
+def test_language_tables_of_many_scripts_are_small():
+    """200 languages of as many scripts as bytes allow stay under 1 GB."""
+    r, samples = np.random.default_rng(1), {}
+    for i, first in enumerate([0x61, 0x400, 0x900, 0x4E00, 0xAC00, 0x1200]):
+        words = ["".join(chr(first + x) for x in r.integers(0, 26 if first == 0x61 else 300, r.integers(2, 9))) for _ in range(2_000)]
+        samples[f"l{i}"] = (" ".join(words[j] for j in r.zipf(1.3, 40_000) % 2_000).encode()[:48_000].decode("utf-8", "ignore").encode(), 1.0)
+    model = LI.Model(samples)
+    held = [sum(x.nbytes for x in table[:3]) for table in model.tables]
+    assert model.width > 100 and max(held) * 200 < 1_000_000_000
+
+
 def test_language_edges(odd, none, spark):
     got = {(r["doc_id"], r["lang_pred"]): r for r in LI.predict_languages(odd).collect()}
     assert (1, "und") in got and (2, "und") in got and (8, "und") in got
