@@ -8,6 +8,7 @@ from test_replay import LOG, plain_state, random_atoms
 
 from driftline.operators import apply as A
 from driftline.operators import progress
+from driftline.streaming import replicate as R
 from driftline.streaming.bucketed import BucketedLog
 
 
@@ -127,6 +128,17 @@ def test_nothing(spark, tmp_path):
     assert log.collect(horizon=8) == 1 and log.read().isEmpty()
 
 
+def test_as_the_log_of_a_stream(spark, tmp_path):
+    root, rows = str(tmp_path), random_atoms(4, 120)
+    log = BucketedLog(spark, f"{root}/log", ["k"], buckets=4)
+    schema = frame(spark, []).schema
+    for low, high in ((0, 15), (15, 30)):  # the second run goes on behind a collection
+        frame(spark, [a for a in rows if low < a[5] <= high]).write.mode("append").parquet(f"{root}/in")
+        R.replicate(R.tail(spark, f"{root}/in", schema), log, f"{root}/checkpoint", lambda b: b, reject="wt > 99").awaitTermination()
+        log.collect(horizon=high)
+    assert state(log) == [c for c in plain_state(rows) if not c[-1]] and R.position(spark, f"{root}/checkpoint") == 2
+
+
 def test_event_lag(spark):
     rows = [("a", 5_000_000, True, 90), ("a", 9_500_000, False, 95), ("b", 7_000_000, None, 80), (None, 99_999_999, True, 99)]
     out = progress.event_lag(spark.createDataFrame(rows, "r string, wt long, done boolean, polled long"), ["r"], 100)
