@@ -9,7 +9,9 @@ it.  No watermark is used, for nothing is too late.
 
 Scale: rows are shuffled once, by key; a task holds one row's places at a time,
 and the store (RocksDB) holds the rest on disk, with its changes in the
-checkpoint.  Python works in Arrow batches, one call per key and batch.
+checkpoint.  Python is called once per key and batch, with plain rows: a frame
+per key would cost more than its few rows.  An expiry that is past on arrival
+sets no timer.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import LongType, StringType, StructType
 
-from driftline.operators.apply import CELL, CLEAR, MARKER, PLACE, ROW
+from driftline.operators.apply import CELL, CLEAR, FACTS, MARKER, PLACE, ROW
 
 #: What the store must be.
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 #: What is passed on beside the key and the place.
-CHANGE = "value string, wt long, expiry long, gone boolean"
+CHANGE = "value: string, wt: long, expiry: long, gone: boolean"
 
 
 def order(a: tuple) -> tuple:
@@ -44,6 +46,13 @@ def visible(places: dict) -> dict:
     return {p: a for p, a in places.items() if p[0] in (CELL, MARKER) and not a[3] and a[1] > row and (p[0] == MARKER or a[1] > cleared.get(p[1], never))}
 
 
+def outlive(places: dict, now: int) -> None:
+    """What is there and has expired by ``now`` becomes a deletion of its time."""
+    for p, (_, wt, expiry, _gone) in visible(places).items():
+        if expiry is not None and expiry <= now:
+            places[p] = (None, wt, None, True)
+
+
 class Rows(StatefulProcessor):
     """One row's places, as JSON, and a timer at its earliest expiry."""
 
@@ -52,9 +61,10 @@ class Rows(StatefulProcessor):
         self.held = handle.getValueState("places", StructType().add("places", StringType()).add("timer", LongType()))
 
     def _load(self) -> tuple[dict, int | None]:
-        if not self.held.exists():
+        held = self.held.get()
+        if held is None:
             return {}, None
-        text, timer = self.held.get()
+        text, timer = held
         return {tuple(x[:3]): tuple(x[3:]) for x in json.loads(text)}, timer
 
     def _keep(self, places: dict, timer: int | None) -> None:
@@ -67,35 +77,32 @@ class Rows(StatefulProcessor):
         self.held.update((json.dumps([[*p, *a] for p, a in places.items()]), soonest))
 
     @staticmethod
-    def _changes(key: tuple, before: dict, after: dict) -> Iterator:
-        import pandas as pd
-
-        rows = [(*key, *p, *a[:3], False) for p, a in after.items() if before.get(p) != a]
-        rows += [(*key, *p, None, a[1], None, True) for p, a in before.items() if p not in after]
-        if rows:
-            names = [*(f"k{i}" for i in range(len(key))), *PLACE, "value", "wt", "expiry", "gone"]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"wt": "Int64", "expiry": "Int64"})
-
-    def handleInputRows(self, key: tuple, rows: Iterator, timerValues) -> Iterator:
+    def _changes(key: tuple, before: dict, after: dict) -> Iterator[Row]:
+        """One row with all that changes: a batch is sent for each key."""
+        changes = [(*p, *a[:3], False) for p, a in after.items() if before.get(p) != a]
+        changes += [(*p, None, a[1], None, True) for p, a in before.items() if p not in after]
+        if changes:
+            names = [*PLACE, "value", "wt", "expiry", "gone"]
+            yield Row(**{f"k{i}": k for i, k in enumerate(key)}, changes=[dict(zip(names, c)) for c in changes])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         places, timer = self._load()
         before = visible(places)
-        for pdf in rows:
-            pdf = pdf.astype(object).where(pdf.notna(), None)
-            for scope, column, path, value, wt, expiry, gone in pdf[[*PLACE, "value", "wt", "expiry", "dead"]].itertuples(index=False):
-                place, atom = (scope, column, path), (value, int(wt), None if expiry is None else int(expiry), bool(gone))
-                if place not in places or order(atom) > order(places[place]):
-                    places[place] = atom
+        for row in rows:
+            a = row["atom"]
+            place, atom = tuple(a[c] for c in PLACE), (a["value"], a["wt"], a["expiry"], a["del"])
+            if place not in places or order(atom) > order(places[place]):
+                places[place] = atom
+        # what is due needs no timer, nor to be passed on as set before it goes
+        outlive(places, timerValues.getCurrentProcessingTimeInMs() // 1000)
         self._keep(places, timer)
         yield from self._changes(key, before, visible(places))
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         places, timer = self._load()
         # all that is due by now: a timer set here would wait for the next batch
         before, now = visible(places), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentProcessingTimeInMs()) // 1000
-        for p, (_, wt, expiry, _gone) in before.items():
-            if expiry is not None and expiry <= now:
-                places[p] = (None, wt, None, True)
+        outlive(places, now)
         self._keep(places, None if timer is not None and timer <= now else timer)
         yield from self._changes(key, before, visible(places))
 
@@ -108,10 +115,10 @@ def changes(atoms: DataFrame, keys: list[str]) -> DataFrame:
     column, path, value, wt, expiry, gone."""
     atoms.sparkSession.conf.set(*ROCKSDB)
     kinds = ", ".join(f"k{i} {atoms.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
-    places = ", ".join(f"{c} string" for c in PLACE)
-    # (a keyword does not pass as a column's name)
-    out = atoms.withColumnRenamed("del", "dead").groupBy(*keys).transformWithStateInPandas(statefulProcessor=Rows(), outputStructType=f"{kinds}, {places}, {CHANGE}", outputMode="Update", timeMode="ProcessingTime")
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], *PLACE, "value", "wt", "expiry", "gone")
+    places = ", ".join(f"{c}: string" for c in PLACE)
+    named = atoms.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.struct(*PLACE, *FACTS).alias("atom"))
+    out = named.groupBy(*[f"k{i}" for i in range(len(keys))]).transformWithState(statefulProcessor=Rows(), outputStructType=f"{kinds}, changes array<struct<{places}, {CHANGE}>>", outputMode="Update", timeMode="ProcessingTime")
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.inline("changes"))
 
 
 def keep(stream: DataFrame, path: str, checkpoint: str):
