@@ -16,7 +16,7 @@ from driftline.operators import mutations as M
 from driftline.plans import fixtures as X
 from driftline.plans.cell_queries import WON
 from driftline.sources import tables as T
-from driftline.sources.scratch import shared_folder
+from driftline.sources.scratch import shared_folder, stage
 from driftline.streaming import keyed as Y
 from driftline.streaming import replicate as R
 from driftline.streaming.bucketed import BucketedLog
@@ -370,7 +370,8 @@ def _(s, d):
 @query("compact_mutations", STATE + ' SELECT pk, count(*) AS cells, max(wt) AS newest FROM st WHERE NOT del GROUP BY pk')
 def _(s, d):
     """The log compacted in two halves and again as one, its deletions collected."""
-    log, keys = _atoms(s, d), ["pk", "ck"]
+    # staged: each half would decode and plan all envelopes again
+    log, keys = stage(_atoms(s, d), "log"), ["pk", "ck"]
     # atoms of one row in both halves, which meet only in the second compaction
     half = F.pmod(F.xxhash64("scope", "column", "path", "wt"), F.lit(2)) == 0
     both = A.compact(log.where(half), keys).union(A.compact(log.where(~half), keys))

@@ -7,8 +7,11 @@ from types import SimpleNamespace
 from pyspark.sql import Row
 
 from driftline.operators.apply import CELL
+from driftline.plans import registry
 from driftline.streaming import keyed as Y
 
+SMALL = "/root/testdata/sf0.001"
+
 
 class Held:
     """A processor's handle that counts what is asked of the store."""
@@ -45,3 +48,14 @@ def test_a_key_costs_two_calls_and_one_row(spark):
     # and older atoms that come late lose to it; what expires later has a timer
     (out,) = rows.handleInputRows((1, None), iter([atom("b", 1, None), atom("d", 4, 60)]), clock)
     assert held.calls[2:] == ["get", ("timer", 60_000), "update"] and [(c["path"], c["gone"]) for c in out.changes] == [("d", False)]
+
+
+def test_compaction_plans_its_envelopes_once(spark):
+    df = registry.QUERIES["compact_mutations"](spark, SMALL)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and "from_json" not in plan and df.count() > 0
+
+
+def test_a_catalog_is_not_broadcast(spark):
+    plan = registry.QUERIES["anti_missing_columns"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
