@@ -98,8 +98,10 @@ def target_clashes(units: DataFrame) -> DataFrame:
 
 
 def missing_columns(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Source columns that are no keys and that the target lacks."""
-    have = target.select("tbl", F.lower("name").alias("lname"))
+    """Source columns that are no keys and that the target lacks.  Both sides
+    are sorted: a catalog's size is underestimated (it is often exploded from
+    fewer rows), and as a broadcast every task would hold it whole."""
+    have = target.select("tbl", F.lower("name").alias("lname")).hint("merge")
     return source.where(F.col("kind").isin("regular", "static")).withColumn("lname", F.lower("name")).join(have, ["tbl", "lname"], "left_anti").drop("lname")
 
 
