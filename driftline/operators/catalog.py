@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.cells import normalize_type
 from driftline.operators.graph import dependency_order
-from driftline.sources.scratch import stage
+from driftline.sources.scratch import append, new_path
 
 #: The system's own keyspaces, without case.
 SYSTEM_KEYSPACES = ["system", "system_auth", "system_distributed", "system_schema", "system_traces", "system_views", "system_virtual_schema", "system_cosmos", "system_cosmos_internal"]
@@ -144,18 +144,27 @@ def evolve(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame) -> DataFrame:
-    """(src, dst) pairs of nodes and all that they reach, by doubling paths
-    until a round adds none."""
-    now = edges.select("src", "dst").distinct()
-    n = now.count()
+    """(src, dst) pairs of nodes and all that they reach, by doubling paths.
+
+    A pair is kept once, at its shortest way.  A round of ``reach`` takes only
+    ways of just that length and goes on with all known ones, so each pair is
+    derived once per node in the middle of its shortest ways; if no way is that
+    long, none is longer.  Joins are sorted: files of pairs are so dense that
+    they would be broadcast at millions of rows.
+    """
+    path, kinds = new_path(edges.sparkSession, "paths"), edges.schema
+    append(edges.select("src", "dst", F.lit(1).cast("long").alias("hops")).distinct(), path)
+    reach = 1
     while True:
-        more = now.join(now.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        now = now.union(more).distinct()
-        now = stage(now, "paths")
-        if (m := now.count()) == n:
-            break
-        n = m
-    return now
+        now = edges.sparkSession.read.schema(f"src {kinds['src'].dataType.simpleString()}, dst {kinds['dst'].dataType.simpleString()}, hops long").parquet(path)
+        far = now.where(F.col("hops") == reach).select("src", F.col("dst").alias("via"))
+        if far.isEmpty():
+            return now.select("src", "dst")
+        on = now.select(F.col("src").alias("via"), "dst", (F.col("hops") + reach).alias("hops"))
+        found = far.join(on.hint("merge"), "via").groupBy("src", "dst").agg(F.min("hops").alias("hops"))
+        known = now.select(F.col("src").alias("a"), F.col("dst").alias("b")).hint("merge")
+        append(found.join(known, F.col("src").eqNullSafe(F.col("a")) & F.col("dst").eqNullSafe(F.col("b")), "left_anti"), path)
+        reach *= 2
 
 
 def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:

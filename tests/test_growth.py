@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import Row
 
+from driftline.operators import catalog as K
 from driftline.operators.apply import CELL
 from driftline.plans import registry
+from driftline.sources import scratch
 from driftline.streaming import keyed as Y
 
 SMALL = "/root/testdata/sf0.001"
@@ -59,3 +63,25 @@ def test_compaction_plans_its_envelopes_once(spark):
 def test_a_catalog_is_not_broadcast(spark):
     plan = registry.QUERIES["anti_missing_columns"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_each_reachable_pair_is_written_once(spark, monkeypatch, seed):
+    rng, written = random.Random(seed), []
+    # cycles, loops, several ways, repeats, nulls, and a chain of 40
+    edges = [(rng.randrange(12), rng.randrange(12)) for _ in range(14)] + [(100 + i, 101 + i) for i in range(40)] + [(3, None), (3, None), (None, 5)]
+
+    def counted(write):
+        def run(df, to):
+            written.append(df.count())
+            return write(df, to)
+
+        return run
+
+    for name in ("append", "stage"):
+        monkeypatch.setattr(K, name, counted(getattr(scratch, name)), raising=False)
+    got = [tuple(r) for r in K.reachable(spark.createDataFrame(edges, "src int, dst int")).collect()]
+    want = set(edges)
+    while more := {(a, d) for a, b in want for c, d in edges if b is not None and b == c} - want:
+        want |= more
+    assert len(got) == len(want) == sum(written) and set(got) == want
