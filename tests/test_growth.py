@@ -7,8 +7,10 @@ from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from driftline.operators import catalog as K
+from driftline.operators import graph as G
 from driftline.operators.apply import CELL
 from driftline.plans import registry
 from driftline.sources import scratch
@@ -85,3 +87,34 @@ def test_each_reachable_pair_is_written_once(spark, monkeypatch, seed):
     while more := {(a, d) for a, b in want for c, d in edges if b is not None and b == c} - want:
         want |= more
     assert len(got) == len(want) == sum(written) and set(got) == want
+
+
+def test_knots_behind_each_other_take_few_jobs(spark):
+    # 40 rings of three, each of which needs the next, and below them a chain; two hang off it
+    edges = [(3 * i + j, 3 * i + (j + 1) % 3) for i in range(40) for j in range(3)] + [(3 * i, 3 * i + 3) for i in range(40)]
+    edges += [(120 + i, 121 + i) for i in range(6)] + [(200, 0), (201, 123), (202, 202), (202, 121)]
+    table = scratch.stage(spark.createDataFrame(edges, "src long, dst long"), "edges")
+    sc = spark.sparkContext
+    sc.setJobGroup("knots", "")
+    try:
+        got = {r["node"]: (r["level"], r["component"], r["on_cycle"]) for r in G.dependency_order(table, G.ends(table)).collect()}
+        jobs = len(sc.statusTracker().getJobIdsForGroup("knots"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    want = {n: (None, n - n % 3, True) for n in range(120)} | {n: (126 - n, n, False) for n in range(120, 127)}
+    assert got == want | {200: (None, 200, False), 201: (4, 201, False), 202: (None, 202, True)}
+    assert jobs < 150
+
+
+def test_components_of_texts_and_without_ways(spark):
+    edges = spark.createDataFrame([("b", "a"), ("a", "b"), ("b", "c"), ("d", "d")], "src string, dst string")
+    assert sorted(tuple(r) for r in G.components(edges).collect()) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")]
+    assert [tuple(r) for r in G.components(edges.where("src = 'd'")).collect()] == [("d", "d")]
+    assert G.components(edges.where("false")).collect() == []
+
+
+def test_few_rows_are_read_by_few_tasks(spark):
+    table, got = scratch.observed(spark.range(100).repartition(4), "few", top=F.max("id"))
+    assert got == {"rows": 100, "top": 99} and table.rdd.getNumPartitions() == 1 and table.count() == 100
+    table, got = scratch.observed(spark.range(0).selectExpr("id"), "none")
+    assert got["rows"] == 0 and table.count() == 0
